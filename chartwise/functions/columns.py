@@ -37,10 +37,16 @@ def nan_to_null(x) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def fround(x, digits: int) -> Column:
+    """Round like numpy/pandas: ``rint(x * 10**d) / 10**d`` (half-even on the scaled double)."""
+    scale = float(10 ** digits)
+    return F.rint(col_(x) * F.lit(scale)) / F.lit(scale)
+
+
 def round_opt(x, digits: int | None) -> Column:
-    """Half-even rounding (as pandas/numpy ``round``); ``None`` keeps full precision."""
+    """``fround`` unless ``digits`` is None (full precision)."""
     x = col_(x)
-    return x if digits is None else F.bround(x, digits)
+    return x if digits is None else fround(x, digits)
 
 
 # Python list literal such as "['a', \"O'Neil\"]": element = text between a

@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from chartwise.functions.columns import col_
+from chartwise.functions.columns import col_, fround
 
 # Fixed values that must equal the reference's: z of the 95 % interval, the
 # 1-df chi-square critical value for p < .05, effect-size cut-offs and
@@ -41,8 +41,8 @@ def wilson_bounds(s, n, z: float = Z95, digits: int = 4) -> tuple[Column, Column
     d = F.lit(1.0) + F.lit(z2) / nn
     c = (p + F.lit(z2) / (F.lit(2.0) * nn)) / d
     m = (F.lit(z) * F.sqrt(p * (F.lit(1.0) - p) / nn + F.lit(z2) / (F.lit(4.0) * nn * nn))) / d
-    lo = F.when(n > 0, F.bround(F.greatest(F.lit(0.0), c - m), digits)).otherwise(F.lit(0.0))
-    hi = F.when(n > 0, F.bround(F.least(F.lit(1.0), c + m), digits)).otherwise(F.lit(0.0))
+    lo = F.when(n > 0, fround(F.greatest(F.lit(0.0), c - m), digits)).otherwise(F.lit(0.0))
+    hi = F.when(n > 0, fround(F.least(F.lit(1.0), c + m), digits)).otherwise(F.lit(0.0))
     return lo, hi
 
 
@@ -50,7 +50,7 @@ def cohen_h(p1, p2, digits: int = 4) -> Column:
     p1, p2 = col_(p1), col_(p2)
     a = F.lit(2.0) * F.asin(F.sqrt(F.greatest(F.lit(0.0), p1)))
     b = F.lit(2.0) * F.asin(F.sqrt(F.greatest(F.lit(0.0), p2)))
-    return F.bround(F.abs(a - b), digits)
+    return fround(F.abs(a - b), digits)
 
 
 def effect_label(h) -> Column:
@@ -88,7 +88,7 @@ def chi2_2x2(sa, na, sb, nb, clamp_cells: bool = False) -> Column:
 
 def lift(ra, rb, digits: int = 4) -> Column:
     ra, rb = col_(ra), col_(rb)
-    return F.when(rb > 0, F.bround((ra - rb) / rb, digits))
+    return F.when(rb > 0, fround((ra - rb) / rb, digits))
 
 
 def winner(ra, rb, name_a, name_b) -> Column:

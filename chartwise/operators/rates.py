@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartwise.functions.columns import list_literal_elements
+from chartwise.functions.columns import fround, list_literal_elements
 from chartwise.operators.joins import checked_broadcast
 
 
@@ -24,7 +24,7 @@ def group_rates(df: DataFrame, keys: Sequence[str] | str, label: str = "charted"
     aggs += [v.alias(k) for k, v in (extra or {}).items()]
     out = df.groupBy(*keys).agg(*aggs)
     rate = F.col("positives") / F.col("n")
-    out = out.withColumn("rate", rate if digits is None else F.bround(rate, digits))
+    out = out.withColumn("rate", rate if digits is None else fround(rate, digits))
     return out.filter(F.col("n") >= min_n) if min_n else out
 
 
@@ -65,3 +65,12 @@ def top_bottom(df: DataFrame, by: str, key: str, top: int = 15, bottom: int = 5)
 def best_bucket(rates: DataFrame, label_col: str, rate_col: str, ordinal_col: str) -> DataFrame:
     """The first bucket (lowest ordinal) with the highest rate; 1 row."""
     return rates.agg(F.max_by(F.col(label_col), F.struct(F.col(rate_col), -F.col(ordinal_col))).alias("best"))
+
+
+def flag_best(rates: DataFrame, rate_col: str, ordinal_col: str, partition: Sequence[str] = (),
+              flag: str = "is_best") -> DataFrame:
+    """Mark the first (lowest ordinal) maximum of ``rate_col`` on an aggregated table."""
+    from pyspark.sql import Window
+    w = Window.partitionBy(*partition) if partition else Window.partitionBy()
+    best = F.max(F.struct(F.col(rate_col).alias("r"), (-F.col(ordinal_col)).alias("o"))).over(w)
+    return rates.withColumn(flag, (best["r"] == F.col(rate_col)) & (-best["o"] == F.col(ordinal_col)))
