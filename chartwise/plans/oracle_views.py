@@ -97,3 +97,51 @@ def with_views(names, body: str, extra_ctes: str = "") -> str:
     if extra_ctes.strip():
         parts.append(extra_ctes.strip())
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+Z = 1.96
+Z2 = Z * Z
+CHI2_CRIT = 3.841458820694124
+
+
+def _wilson_sql(s, n, lo: bool):
+    p = f"(CASE WHEN {n} > 0 THEN {s} / {n} ELSE 0.0 END)"
+    d = f"(1.0 + {Z2!r} / {n})"
+    c = f"(({p} + {Z2!r} / (2.0 * {n})) / {d})"
+    m = f"(({Z!r} * sqrt({p} * (1.0 - {p}) / {n} + {Z2!r} / (4.0 * {n} * {n}))) / {d})"
+    inner = f"greatest(0.0, {c} - {m})" if lo else f"least(1.0, {c} + {m})"
+    return f"CASE WHEN {n} > 0 THEN round_even({inner}, 4) ELSE 0.0 END"
+
+
+def ab_sql(counts_sql: str, clamp: bool = False, keep: str = "") -> str:
+    """DuckDB A/B result from a subquery with group_a, group_b, n_a, s_a, n_b, s_b."""
+    def cell(x):
+        return f"greatest({x}, 1.0)" if clamp else x
+    a, b = cell("sa"), cell("(na - sa)")
+    c, d = cell("sb"), cell("(nb - sb)")
+    chi = (f"CASE WHEN ({a} + {b}) * ({c} + {d}) * ({a} + {c}) * ({b} + {d}) > 0 THEN "
+           f"({a} + {b} + {c} + {d}) * ({a} * {d} - {b} * {c}) * ({a} * {d} - {b} * {c}) / "
+           f"(({a} + {b}) * ({c} + {d}) * ({a} + {c}) * ({b} + {d})) END")
+    h = "round_even(abs(2.0 * asin(sqrt(greatest(0.0, ra))) - 2.0 * asin(sqrt(greatest(0.0, rb)))), 4)"
+    return f"""
+SELECT {keep} group_a, group_b, CAST(na AS BIGINT) AS n_a, CAST(nb AS BIGINT) AS n_b,
+  round_even(ra, 4) AS chart_rate_a, round_even(rb, 4) AS chart_rate_b,
+  {_wilson_sql('sa', 'na', True)} AS ci_a_lo, {_wilson_sql('sa', 'na', False)} AS ci_a_hi,
+  {_wilson_sql('sb', 'nb', True)} AS ci_b_lo, {_wilson_sql('sb', 'nb', False)} AS ci_b_hi,
+  round_even({chi}, 6) AS chi2, coalesce(({chi}) > {CHI2_CRIT!r}, false) AS significant,
+  {h} AS cohen_h,
+  CASE WHEN {h} < 0.2 THEN 'negligible' WHEN {h} < 0.5 THEN 'small' WHEN {h} < 0.8 THEN 'medium' ELSE 'large' END AS effect_size,
+  CASE WHEN ra > rb THEN group_a ELSE group_b END AS winner,
+  CASE WHEN rb > 0 THEN round_even((ra - rb) / rb, 4) END AS lift
+FROM (SELECT *, CASE WHEN na > 0 THEN sa / na ELSE 0.0 END AS ra, CASE WHEN nb > 0 THEN sb / nb ELSE 0.0 END AS rb
+      FROM (SELECT *, CAST(n_a AS DOUBLE) AS na, CAST(s_a AS DOUBLE) AS sa, CAST(n_b AS DOUBLE) AS nb,
+            CAST(s_b AS DOUBLE) AS sb FROM ({counts_sql})))"""
+
+
+def ab_counts_sql(table: str, pred_a: str, pred_b: str, name_a: str, name_b: str, min_n: int = 0,
+                  label: str = "charted") -> str:
+    where = f" WHERE n_a > {min_n} AND n_b > {min_n}" if min_n else ""
+    return (f"SELECT * FROM (SELECT '{name_a}' AS group_a, '{name_b}' AS group_b, "
+            f"count(*) FILTER (WHERE {pred_a}) AS n_a, coalesce(sum({label}) FILTER (WHERE {pred_a}), 0) AS s_a, "
+            f"count(*) FILTER (WHERE {pred_b}) AS n_b, coalesce(sum({label}) FILTER (WHERE {pred_b}), 0) AS s_b "
+            f"FROM {table}){where}")
