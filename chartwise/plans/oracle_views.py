@@ -19,7 +19,7 @@ tracks_raw AS (
     CASE WHEN o.o_orderkey % 4 = 0 THEN substr(strftime(o.o_orderdate, '%Y-%m-%d'), 1, 4)
          ELSE strftime(o.o_orderdate, '%Y-%m-%d') END AS release_date,
     l.q / 50 AS danceability,
-    l.d * 10 AS energy,
+    l.d100 / 10.0::DOUBLE AS energy,
     CAST(o.o_custkey % 12 AS INTEGER) AS key,
     -60.0::DOUBLE + 62.0::DOUBLE * (l.p / 105000) AS loudness,
     CAST(o.o_orderkey % 2 AS INTEGER) AS mode,
@@ -27,13 +27,16 @@ tracks_raw AS (
     (o.o_orderkey % 89) / 88.0::DOUBLE AS acousticness,
     (o.o_orderkey % 83) / 82.0::DOUBLE AS instrumentalness,
     (o.o_custkey % 79) / 78.0::DOUBLE AS liveness,
-    l.t / 0.08::DOUBLE AS valence,
+    l.t100 / 8.0::DOUBLE AS valence,
     260.0::DOUBLE * (1.0::DOUBLE - l.q / 50) AS tempo,
     CAST(least(l.nl, 5) AS INTEGER) AS time_signature,
     CASE o.o_orderstatus WHEN 'F' THEN 'folk' WHEN 'O' THEN 'opera' ELSE 'pop' END AS genre
   FROM orders o LEFT JOIN (
-    SELECT l_orderkey, avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t,
-      avg(l_extendedprice) AS p, sum(l_quantity) AS dur, count(*) AS nl,
+    SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) / count(*) AS q,
+      sum(CAST(round(l_discount * 100) AS BIGINT)) / count(*) AS d100,
+      sum(CAST(round(l_tax * 100) AS BIGINT)) / count(*) AS t100,
+      sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / count(*) / 100.0::DOUBLE AS p,
+      CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS dur, count(*) AS nl,
       list_sort(list(DISTINCT 'S' || CAST(l_suppkey AS VARCHAR))) AS sup
     FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey)"""
 

@@ -24,13 +24,24 @@ def _s_id(c):
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-order line summary: one row per l_orderkey (partial aggregation map-side)."""
+    """Per-order line summary: one row per l_orderkey (partial aggregation map-side).
+
+    Money-like columns are summed as integer cents, so the per-order means are
+    exact and identical in any engine (no dependence on summation order).
+    """
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice"])
-    return li.groupBy("l_orderkey").agg(
-        F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"),
-        F.avg("l_extendedprice").alias("p"), F.sum("l_quantity").alias("dur"), F.count(F.lit(1)).alias("nl"),
-        F.array_sort(F.collect_set(_s_id("l_suppkey"))).alias("sup"))
+
+    def cents(c):
+        return F.round(F.col(c) * 100).cast("bigint")
+    g = li.groupBy("l_orderkey").agg(
+        F.sum(F.col("l_quantity").cast("bigint")).alias("sq"), F.sum(cents("l_discount")).alias("sd"),
+        F.sum(cents("l_tax")).alias("st"), F.sum(cents("l_extendedprice")).alias("sp"),
+        F.count(F.lit(1)).alias("nl"), F.array_sort(F.collect_set(_s_id("l_suppkey"))).alias("sup"))
+    n = F.col("nl").cast("double")
+    return g.select("l_orderkey", (F.col("sq") / n).alias("q"), (F.col("sd") / n).alias("d100"),
+                    (F.col("st") / n).alias("t100"), (F.col("sp") / n / 100.0).alias("p"),
+                    F.col("sq").cast("double").alias("dur"), "nl", "sup")
 
 
 def tracks_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +65,7 @@ def tracks_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("['"), F.array_join("sup", "', '"), F.lit("']")).alias("id_artists"),
         F.when(k % 4 == 0, F.substring(ymd, 1, 4)).otherwise(ymd).alias("release_date"),
         (F.col("q") / 50).alias("danceability"),
-        (F.col("d") * 10).alias("energy"),
+        (F.col("d100") / 10.0).alias("energy"),
         (F.col("o_custkey") % 12).cast("int").alias("key"),
         (F.lit(-60.0) + F.lit(62.0) * (F.col("p") / 105000)).alias("loudness"),
         (k % 2).cast("int").alias("mode"),
@@ -62,7 +73,7 @@ def tracks_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((k % 89) / 88.0).alias("acousticness"),
         ((k % 83) / 82.0).alias("instrumentalness"),
         ((F.col("o_custkey") % 79) / 78.0).alias("liveness"),
-        (F.col("t") / 0.08).alias("valence"),
+        (F.col("t100") / 8.0).alias("valence"),
         (F.lit(260.0) * (F.lit(1.0) - F.col("q") / 50)).alias("tempo"),
         F.least(F.col("nl"), F.lit(5)).cast("int").alias("time_signature"),
         F.when(F.col("o_orderstatus") == "F", "folk").when(F.col("o_orderstatus") == "O", "opera")
