@@ -60,3 +60,27 @@ def distinct_union(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out.distinct()
+
+
+def flatten_track_json(df: DataFrame, json_col: str, schema: str) -> DataFrame:
+    """Nested track record -> flat row.
+
+    Artist names / ids joined with ', ', album fields, popularity, explicit as
+    0/1, duration and the market count; absent fields take the reference's
+    defaults ('' / 0 / False).
+    """
+    r = F.from_json(F.col(json_col), schema).alias("r")
+    t = df.select(r)
+    arts = F.col("r.artists")
+    markets = F.col("r.available_markets")
+    return t.select(
+        F.col("r.id").alias("track_id"),
+        F.coalesce(F.col("r.name"), F.lit("")).alias("track_name"),
+        F.coalesce(F.array_join(F.transform(arts, lambda a: a["name"]), ", "), F.lit("")).alias("artist_names"),
+        F.coalesce(F.array_join(F.transform(arts, lambda a: a["id"]), ", "), F.lit("")).alias("artist_ids"),
+        F.coalesce(F.col("r.album.name"), F.lit("")).alias("album_name"),
+        F.coalesce(F.col("r.album.release_date"), F.lit("")).alias("release_date"),
+        F.coalesce(F.col("r.popularity"), F.lit(0)).alias("popularity"),
+        F.coalesce(F.col("r.explicit"), F.lit(False)).cast("int").alias("explicit"),
+        F.coalesce(F.col("r.duration_ms"), F.lit(0)).cast("bigint").alias("duration_ms"),
+        F.when(markets.isNull(), F.lit(0)).otherwise(F.size(markets)).cast("int").alias("markets_count"))
