@@ -1,22 +1,54 @@
-"""Shared lazy views for the query catalogue: prepared tracks, artists, facts."""
+"""Shared views for the query catalogue: prepared tracks, artists, facts.
+
+The fact view (orders x line aggregates x artists) feeds most analyses, as
+the joined frame does in the reference.  It is built once per session and
+source folder and persisted MEMORY_AND_DISK: later analyses read the
+materialised rows instead of re-running the lineitem aggregation and joins;
+partitions that do not fit in memory spill to local disk, and a lost
+executor's blocks are recomputed from the lineage.
+"""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from chartwise.operators.prepare import (join_artists, prepare_artists, prepare_tracks,
                                          with_artist_keys)
 from chartwise.sources.tables import artists_raw, tracks_raw
 
+_CACHE: dict = {}
+
+
+def _memo(spark: SparkSession, sf_dir: str, name: str, build):
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    df = _CACHE.get(key)
+    if df is None:
+        df = build().persist(StorageLevel.MEMORY_AND_DISK)
+        _CACHE[key] = df
+    return df
+
+
+def clear() -> None:
+    """Unpersist every memoised view."""
+    for df in _CACHE.values():
+        try:
+            df.unpersist()
+        except Exception:
+            pass
+    _CACHE.clear()
+
 
 def tracks(spark: SparkSession, sf_dir: str, round_to: bool = False) -> DataFrame:
-    return prepare_tracks(tracks_raw(spark, sf_dir), round_to=round_to)
+    return _memo(spark, sf_dir, f"tracks-{round_to}",
+                 lambda: prepare_tracks(tracks_raw(spark, sf_dir), round_to=round_to))
 
 
 def artists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare_artists(artists_raw(spark, sf_dir))
+    return _memo(spark, sf_dir, "artists", lambda: prepare_artists(artists_raw(spark, sf_dir)))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared tracks LEFT JOIN artists on the primary artist (followers 0 when absent)."""
-    return join_artists(with_artist_keys(tracks(spark, sf_dir)), artists(spark, sf_dir))
+    return _memo(spark, sf_dir, "facts",
+                 lambda: join_artists(with_artist_keys(tracks(spark, sf_dir)), artists(spark, sf_dir)))
