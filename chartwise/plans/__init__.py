@@ -1,4 +1,4 @@
 """Query catalogue: every implemented operator as a registered query."""
 
-from chartwise.plans import q_encode, q_ingest, q_learn, q_prepare, q_profile, q_rates, q_stats, q_trends  # noqa: F401
+from chartwise.plans import q_encode, q_ingest, q_learn, q_models, q_prepare, q_profile, q_rates, q_stats, q_trends  # noqa: F401
 from chartwise.plans.registry import HEADLINE, ORACLES, QUERIES  # noqa: F401
