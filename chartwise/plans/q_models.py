@@ -22,8 +22,8 @@ from chartwise.session import scratch_dir
 
 # Small training settings for the catalogue (the reference's are 300 trees of
 # depth 20 and 400 boosting rounds of depth 6; pass them to train_models).
-RF_PARAMS = {"numTrees": 40, "maxDepth": 10, "minInstancesPerNode": 2}
-GBT_PARAMS = {"maxIter": 40, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 5}
+RF_PARAMS = {"numTrees": 30, "maxDepth": 8, "minInstancesPerNode": 2}
+GBT_PARAMS = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 5}
 _TRAINED: dict = {}
 
 
