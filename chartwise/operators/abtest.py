@@ -78,3 +78,22 @@ def ab_chain(df: DataFrame, tier_col: str, label: str, tiers: Sequence[str], mod
     if min_n:
         counts = counts.filter((F.col("n_a") > min_n) & (F.col("n_b") > min_n))
     return ab_from_counts(counts, clamp_cells, with_p, keep=["k"]).withColumnRenamed("k", "pair_index")
+
+
+def ab_many(df: DataFrame, tests: Sequence[tuple[str, Column, str, Column]], label: str, clamp_cells: bool = False,
+            min_n: int = 0, with_p: bool = False) -> DataFrame:
+    """Several A/B tests (name_a, pred_a, name_b, pred_b) from ONE conditional aggregate pass."""
+    y = F.col(label)
+    aggs = []
+    for i, (_, pa, _, pb) in enumerate(tests):
+        aggs += [F.count(F.when(pa, 1)).alias(f"na{i}"), F.coalesce(F.sum(F.when(pa, y)), F.lit(0)).alias(f"sa{i}"),
+                 F.count(F.when(pb, 1)).alias(f"nb{i}"), F.coalesce(F.sum(F.when(pb, y)), F.lit(0)).alias(f"sb{i}")]
+    row = df.agg(*aggs)
+    items = F.array(*[F.struct(F.lit(i).alias("test_index"), F.lit(na).alias("group_a"), F.lit(nb).alias("group_b"),
+                               F.col(f"na{i}").alias("n_a"), F.col(f"sa{i}").alias("s_a"),
+                               F.col(f"nb{i}").alias("n_b"), F.col(f"sb{i}").alias("s_b"))
+                      for i, (na, _, nb, _) in enumerate(tests)])
+    counts = row.select(F.inline(items))
+    if min_n:
+        counts = counts.filter((F.col("n_a") >= min_n) & (F.col("n_b") >= min_n))
+    return ab_from_counts(counts, clamp_cells, with_p, keep=["test_index"])

@@ -163,6 +163,8 @@ LOG_EDGES = [i * 0.5 for i in range(17)]
 
 @register("follower_buckets", with_views(["facts"], """
 SELECT b AS bucket_index, b * 0.5::DOUBLE AS log_lo, b * 0.5::DOUBLE + 0.5::DOUBLE AS log_hi, b * 0.5::DOUBLE + 0.25::DOUBLE AS log_mid,
+  format('{:>8} – {:<10}', format('{:,}', CAST(round_even(pow(10, b * 0.5::DOUBLE), 0) AS BIGINT)),
+         format('{:,}', CAST(round_even(pow(10, b * 0.5::DOUBLE + 0.5::DOUBLE), 0) AS BIGINT))) AS label,
   CAST(round_even(pow(10, b * 0.5 + 0.25), 0) AS BIGINT) AS followers_approx,
   CAST(count(*) AS BIGINT) AS n, CAST(sum(charted) AS BIGINT) AS charted, round_even(avg(charted), 4) AS chart_rate
 FROM (SELECT charted, CAST(ceil(log10(greatest(followers, 1.0)) / 0.5) AS INTEGER) - 1 AS b
@@ -175,7 +177,9 @@ def follower_buckets(spark, sf):
     f = f.withColumn("bucket_index", right_closed_bin_index(F.log10(F.greatest("followers", F.lit(1.0))), LOG_EDGES))
     r = group_rates(f.filter(F.col("bucket_index").isNotNull()), "bucket_index", min_n=100, digits=4)
     lo = F.col("bucket_index") * 0.5
-    return r.select("bucket_index", lo.alias("log_lo"), (lo + 0.5).alias("log_hi"), (lo + 0.25).alias("log_mid"),
+    label = F.format_string("%8s – %-10s", F.format_number(F.pow(F.lit(10.0), lo), 0),
+                            F.format_number(F.pow(F.lit(10.0), lo + 0.5), 0))
+    return r.select("bucket_index", lo.alias("log_lo"), (lo + 0.5).alias("log_hi"), (lo + 0.25).alias("log_mid"), label.alias("label"),
                     fround(F.pow(F.lit(10.0), lo + 0.25), 0).cast("bigint").alias("followers_approx"),
                     "n", F.col("positives").alias("charted"), F.col("rate").alias("chart_rate"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chartwise.functions.columns import fround, weighted_sum
-from chartwise.operators.abtest import ab_chain, ab_test
+from chartwise.operators.abtest import ab_chain, ab_many, ab_test
 from chartwise.operators.quantiles import exact_quantiles
 from chartwise.operators.stattests import corr_tests, interaction_gain, quadrant_synergy, welch_profile
 from chartwise.plans import views
@@ -237,3 +237,24 @@ def _interaction_sql():
 def q_interaction_gain(spark, sf):
     """Does the product of two features correlate with the label better than either alone?"""
     return interaction_gain(views.facts(spark, sf), INTERACTION_PAIRS)
+
+
+def _quadrant_ab_sql():
+    parts = []
+    for j, (a, b, ta, tb) in enumerate(QUADRANT_TESTS):
+        hi = f"{a} >= {ta} AND {b} >= {tb}"
+        lo = f"{a} <= 1.0::DOUBLE - {ta}::DOUBLE AND {b} <= 1.0::DOUBLE - {tb}::DOUBLE"
+        parts.append(f"SELECT {j} AS test_index, 'High {a} + High {b}' AS group_a, 'Low {a} + Low {b}' AS group_b, "
+                     f"count(*) FILTER (WHERE {hi}) AS n_a, coalesce(sum(charted) FILTER (WHERE {hi}), 0) AS s_a, "
+                     f"count(*) FILTER (WHERE {lo}) AS n_b, coalesce(sum(charted) FILTER (WHERE {lo}), 0) AS s_b FROM facts")
+    counts = "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE n_a >= 30 AND n_b >= 30"
+    return with_views(["facts"], ab_sql(counts, clamp=True, keep="test_index,"))
+
+
+@register("quadrant_ab", _quadrant_ab_sql())
+def q_quadrant_ab(spark, sf):
+    """Joint-high vs joint-low quadrant A/B tests (cells clamped to >= 1), all pairs in one pass."""
+    tests = [(f"High {a} + High {b}", (F.col(a) >= ta) & (F.col(b) >= tb),
+              f"Low {a} + Low {b}", (F.col(a) <= F.lit(1.0) - F.lit(ta)) & (F.col(b) <= F.lit(1.0) - F.lit(tb)))
+             for a, b, ta, tb in QUADRANT_TESTS]
+    return ab_many(views.facts(spark, sf), tests, "charted", clamp_cells=True, min_n=30)

@@ -163,3 +163,13 @@ def test_stream_append_equals_batch(spark):
     a = q_incremental_append(spark, SF_SMALL).select("event_id", "value")
     b = q_stream_incremental_append(spark, SF_SMALL).select("event_id", "value")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_resolve_source_fallback(spark, tmp_path):
+    from chartwise.sources.files import resolve_source
+    missing = str(tmp_path / "nope.csv")
+    pq = str(tmp_path / "ckpt.parquet")
+    spark.range(5).write.parquet(pq)
+    assert resolve_source(spark, [(missing, "csv"), (pq, "parquet")]).count() == 5
+    with pytest.raises(FileNotFoundError):
+        resolve_source(spark, [(missing, "csv")])
