@@ -63,6 +63,9 @@ def roc_auc(df: DataFrame, score: str, label: str, group: Sequence[str] = (), bu
         .filter(F.col("_s").isNotNull() & F.col("_y").isNotNull())
     per = d.groupBy(*group, "_s").agg(F.count(F.when(F.col("_y") == 1, 1)).alias("_pos"),
                                       F.count(F.when(F.col("_y") == 0, 1)).alias("_neg"))
+    # the distinct-score table feeds two passes (bucket bounds, then sums): write it once
+    # so an expensive upstream (model scoring) is not evaluated twice
+    per = per.checkpoint()
     cuts = per.agg(F.percentile_approx("_s", [i / buckets for i in range(1, buckets)], accuracy).alias("q")).first()["q"]
     splits = [-float("inf")] + sorted({float(x) for x in (cuts or []) if x is not None and not math.isnan(x)}) + [float("inf")]
     per = Bucketizer(splits=splits, inputCol="_s", outputCol="_bk").transform(per)
@@ -81,37 +84,71 @@ def roc_auc(df: DataFrame, score: str, label: str, group: Sequence[str] = (), bu
                       F.col("n_neg").cast("bigint").alias("n_neg"))
 
 
+def _empty_pairs() -> pd.DataFrame:
+    return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
+                         "dist": pd.Series([], dtype="float64")})
+
+
+def block_topk(Q: np.ndarray, R: np.ndarray, qid: np.ndarray, rid: np.ndarray, k: int, exclude_self: bool,
+               margin: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact k nearest rows of R for every row of Q (ties: smaller id).
+
+    Candidates come from the BLAS form |q|^2 + |r|^2 - 2 q.r; they are re-ranked
+    with exact differences.  A row is certified when the best non-candidate's
+    approximate squared distance exceeds the k-th exact one by more than the
+    rounding bound; otherwise that row is recomputed exactly over all of R.
+    """
+    nq, nr = Q.shape[0], R.shape[0]
+    qn = np.einsum("ij,ij->i", Q, Q)
+    rn = np.einsum("ij,ij->i", R, R)
+    d2 = qn[:, None] + rn[None, :] - 2.0 * (Q @ R.T)
+    if exclude_self:
+        d2[qid[:, None] == rid[None, :]] = np.inf
+    valid = np.isfinite(d2).sum(1)
+    c = min(nr, k + margin)
+    cand = np.argpartition(d2, c - 1, axis=1)[:, :c] if c < nr else np.tile(np.arange(nr), (nq, 1))
+    diff = Q[:, None, :] - R[cand]
+    ex = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    cid = rid[cand]
+    if exclude_self:
+        ex[cid == qid[:, None]] = np.inf
+    order = np.lexsort((cid, ex), axis=-1)
+    ex_s = np.take_along_axis(ex, order, 1)
+    id_s = np.take_along_axis(cid, order, 1)
+    kk = np.minimum(k, valid)
+    out_q, out_n, out_d = [], [], []
+    err = 1e-9 * (qn + rn.max(initial=0.0)) + 1e-300
+    if c < nr:
+        rest = np.partition(d2, c, axis=1)[:, c]
+    for i in range(nq):
+        m = int(kk[i])
+        if m == 0:
+            continue
+        ok = c >= nr or rest[i] - err[i] > ex_s[i, m - 1] ** 2
+        if ok:
+            ids, ds = id_s[i, :m], ex_s[i, :m]
+        else:
+            full = np.sqrt(((R - Q[i]) ** 2).sum(1))
+            if exclude_self:
+                full[rid == qid[i]] = np.inf
+            o = np.lexsort((rid, full))[:m]
+            ids, ds = rid[o], full[o]
+        out_q.append(np.full(m, qid[i], dtype=np.int64))
+        out_n.append(ids)
+        out_d.append(ds)
+    if not out_q:
+        return np.array([], np.int64), np.array([], np.int64), np.array([], np.float64)
+    return np.concatenate(out_q), np.concatenate(out_n), np.concatenate(out_d)
+
+
 def _block_topk(k: int, exclude_self: bool):
     def run(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
+            return _empty_pairs()
         Q = np.vstack(q["v"].to_numpy()).astype(np.float64)
         R = np.vstack(r["v"].to_numpy()).astype(np.float64)
-        qid = q["id"].to_numpy(np.int64)
-        rid = r["id"].to_numpy(np.int64)
-        out_q, out_n, out_d = [], [], []
-        step = max(1, 2_000_000 // max(1, R.shape[0] * R.shape[1]))
-        for s in range(0, Q.shape[0], step):
-            diff = Q[s:s + step, None, :] - R[None, :, :]
-            dist = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-            for i in range(dist.shape[0]):
-                di = dist[i]
-                ids = rid
-                if exclude_self:
-                    keep = ids != qid[s + i]
-                    di, ids = di[keep], ids[keep]
-                if di.size == 0:
-                    continue
-                order = np.lexsort((ids, di))[:k]
-                out_q.append(np.full(order.size, qid[s + i], dtype=np.int64))
-                out_n.append(ids[order])
-                out_d.append(di[order])
-        if not out_q:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        return pd.DataFrame({"qid": np.concatenate(out_q), "nid": np.concatenate(out_n),
-                             "dist": np.concatenate(out_d)})
+        a, b, d = block_topk(Q, R, q["id"].to_numpy(np.int64), r["id"].to_numpy(np.int64), k, exclude_self)
+        return pd.DataFrame({"qid": a, "nid": b, "dist": d}) if a.size else _empty_pairs()
     return run
 
 

@@ -13,7 +13,7 @@ from chartwise.functions.columns import fround
 from chartwise.operators.encode import standardize
 from chartwise.operators.learn import cluster_profile, roc_auc
 from chartwise.operators.models import (evaluate, importances, logistic_single, permutation_importance, score,
-                                        sparse_input, train_models)
+                                        sparse_input, train_models, train_rf_smote)
 from chartwise.operators.split import sample_n
 from chartwise.plans import views
 from chartwise.plans.q_encode import CLUSTER_FEATS
@@ -53,6 +53,15 @@ def q_gbt_train(spark, sf):
     return _metrics(spark, sf, "gbt")
 
 
+@register("smote_rf_train")
+def q_smote_rf_train(spark, sf):
+    """Random forest on SMOTE-oversampled train rows (plus balanced weights); val and test metrics."""
+    t = trained(spark, sf)
+    model = train_rf_smote(t, RF_PARAMS)
+    ev = t["split"].filter(F.col("split").isin("val", "test"))
+    return evaluate(model, ev, group=["split"]).withColumn("model", F.lit("random_forest_smote"))
+
+
 @register("best_model")
 def q_best_model(spark, sf):
     """The model with the best validation AUC (first listed on ties)."""

@@ -173,3 +173,16 @@ def test_resolve_source_fallback(spark, tmp_path):
     assert resolve_source(spark, [(missing, "csv"), (pq, "parquet")]).count() == 5
     with pytest.raises(FileNotFoundError):
         resolve_source(spark, [(missing, "csv")])
+
+
+def test_block_topk_certified_matches_brute_force_with_duplicates():
+    from chartwise.operators.learn import block_topk
+    rng = np.random.default_rng(11)
+    X = np.vstack([rng.normal(size=(200, 16)), np.zeros((30, 16)), rng.normal(size=(20, 16)) * 1e4])
+    ids = np.arange(len(X), dtype=np.int64)
+    q, n, d = block_topk(X, X, ids, ids, 5, True)
+    for i in range(len(X)):
+        full = np.sqrt(((X - X[i]) ** 2).sum(1))
+        full[i] = np.inf
+        exp = np.lexsort((ids, full))[:5]
+        assert list(n[q == i]) == list(exp)
