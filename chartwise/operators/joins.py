@@ -24,9 +24,18 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
 
 
-def dimension_join(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
-                   broadcast_max_rows: int = 1_000_000) -> DataFrame:
-    return fact.join(checked_broadcast(dim, broadcast_max_rows), on, how)
+def dimension_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner",
+                   broadcast_max_rows: int = 1_000_000, hot_min_rows: int = 1_000_000,
+                   max_hot_keys: int = 1000) -> DataFrame:
+    """Fact-to-dimension equi-join on ``key`` (same name on both sides).
+
+    A dimension of at most ``broadcast_max_rows`` rows is broadcast; a larger
+    one goes through :func:`hot_key_join`, so a key holding a third of the
+    facts never lands in a single shuffle partition.
+    """
+    if row_count_at_most(dim, broadcast_max_rows):
+        return fact.join(F.broadcast(dim), key, how)
+    return hot_key_join(fact, dim, key, how, hot_min_rows, max_hot_keys)
 
 
 def hot_key_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner",

@@ -103,12 +103,14 @@ def with_artist_keys(tracks: DataFrame, list_col: str = "artist_ids", mode: str
     })
 
 
-def join_artists(tracks: DataFrame, artists: DataFrame, broadcast_max_rows: int = 1_000_000) -> DataFrame:
+def join_artists(tracks: DataFrame, artists: DataFrame, broadcast_max_rows: int = 1_000_000,
+                 hot_min_rows: int = 1_000_000) -> DataFrame:
     """Tracks LEFT JOIN artists on the primary artist; popularity clash is
     suffixed ``_track`` / ``_artist``; missing followers become 0.
 
-    The artist side is broadcast only after a row-count check; otherwise the
-    join shuffles and AQE splits a hot artist's partition.
+    The artist side is broadcast only after a row-count check; a larger one is
+    joined by shuffle with artists holding >= ``hot_min_rows`` tracks split off
+    into a broadcast of just their rows (see ``joins.hot_key_join``).
     """
     if "primary_artist_id" not in tracks.columns:
         tracks = with_artist_keys(tracks)
@@ -117,8 +119,10 @@ def join_artists(tracks: DataFrame, artists: DataFrame, broadcast_max_rows: int
     if "popularity" in keep:
         tracks = tracks.withColumnRenamed("popularity", "popularity_track")
         dim = dim.withColumnRenamed("popularity", "popularity_artist")
-    out = dimension_join(tracks, dim, tracks.primary_artist_id == dim.artist_id, "left", broadcast_max_rows)
-    return out.withColumn("followers", F.coalesce(F.col("followers"), F.lit(0.0)))
+    dim = dim.withColumn("primary_artist_id", F.col("artist_id"))
+    out = dimension_join(tracks, dim, "primary_artist_id", "left", broadcast_max_rows, hot_min_rows)
+    cols = [c for c in tracks.columns] + [c for c in dim.columns if c != "primary_artist_id"]
+    return out.select(*cols).withColumn("followers", F.coalesce(F.col("followers"), F.lit(0.0)))
 
 
 def drop_present(df: DataFrame, cols: Iterable[str] = DROP_COLUMNS) -> DataFrame:

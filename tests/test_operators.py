@@ -186,3 +186,26 @@ def test_block_topk_certified_matches_brute_force_with_duplicates():
         full[i] = np.inf
         exp = np.lexsort((ids, full))[:5]
         assert list(n[q == i]) == list(exp)
+
+
+def test_join_artists_hot_key_path_equals_broadcast_path(spark):
+    from chartwise.operators.prepare import join_artists
+    tracks = spark.createDataFrame(
+        [(str(i), "['S1']" if i % 3 == 0 else f"['S{i % 40}', 'S2']", i % 100) for i in range(3000)],
+        "track_id string, artist_ids string, popularity int")
+    artists = spark.createDataFrame([(f"S{i}", float(i * 10), "['x']", i) for i in range(1, 35)],
+                                    "artist_id string, followers double, genres string, popularity int")
+    a = join_artists(tracks, artists)                                          # broadcast
+    b = join_artists(tracks, artists, broadcast_max_rows=5, hot_min_rows=500)  # hot-key split + shuffle
+    assert a.columns == b.columns
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert a.count() == 3000
+
+
+def test_rates_with_a_third_of_rows_in_one_group(spark):
+    from chartwise.operators.rates import group_rates
+    rows = [("hot" if i % 3 == 0 else f"g{i % 97}", i % 5 == 0) for i in range(9000)]
+    df = spark.createDataFrame([(g, int(y)) for g, y in rows], "g string, y int").repartition(16)
+    out = {r["g"]: (r["n"], r["positives"]) for r in group_rates(df, "g", "y").collect()}
+    assert out["hot"] == (3000, sum(1 for i in range(0, 9000, 3) if i % 5 == 0))
+    assert sum(n for n, _ in out.values()) == 9000
