@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from chartwise.operators.models import score
 from chartwise.plans.registry import register
 from chartwise.session import scratch_dir
-from chartwise.sources.tables import read_table
 from chartwise.streaming.ingest import stream_dedup_append, stream_transform
 
 

@@ -12,7 +12,7 @@ from chartwise.operators.stattests import corr_tests
 from chartwise.operators.trends import (bucket_rates, conditional_gap, feature_trends, first_last_shift,
                                         largest_jump, period_means)
 from chartwise.plans import views
-from chartwise.plans.oracle_views import ab_counts_sql, ab_sql, with_views
+from chartwise.plans.oracle_views import ab_sql, with_views
 from chartwise.plans.q_rates import LOG_EDGES
 from chartwise.plans.q_stats import HIT_SCORE_SQL, hit_score
 from chartwise.plans.registry import register

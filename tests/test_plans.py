@@ -3,7 +3,6 @@
 import contextlib
 import io
 
-from pyspark.sql import functions as F
 
 from chartwise.operators.ingest import keep_first
 from chartwise.operators.split import stratified_split
