@@ -71,7 +71,7 @@ def packed_tracks(spark, sf):
          .alias("album"),
         F.floor(F.col("o_totalprice") / 5000).cast("int").alias("popularity"),
         (F.col("o_orderpriority") == "1-URGENT").alias("explicit"),
-        (F.size("lines") * 60000).cast("bigint").alias("duration_ms"),
+        F.when(F.col("lines").isNotNull(), F.size("lines") * 60000).cast("bigint").alias("duration_ms"),
         F.transform(F.filter("lines", lambda x: x["l_returnflag"] != "N"), lambda x: x["l_returnflag"])
          .alias("available_markets"))
     return j.select(F.to_json(rec).alias("json"))
@@ -158,14 +158,17 @@ def q_distinct_union(spark, sf):
 
 
 def _event_batches(spark, sf):
-    """Two overlapping ingest batches over the whole events table, cut at 60 % and 40 % of its time span."""
+    """Two overlapping ingest batches over the whole events table, cut at 60 % and 40 % of its time span.
+
+    The cut-offs are scalar subqueries evaluated by Spark (no timestamp passes
+    through Python, so the session time zone cannot shift them).
+    """
     e = read_table(spark, sf, "events", ["event_id", "ts", "user_id", "event_type", "value"])
-    span = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    a, b = span["a"], span["b"]
-    t_old = a + (b - a) * 0.6
-    t_new = a + (b - a) * 0.4
-    existing = e.filter(F.col("ts") < F.lit(t_old))
-    incoming = e.filter(F.col("ts") >= F.lit(t_new)).withColumn("value", F.col("value") * 2.0)
+
+    def cut(frac):
+        return e.agg((F.min("ts") + (F.max("ts") - F.min("ts")) * F.lit(frac)).alias("t")).scalar()
+    existing = e.filter(F.col("ts") < cut(0.6))
+    incoming = e.filter(F.col("ts") >= cut(0.4)).withColumn("value", F.col("value") * 2.0)
     return existing, incoming
 
 
