@@ -50,7 +50,7 @@ def one_hot(df: DataFrame, col: str, prefix: str, drop_first: bool = True, max_c
     return df.withColumns({f"{prefix}_{v}": (x == F.lit(v)).cast("int") for v in keep}).drop(col)
 
 
-def medians(df: DataFrame, cols: Sequence[str], accuracy: int = 100_000) -> dict:
+def medians(df: DataFrame, cols: Sequence[str], accuracy: int = 1000) -> dict:
     q = exact_quantiles(df, cols, [0.5], accuracy)
     return {c: q[(c, 0.5)] for c in cols}
 

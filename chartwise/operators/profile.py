@@ -96,7 +96,7 @@ def duplicate_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 4,
-             accuracy: int = 100_000) -> DataFrame:
+             accuracy: int = 1000) -> DataFrame:
     """E5: mean, sample std, min, quartiles (linear), max per feature (4 dp).
 
     Moments come from one aggregate pass; quartiles from the exact selection

@@ -1,23 +1,27 @@
 """Exact linear-interpolated quantiles (pandas/numpy ``quantile``) at any scale.
 
 Spark's exact ``percentile`` keeps a value->count map per group, which grows
-with the number of distinct values; at 100 TB that map does not fit a task.
-Here exactness comes from selection instead:
-
-1. one aggregate pass: ``count`` and ``percentile_approx`` at p - m and p + m
-   (rank error of the sketch <= n / accuracy, so the target ranks lie between
-   the two bracket values);
-2. one aggregate pass: rows below the lower bracket, rows equal to each
-   bracket and rows strictly between (ties are counted, never materialised,
-   so a value held by a third of all rows costs nothing);
-3. only if a target rank falls strictly inside a bracket: explode the rows
-   strictly between the brackets (about 2 m n of them) and rank them with a
-   window partitioned by (column, probability).
+with the number of distinct values; a high-accuracy ``percentile_approx``
+ships one large sketch per task to the single reducer of a global aggregate.
+Here exactness comes from distributed selection instead:
+
+1. count the non-null values of every column;
+2. bracket each target rank with a coarse ``percentile_approx`` (small
+   sketches, ``accuracy`` ~ 1,000) taken only over the rows still inside the
+   current bracket;
+3. count, in one aggregate pass, the rows below the bracket, equal to either
+   end and strictly inside it (ties are counted, never materialised, so a value
+   held by a third of all rows costs nothing);
+4. repeat 2-3 while more than ``band_max`` rows remain strictly inside (each
+   round shrinks the band by about accuracy / 6);
+5. rank the few rows strictly inside the final bracket with a window
+   partitioned by (column, probability).
 
 Every step is a distributed aggregate or a bounded window; the driver sees a
-handful of numbers per (column, probability).  Should a bracket ever miss
-(it cannot under the sketch's guarantee), that column falls back to Spark's
-exact ``percentile``.
+handful of numbers per (column, probability).  If a bracket ever misses its
+rank (the sketch guarantee makes this unexpected) the round is retried with
+the bracket widened to the previous one, and after ``max_rounds`` that column
+falls back to Spark's exact ``percentile``.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,93 +39,137 @@ def _lerp(a: float, b: float, t: float) -> float:
     return b - d * (1.0 - t) if t >= 0.5 else a + d * t
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    accuracy: int = 100_000, nan_as_null: bool = True) -> dict:
+def _inside(x, lo, hi):
+    cond = F.lit(True)
+    if lo is not None:
+        cond = cond & (x > F.lit(lo))
+    if hi is not None:
+        cond = cond & (x < F.lit(hi))
+    return x.isNotNull() & cond
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 1000,
+                    band_max: int = 1_000_000, max_rounds: int = 8, nan_as_null: bool = True) -> dict:
     """Return {(col, p): value} (None for an all-null column)."""
     cols, probs = list(cols), list(probs)
-    margin = 3.0 / accuracy
     x = {c: (F.when(~F.isnan(F.col(c)), F.col(c).cast("double")) if nan_as_null else F.col(c).cast("double"))
          for c in cols}
-    brackets = []
-    for p in probs:
-        brackets += [max(0.0, p - margin), min(1.0, p + margin)]
-    a_row = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)],
-                   *[F.percentile_approx(x[c], brackets, accuracy).alias(f"a{i}") for i, c in enumerate(cols)]).first()
-    plan = {}
-    b_aggs = []
+    row = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    st = {}
     for i, c in enumerate(cols):
-        n = a_row[f"n{i}"]
-        for j, p in enumerate(probs):
+        n = row[f"n{i}"]
+        for p in probs:
             if not n:
-                plan[(c, p)] = None
+                st[(c, p)] = None
                 continue
-            lo, hi = a_row[f"a{i}"][2 * j], a_row[f"a{i}"][2 * j + 1]
             h = (n - 1) * p
             k0 = int(math.floor(h))
-            k1 = min(k0 + 1, n - 1)
-            plan[(c, p)] = dict(i=i, j=j, lo=lo, hi=hi, k0=k0, k1=k1, t=h - k0)
-            tag = f"{i}_{j}"
-            b_aggs += [F.count(F.when(x[c] < lo, 1)).alias(f"below{tag}"),
-                       F.count(F.when(x[c] == lo, 1)).alias(f"eqlo{tag}"),
-                       F.count(F.when((x[c] == hi) & F.lit(hi != lo), 1)).alias(f"eqhi{tag}"),
-                       F.count(F.when((x[c] > lo) & (x[c] < hi), 1)).alias(f"inner{tag}")]
-    b_row = df.agg(*b_aggs).first() if b_aggs else Row()
-    need_inner = {}
+            # bracket (lo, hi) = open interval; below = rows < lo (or <= lo excluded), eqlo/eqhi = ties at ends
+            st[(c, p)] = dict(c=c, k=(k0, min(k0 + 1, n - 1)), t=h - k0, lo=None, hi=None,
+                              below=0, eqlo=0, eqhi=0, inner=n)
+
+    def placement(s, k):
+        """Where rank k falls: ('lo'|'hi'|'in', offset) or None if outside the bracket."""
+        b, el, inn, eh = s["below"], s["eqlo"], s["inner"], s["eqhi"]
+        if k < b or k >= b + el + inn + eh:
+            return None
+        if k < b + el:
+            return ("lo", 0)
+        if k < b + el + inn:
+            return ("in", k - b - el)
+        return ("hi", 0)
+
     fallback = set()
-    result = {}
-    for (c, p), pl in plan.items():
-        if pl is None:
-            result[(c, p)] = None
-            continue
-        tag = f"{pl['i']}_{pl['j']}"
-        below, eqlo, eqhi, inner = (b_row[f"below{tag}"], b_row[f"eqlo{tag}"], b_row[f"eqhi{tag}"],
-                                    b_row[f"inner{tag}"])
-        picks = []
-        for k in (pl["k0"], pl["k1"]):
-            if k < below or k >= below + eqlo + inner + eqhi:
-                fallback.add(c)
-                break
-            if k < below + eqlo:
-                picks.append(("v", pl["lo"]))
-            elif k < below + eqlo + inner:
-                picks.append(("r", k - below - eqlo))
-                need_inner.setdefault((pl["i"], pl["j"]), set()).add(k - below - eqlo)
+    acc = accuracy
+    for _ in range(max_rounds):
+        pending = [key for key, s in st.items() if s is not None and s["c"] not in fallback and s["inner"] > band_max
+                   and any(placement(s, k)[0] == "in" for k in s["k"])]
+        if not pending:
+            break
+        margin = 3.0 / acc
+        sk = []
+        for j, key in enumerate(pending):
+            s = st[key]
+            r0, r1 = (placement(s, k)[1] for k in s["k"])
+            q = [max(0.0, r0 / s["inner"] - margin), min(1.0, (r1 + 1) / s["inner"] + margin)]
+            sk.append(F.percentile_approx(F.when(_inside(x[s["c"]], s["lo"], s["hi"]), x[s["c"]]), q, acc)
+                      .alias(f"q{j}"))
+        qrow = df.agg(*sk).first()
+        counts = []
+        proposals = {}
+        for j, key in enumerate(pending):
+            s = st[key]
+            nlo, nhi = qrow[f"q{j}"]
+            proposals[key] = (nlo, nhi)
+            xc = x[s["c"]]
+            counts += [F.count(F.when(xc < nlo, 1)).alias(f"b{j}"), F.count(F.when(xc == nlo, 1)).alias(f"l{j}"),
+                       F.count(F.when((xc == nhi) & F.lit(nhi != nlo), 1)).alias(f"h{j}"),
+                       F.count(F.when((xc > nlo) & (xc < nhi), 1)).alias(f"i{j}")]
+        crow = df.agg(*counts).first()
+        missed = False
+        for j, key in enumerate(pending):
+            s = st[key]
+            nlo, nhi = proposals[key]
+            cand = dict(s, lo=nlo, hi=nhi, below=crow[f"b{j}"], eqlo=crow[f"l{j}"], eqhi=crow[f"h{j}"],
+                        inner=crow[f"i{j}"])
+            if all(placement(cand, k) is not None for k in s["k"]):
+                st[key] = cand
             else:
-                picks.append(("v", pl["hi"]))
-        pl["picks"] = picks
+                missed = True
+        if missed:
+            acc *= 4
+    for key, s in st.items():
+        if s is not None and s["inner"] > band_max and any(placement(s, k)[0] == "in" for k in s["k"]):
+            fallback.add(s["c"])
+
+    need = {}
+    for key, s in st.items():
+        if s is None or s["c"] in fallback:
+            continue
+        for k in s["k"]:
+            where, off = placement(s, k)
+            if where == "in":
+                need.setdefault(key, set()).add(off)
     inner_vals = {}
-    if need_inner:
+    if need:
+        keys = list(need)
         items = []
-        for (i, j), ranks in need_inner.items():
-            c = cols[i]
-            pl = plan[(c, probs[j])]
-            items.append(F.when((x[c] > pl["lo"]) & (x[c] < pl["hi"]),
-                                F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), x[c].alias("v"))))
+        for j, key in enumerate(keys):
+            s = st[key]
+            items.append(F.when(_inside(x[s["c"]], s["lo"], s["hi"]),
+                                F.struct(F.lit(j).alias("j"), x[s["c"]].alias("v"))))
         band = df.select(F.explode(F.filter(F.array(*items), lambda e: e.isNotNull())).alias("e")).select("e.*")
-        w = Window.partitionBy("i", "j").orderBy("v")
-        ranked = band.withColumn("r", F.row_number().over(w) - 1)
+        ranked = band.withColumn("r", F.row_number().over(Window.partitionBy("j").orderBy("v")) - 1)
         wanted = F.lit(False)
-        for (i, j), ranks in need_inner.items():
-            wanted = wanted | ((F.col("i") == i) & (F.col("j") == j) & F.col("r").isin(sorted(ranks)))
+        for j, key in enumerate(keys):
+            wanted = wanted | ((F.col("j") == j) & F.col("r").isin(sorted(need[key])))
         for r in ranked.filter(wanted).collect():
-            inner_vals[(r["i"], r["j"], r["r"])] = r["v"]
-    for (c, p), pl in plan.items():
-        if pl is None or c in fallback:
+            inner_vals[(keys[r["j"]], r["r"])] = r["v"]
+
+    result = {}
+    for key, s in st.items():
+        if s is None:
+            result[key] = None
+            continue
+        if s["c"] in fallback:
             continue
-        vals = [v if kind == "v" else inner_vals[(pl["i"], pl["j"], v)] for kind, v in pl["picks"]]
-        result[(c, p)] = _lerp(vals[0], vals[1], pl["t"])
+        vals = []
+        for k in s["k"]:
+            where, off = placement(s, k)
+            vals.append(s["lo"] if where == "lo" else s["hi"] if where == "hi" else inner_vals[(key, off)])
+        result[key] = _lerp(vals[0], vals[1], s["t"])
     if fallback:
         fb = sorted(fallback)
-        row = df.agg(*[F.percentile(x[c], probs).alias(f"f{k}") for k, c in enumerate(fb)]).first()
+        frow = df.agg(*[F.percentile(x[c], probs).alias(f"f{k}") for k, c in enumerate(fb)]).first()
         for k, c in enumerate(fb):
             for j, p in enumerate(probs):
-                result[(c, p)] = row[f"f{k}"][j] if row[f"f{k}"] is not None else None
+                result[(c, p)] = frow[f"f{k}"][j] if frow[f"f{k}"] is not None else None
     return result
 
 
-def quantile_frame(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 100_000) -> DataFrame:
+def quantile_frame(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> DataFrame:
     """(feature, prob, value) rows of :func:`exact_quantiles`."""
-    q = exact_quantiles(df, cols, probs, accuracy)
+    q = exact_quantiles(df, cols, probs, **kw)
     spark = df.sparkSession
     return spark.createDataFrame([(c, float(p), None if v is None else float(v)) for (c, p), v in q.items()],
                                  "feature string, prob double, value double")

@@ -209,3 +209,13 @@ def test_rates_with_a_third_of_rows_in_one_group(spark):
     out = {r["g"]: (r["n"], r["positives"]) for r in group_rates(df, "g", "y").collect()}
     assert out["hot"] == (3000, sum(1 for i in range(0, 9000, 3) if i % 5 == 0))
     assert sum(n for n, _ in out.values()) == 9000
+
+
+def test_exact_quantiles_refinement_rounds(spark):
+    rng = np.random.default_rng(2)
+    vals = np.concatenate([np.full(6000, 0.5), rng.exponential(size=12000), rng.integers(0, 5, 2000).astype(float)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(9)
+    probs = [0.05, 0.3, 0.5, 0.77, 0.999]
+    q = exact_quantiles(df, ["x"], probs, accuracy=20, band_max=300)
+    for p in probs:
+        assert q[("x", p)] == pytest.approx(float(np.quantile(vals, p)), abs=1e-12)
