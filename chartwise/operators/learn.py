@@ -2,12 +2,11 @@
 
 Scale notes
 -----------
-* ROC-AUC: scores are first reduced to one row per distinct score, then cut
-  into value buckets (approximate quantiles + ``Bucketizer``); running
-  negative counts are computed per bucket over bucket totals (a window over
-  <= ``buckets`` rows) and inside each bucket (a window over its distinct
-  scores).  No window ever spans all rows, and a score shared by a third of
-  the rows is a single aggregated row.
+* ROC-AUC: scores are first reduced to one row per distinct score, then
+  range-partitioned by score into ordered partitions of bounded size; running
+  negative counts are computed inside each partition and offset by the totals
+  of the preceding partitions (a prefix sum in two phases).  No window ever
+  spans all rows, and a score shared by a third of the rows is one row.
 * kNN: exact.  Rows are hashed into blocks of at most ``block_rows``; every
   (query block, reference block) pair meets in one ``cogroup`` task where
   numpy computes the distances and keeps the ``k`` best per query.  Only k
@@ -22,9 +21,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartwise.functions.columns import fround, uniform
 
@@ -55,29 +54,69 @@ def metrics_from_confusion(tn: int, fp: int, fn: int, tp: int) -> dict:
             "recall": round(rec, 4), "f1": round(f1, 4)}
 
 
-def roc_auc(df: DataFrame, score: str, label: str, group: Sequence[str] = (), buckets: int = 1024,
-            accuracy: int = 10_000) -> DataFrame:
-    """Exact ROC-AUC with ties counted half, per ``group`` (Mann-Whitney form)."""
+def _running_negatives(group: Sequence[str]):
+    """Per range partition (rows sorted by group, score): negatives strictly below each
+    score inside the partition, carried across Arrow batches.  Rows of a group are
+    contiguous, so only the first group of a batch can continue the previous one."""
+    def run(batches):
+        last_key, last_total = None, 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            neg = pdf["_neg"].to_numpy(np.int64)
+            if group:
+                g = pdf[list(group)]
+                new_block = (g != g.shift()).any(axis=1).to_numpy()
+                new_block[0] = True
+                block = np.cumsum(new_block) - 1
+                cs = pd.Series(neg).groupby(block).cumsum().to_numpy()
+                below = cs - neg
+                first_key = tuple(g.iloc[0])
+                if last_key is not None and first_key == last_key:
+                    below[block == 0] += last_total
+                key = tuple(g.iloc[-1])
+                tail = int(cs[-1]) + (last_total if (block[-1] == 0 and last_key == key) else 0)
+                last_key, last_total = key, tail
+            else:
+                cs = np.cumsum(neg)
+                below = last_total + cs - neg
+                last_total += int(cs[-1])
+            yield pdf.assign(_below=below)
+    return run
+
+
+def roc_auc(df: DataFrame, score: str, label: str, group: Sequence[str] = (),
+            rows_per_partition: int = 1_000_000) -> DataFrame:
+    """Exact ROC-AUC with ties counted half, per ``group`` (Mann-Whitney form).
+
+    Distributed prefix sum: one row per (group, distinct score) with its positive
+    and negative counts; that table is range-partitioned by (group, score) into
+    ~rows / ``rows_per_partition`` ordered partitions and sorted inside each;
+    running negatives are computed inside every partition (vectorised, no
+    further shuffle) and offset by the totals of the preceding partitions (a
+    table of one row per partition and group).  No task holds more than one
+    range partition, and a score shared by a third of the rows is one row.
+    """
     group = list(group)
     d = df.select(*group, F.col(score).cast("double").alias("_s"), F.col(label).cast("int").alias("_y")) \
         .filter(F.col("_s").isNotNull() & F.col("_y").isNotNull())
     per = d.groupBy(*group, "_s").agg(F.count(F.when(F.col("_y") == 1, 1)).alias("_pos"),
                                       F.count(F.when(F.col("_y") == 0, 1)).alias("_neg"))
-    # the distinct-score table feeds two passes (bucket bounds, then sums): write it once
-    # so an expensive upstream (model scoring) is not evaluated twice
+    # the distinct-score table feeds several passes: write it once so an
+    # expensive upstream (model scoring) is not evaluated again
     per = per.checkpoint()
-    cuts = per.agg(F.percentile_approx("_s", [i / buckets for i in range(1, buckets)], accuracy).alias("q")).first()["q"]
-    splits = [-float("inf")] + sorted({float(x) for x in (cuts or []) if x is not None and not math.isnan(x)}) + [float("inf")]
-    per = Bucketizer(splits=splits, inputCol="_s", outputCol="_bk").transform(per)
-    tot = per.groupBy(*group, "_bk").agg(F.sum("_neg").alias("_bneg"))
-    wb = Window.partitionBy(*group).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("_off", F.coalesce(F.sum("_bneg").over(wb), F.lit(0)))
-    per = per.join(F.broadcast(tot.drop("_bneg")), group + ["_bk"])
-    ws = Window.partitionBy(*group, "_bk").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_below", F.col("_off") + F.coalesce(F.sum("_neg").over(ws), F.lit(0)))
-    out = per.groupBy(*group).agg(
-        F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0)).alias("_w"),
-        F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
+    n_parts = max(1, math.ceil(per.count() / rows_per_partition))
+    ordered = per.repartitionByRange(n_parts, *group, "_s").sortWithinPartitions(*group, "_s") \
+        .withColumn("_pid", F.spark_partition_id())
+    schema = T.StructType(list(ordered.schema.fields) + [T.StructField("_below", T.LongType())])
+    within = ordered.mapInPandas(_running_negatives(group), schema)
+    tot = ordered.groupBy(*group, "_pid").agg(F.sum("_neg").alias("_pneg"))
+    wp = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.withColumn("_off", F.coalesce(F.sum("_pneg").over(wp), F.lit(0))).drop("_pneg")
+    j = within.join(F.broadcast(off), group + ["_pid"])
+    below = F.col("_off") + F.col("_below")
+    out = j.groupBy(*group).agg(F.sum(F.col("_pos") * (below + F.col("_neg") / 2.0)).alias("_w"),
+                                F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
     auc = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
                  F.col("_w") / (F.col("n_pos").cast("double") * F.col("n_neg").cast("double")))
     return out.select(*group, fround(auc, 6).alias("auc"), F.col("n_pos").cast("bigint").alias("n_pos"),

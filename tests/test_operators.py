@@ -83,12 +83,12 @@ def test_sample_n_exact(spark):
 def test_auc_ties_and_reversal(spark):
     rows = [(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1), (0.5, 0), (0.5, 1)]
     df = spark.createDataFrame(rows, "s double, y int")
-    a = roc_auc(df, "s", "y", buckets=4).first()["auc"]
+    a = roc_auc(df, "s", "y", rows_per_partition=2).first()["auc"]
     pos = [s for s, y in rows if y == 1]
     neg = [s for s, y in rows if y == 0]
     exp = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
     assert a == pytest.approx(exp, abs=1e-6)
-    b = roc_auc(df.withColumn("s", -F.col("s")), "s", "y", buckets=4).first()["auc"]
+    b = roc_auc(df.withColumn("s", -F.col("s")), "s", "y", rows_per_partition=2).first()["auc"]
     assert a + b == pytest.approx(1.0, abs=2e-6)
 
 
@@ -219,3 +219,22 @@ def test_exact_quantiles_refinement_rounds(spark):
     q = exact_quantiles(df, ["x"], probs, accuracy=20, band_max=300)
     for p in probs:
         assert q[("x", p)] == pytest.approx(float(np.quantile(vals, p)), abs=1e-12)
+
+
+def test_auc_grouped_many_partitions(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(np.round(rng.normal() + y * 0.7 * (g + 1), 2)), int(y))
+            for g in range(3) for y in rng.integers(0, 2, 700)]
+    df = spark.createDataFrame(rows, "g int, s double, y int")
+    got = {r["g"]: r["auc"] for r in roc_auc(df, "s", "y", group=["g"], rows_per_partition=37).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")   # groups span Arrow batches
+    try:
+        got2 = {r["g"]: r["auc"] for r in roc_auc(df, "s", "y", group=["g"], rows_per_partition=500).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got2 == got
+    for g in range(3):
+        pos = np.array([s for gg, s, y in rows if gg == g and y == 1])
+        neg = np.array([s for gg, s, y in rows if gg == g and y == 0])
+        exp = ((pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()) / (len(pos) * len(neg))
+        assert got[g] == pytest.approx(exp, abs=1e-6)
