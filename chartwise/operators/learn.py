@@ -106,8 +106,10 @@ def roc_auc(df: DataFrame, score: str, label: str, group: Sequence[str] = (),
     # expensive upstream (model scoring) is not evaluated again
     per = per.checkpoint()
     n_parts = max(1, math.ceil(per.count() / rows_per_partition))
+    # range bounds come from sampling, so the partitioned table is written once:
+    # the running sums and the partition totals must see the same partitions
     ordered = per.repartitionByRange(n_parts, *group, "_s").sortWithinPartitions(*group, "_s") \
-        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_pid", F.spark_partition_id()).checkpoint()
     schema = T.StructType(list(ordered.schema.fields) + [T.StructField("_below", T.LongType())])
     within = ordered.mapInPandas(_running_negatives(group), schema)
     tot = ordered.groupBy(*group, "_pid").agg(F.sum("_neg").alias("_pneg"))
