@@ -25,15 +25,18 @@ def category_values(df: DataFrame, col: str, max_categories: int = 10_000) -> li
 
 
 def label_encode(df: DataFrame, col: str, out: str | None = None,
-                 max_categories: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+                 max_categories: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """H7: sorted distinct values -> 0..k-1.  Returns (encoded frame, mapping frame).
 
-    The mapping is computed on the distinct values only (a window over k rows)
-    and joined back by broadcast when k is within the checked bound.
+    The mapping is computed on the distinct values only (a window over k rows,
+    k checked against ``max_categories`` first) and joined back by broadcast
+    when k is within the broadcast bound.
     """
     out = out or f"{col}_enc"
-    mapping = (df.select(F.col(col).cast("string").alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-               .withColumn("_i", (F.row_number().over(Window.orderBy("_v")) - 1).cast("int")))
+    values = df.select(F.col(col).cast("string").alias("_v")).filter(F.col("_v").isNotNull()).distinct()
+    if values.limit(max_categories + 1).count() > max_categories:
+        raise ValueError(f"{col} has more than {max_categories} categories")
+    mapping = values.withColumn("_i", (F.row_number().over(Window.orderBy("_v")) - 1).cast("int"))
     enc = df.withColumn("_v", F.col(col).cast("string")).join(checked_broadcast(mapping, max_categories), "_v", "left") \
         .withColumnRenamed("_i", out).drop("_v")
     return enc, mapping.select(F.col("_v").alias("category"), F.col("_i").alias("code"))
