@@ -17,6 +17,9 @@ Here exactness comes from distributed selection instead:
 5. rank the few rows strictly inside the final bracket with a window
    partitioned by (column, probability).
 
+Inputs whose count pass shows at most ``direct_max_rows`` values per column
+use Spark's exact ``percentile`` directly (its map is then provably small).
+
 Every step is a distributed aggregate or a bounded window; the driver sees a
 handful of numbers per (column, probability).  If a bracket ever misses its
 rank (the sketch guarantee makes this unexpected) the round is retried with
@@ -48,13 +51,28 @@ def _inside(x, lo, hi):
     return x.isNotNull() & cond
 
 
+def _direct(df: DataFrame, x: dict, cols: Sequence[str], probs: Sequence[float]) -> dict:
+    """Spark's exact ``percentile`` (same linear interpolation)."""
+    row = df.agg(*[F.percentile(x[c], list(probs)).alias(f"f{k}") for k, c in enumerate(cols)]).first()
+    return {(c, p): (row[f"f{k}"][j] if row[f"f{k}"] is not None else None)
+            for k, c in enumerate(cols) for j, p in enumerate(probs)}
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 1000,
-                    band_max: int = 1_000_000, max_rounds: int = 8, nan_as_null: bool = True) -> dict:
-    """Return {(col, p): value} (None for an all-null column)."""
+                    band_max: int = 200_000, max_rounds: int = 8, nan_as_null: bool = True,
+                    direct_max_rows: int = 2_000_000) -> dict:
+    """Return {(col, p): value} (None for an all-null column).
+
+    When the first (count) pass shows at most ``direct_max_rows`` values per
+    column, the value->count map of Spark's exact ``percentile`` is provably
+    small and that aggregate is used directly; larger inputs use selection.
+    """
     cols, probs = list(cols), list(probs)
     x = {c: (F.when(~F.isnan(F.col(c)), F.col(c).cast("double")) if nan_as_null else F.col(c).cast("double"))
          for c in cols}
     row = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    if all((row[f"n{i}"] or 0) <= direct_max_rows for i in range(len(cols))):
+        return _direct(df, x, cols, probs)
     st = {}
     for i, c in enumerate(cols):
         n = row[f"n{i}"]
@@ -129,22 +147,20 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         for k in s["k"]:
             where, off = placement(s, k)
             if where == "in":
-                need.setdefault(key, set()).add(off)
+                # probabilities sharing a column and bracket share one ranked band
+                need.setdefault((s["c"], s["lo"], s["hi"]), set()).add(off)
     inner_vals = {}
     if need:
-        keys = list(need)
-        items = []
-        for j, key in enumerate(keys):
-            s = st[key]
-            items.append(F.when(_inside(x[s["c"]], s["lo"], s["hi"]),
-                                F.struct(F.lit(j).alias("j"), x[s["c"]].alias("v"))))
+        bands = list(need)
+        items = [F.when(_inside(x[c], lo, hi), F.struct(F.lit(j).alias("j"), x[c].alias("v")))
+                 for j, (c, lo, hi) in enumerate(bands)]
         band = df.select(F.explode(F.filter(F.array(*items), lambda e: e.isNotNull())).alias("e")).select("e.*")
         ranked = band.withColumn("r", F.row_number().over(Window.partitionBy("j").orderBy("v")) - 1)
         wanted = F.lit(False)
-        for j, key in enumerate(keys):
-            wanted = wanted | ((F.col("j") == j) & F.col("r").isin(sorted(need[key])))
+        for j, b in enumerate(bands):
+            wanted = wanted | ((F.col("j") == j) & F.col("r").isin(sorted(need[b])))
         for r in ranked.filter(wanted).collect():
-            inner_vals[(keys[r["j"]], r["r"])] = r["v"]
+            inner_vals[(bands[r["j"]], r["r"])] = r["v"]
 
     result = {}
     for key, s in st.items():
@@ -156,14 +172,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         vals = []
         for k in s["k"]:
             where, off = placement(s, k)
-            vals.append(s["lo"] if where == "lo" else s["hi"] if where == "hi" else inner_vals[(key, off)])
+            vals.append(s["lo"] if where == "lo" else s["hi"] if where == "hi"
+                        else inner_vals[((s["c"], s["lo"], s["hi"]), off)])
         result[key] = _lerp(vals[0], vals[1], s["t"])
     if fallback:
-        fb = sorted(fallback)
-        frow = df.agg(*[F.percentile(x[c], probs).alias(f"f{k}") for k, c in enumerate(fb)]).first()
-        for k, c in enumerate(fb):
-            for j, p in enumerate(probs):
-                result[(c, p)] = frow[f"f{k}"][j] if frow[f"f{k}"] is not None else None
+        result.update(_direct(df, x, sorted(fallback), probs))
     return result
 
 

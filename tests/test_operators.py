@@ -46,7 +46,7 @@ def test_exact_quantiles_with_heavy_ties(spark):
     vals = np.concatenate([np.zeros(5000), rng.normal(size=10000), np.full(100, np.nan)])
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(7)
     probs = [0.1, 0.25, 0.5, 0.75, 0.9]
-    q = exact_quantiles(df, ["x"], probs, accuracy=200)
+    q = exact_quantiles(df, ["x"], probs, accuracy=200, direct_max_rows=0)
     clean = vals[~np.isnan(vals)]
     for p in probs:
         assert q[("x", p)] == pytest.approx(float(np.quantile(clean, p)), abs=1e-12)
@@ -216,7 +216,8 @@ def test_exact_quantiles_refinement_rounds(spark):
     vals = np.concatenate([np.full(6000, 0.5), rng.exponential(size=12000), rng.integers(0, 5, 2000).astype(float)])
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(9)
     probs = [0.05, 0.3, 0.5, 0.77, 0.999]
-    q = exact_quantiles(df, ["x"], probs, accuracy=20, band_max=300)
+    q = exact_quantiles(df, ["x"], probs, accuracy=20, band_max=300, direct_max_rows=0)
+    assert q == pytest.approx(exact_quantiles(df, ["x"], probs))
     for p in probs:
         assert q[("x", p)] == pytest.approx(float(np.quantile(vals, p)), abs=1e-12)
 
