@@ -25,16 +25,6 @@ def _memo(spark: SparkSession, sf_dir: str, name: str, build):
     df = _CACHE.get(key)
     if df is None:
         df = build().persist(StorageLevel.MEMORY_AND_DISK)
-        df.count()
-        # a small source can come out of the scan in fewer partitions than the
-        # session has cores (one file split); spread it so later analyses run in
-        # parallel.  Large data already has many partitions and is left alone.
-        par = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:
-            spread = df.repartition(par).persist(StorageLevel.MEMORY_AND_DISK)
-            spread.count()
-            df.unpersist()
-            df = spread
         _CACHE[key] = df
     return df
 
