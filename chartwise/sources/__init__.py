@@ -1,0 +1 @@
+"""Table scans, analog views and file sources / sinks."""

@@ -1,0 +1 @@
+"""Structured Streaming forms of incremental ingest and scoring."""
