@@ -63,10 +63,15 @@ def assign_by_rank(df: DataFrame, class_col: str, key: str, cuts: dict, labels:
     starts = counts.withColumn("_start", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
     k = max(len(v) for v in cuts.values())
     cut_rows = [(c, *[int(x) for x in v] + [None] * (k - len(v))) for c, v in cuts.items()]
-    cut_df = spark.createDataFrame(cut_rows, ", ".join(["_c " + df.schema[class_col].dataType.simpleString()]
-                                                       + [f"_k{i} long" for i in range(k)]))
-    cut_df = cut_df.withColumnRenamed("_c", "_cc")
-    info = starts.join(F.broadcast(cut_df), starts["_c"].eqNullSafe(cut_df["_cc"])).drop("_cc")
+    if len(cut_rows) == 1:
+        # one class: the cut-offs are literals (a join on a constant key would plan as a nested loop)
+        c0, *ks = cut_rows[0]
+        info = starts.filter(F.col("_c").eqNullSafe(F.lit(c0))) \
+            .withColumns({f"_k{i}": F.lit(v).cast("long") for i, v in enumerate(ks)})
+    else:
+        cut_df = spark.createDataFrame(cut_rows, ", ".join(["_cc " + df.schema[class_col].dataType.simpleString()]
+                                                           + [f"_k{i} long" for i in range(k)]))
+        info = starts.join(F.broadcast(cut_df), starts["_c"].eqNullSafe(cut_df["_cc"])).drop("_cc")
     lab = F.array(*[F.lit(x) for x in labels])
 
     def label_of(rank):

@@ -62,3 +62,15 @@ def test_keep_first_is_an_aggregate_not_a_window(spark):
 def test_group_rates_use_partial_aggregation(spark):
     p = plan(QUERIES["collab_tiers"](spark, SF_SMALL))
     assert p.count("HashAggregate") >= 2  # partial (map side) + final
+
+
+def test_no_cross_or_nested_loop_joins_in_any_oracle_query(spark):
+    import __spark_entry__ as entry
+    qs = entry.queries()
+    bad = {}
+    for name in sorted(entry.oracle_sql()):
+        p = plan(qs[name](spark, SF_SMALL))
+        hits = [k for k in ("CartesianProduct", "BroadcastNestedLoopJoin") if k in p]
+        if hits:
+            bad[name] = hits
+    assert not bad, bad
