@@ -5,13 +5,13 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartwise.session import ensure_checkpoint_dir
 
-#: At most this many keys count as hot (see :func:`hot_join`), which bounds what is broadcast.
-HOT_KEYS = 5000
+#: Stands for a null id while rows are grouped and joined; smaller than any id in use.
+NULL_ID = -(1 << 63)
 
 _LANDED: list[tuple[SparkSession, str]] = []
 
@@ -48,28 +48,12 @@ def _clear() -> None:
             return
 
 
-def hot_join(facts: DataFrame, dim: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
-    """``facts`` join ``dim`` on ``keys`` (unique in ``dim``), hot keys apart.
-
-    ``dim[weight]`` is the number of fact rows of a key. A key with more than 1/HOT_KEYS of their sum is hot:
-    there are fewer than HOT_KEYS of them whatever the data, so their ``dim`` rows are broadcast. The other
-    keys join by a shuffle in which no key holds more than 1/HOT_KEYS of the rows. ``dim`` should be a
-    landed table, as it is read three times. Keys match null-safely in neither part.
-    """
-    total = dim.agg(F.sum(weight)).first()[0] or 0
-    is_hot = F.col(weight) * HOT_KEYS > F.lit(total)
-    hot = dim.filter(is_hot).drop(weight)
-    cold = dim.filter(~is_hot).drop(weight)
-    marks = F.broadcast(hot.select(*keys))
-    return (facts.join(F.broadcast(hot), keys, "inner")
-            .unionByName(facts.join(marks, keys, "left_anti").join(cold, keys, how), allowMissingColumns=True))
-
-
 def doc_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the whole text (null: empty), under names of our own."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def non_empty(pattern_split: Column) -> Column:
-    """Words of a split: leading and trailing separators leave empty strings."""
-    return F.array_remove(pattern_split, "")
+
+def id_key(id_col: str):
+    """The id as a long that is never null."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
