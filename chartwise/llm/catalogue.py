@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartwise.llm import decontam, line_dedup, packing, quality, simhash, token_count, token_files
+from chartwise.llm import decontam, line_dedup, packing, pii, quality, sharding, simhash, token_count, token_files, toxicity
 from chartwise.sources.tables import read_table as table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,12 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id"""
 
 
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(table(spark, sf_dir, "documents").select("doc_id"), [f"shard-{i:04d}" for i in range(1024)], "doc_id", slots=65_537)
+    return placed.select("doc_id", F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality.rate(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -72,9 +78,10 @@ grams AS (SELECT doc_id, unnest(range(1, len(words) - 6)) AS p, unnest(list_tran
 again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT q) AS n_repeat FROM (SELECT doc_id, unnest(range(p, p + 8)) AS q FROM again) GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(lines) AS x FROM w),
-r AS (SELECT doc_id, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM l),
+r AS (SELECT doc_id, x, len(ws) AS n, ws FROM (SELECT doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws FROM l)),
 lost AS (SELECT doc_id, sum(n) AS n_lost FROM r WHERE (contains(x, '|') AND len(regexp_extract_all(x, '\|')) * 5 >= n)
     OR (regexp_matches(x, '[#*$%&<>]') AND len(regexp_extract_all(x, '[#*$%&<>]')) * 4 >= n) OR (n >= 3 AND upper(x) = x AND lower(x) <> x)
+    OR (n >= 10 AND 2 * len(list_filter(range(2, n + 1), lambda i: ws[i] = ws[i - 1])) >= n)
     OR (n < 6 AND NOT regexp_matches(x, '[.!?…:;,"”»)\]][\x20\x09-\x0D]*$')) OR (n <= 30 AND regexp_matches(lower(x), '{"|".join(quality.BOILERPLATE)}')) GROUP BY doc_id),
 m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
@@ -83,6 +90,19 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * n_lost_words <= 50 * n_words AS kept FROM m"""
 
 
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a key for tests; a real run passes its own to :func:`pii.pseudonymise`."""
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), key=b"key of the registered query")
+
+
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)

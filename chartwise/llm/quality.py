@@ -33,14 +33,16 @@ def repeat_words(word_list: Column, width: int) -> Column:
     return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("bigint")).otherwise(covered(w)))
 
 
-def line_fails(line: Column, n_words: Column) -> Column:
-    """Punctuation, navigation and boilerplate rules of one line."""
+def line_fails(line: Column, word_list: Column) -> Column:
+    """Punctuation, navigation, repetition and boilerplate rules of one line."""
+    n_words = F.size(word_list)
+    stutter = (n_words >= 10) & (2 * F.size(F.filter(word_list, lambda w, i: (i > 0) & (w == F.get(word_list, i - 1)))) >= n_words)
     navigation = n_of(line, r"\|") * 5 >= n_words
     marks = n_of(line, r"[#*$%&<>]") * 4 >= n_words
     shouting = (n_words >= 3) & (F.upper(line) == line) & (F.lower(line) != line)
     unfinished = (n_words < 6) & ~line.rlike(r"[.!?…:;,\"”»)\]][\x20\x09-\x0D]*$")
     boilerplate = (n_words <= 30) & F.lower(line).rlike("|".join(BOILERPLATE))
-    return ((navigation & line.contains("|")) | (marks & line.rlike(r"[#*$%&<>]")) | shouting | unfinished | boilerplate)
+    return ((navigation & line.contains("|")) | (marks & line.rlike(r"[#*$%&<>]")) | shouting | unfinished | boilerplate | stutter)
 
 
 def rate(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, width: int = 8, max_lost_pct: int = 50, text_col: str = "text") -> DataFrame:
@@ -54,7 +56,7 @@ def rate(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, width:
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     parsed = docs.withColumn("__words", words(text, BLANKS)).withColumn("__lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    rated = F.transform("__lines", lambda x: let(F.size(words(x, BLANKS)), lambda n: F.struct(x.alias("line"), n.alias("n"), line_fails(x, n).alias("bad"))))
+    rated = F.transform("__lines", lambda x: let(words(x, BLANKS), lambda w: F.struct(x.alias("line"), F.size(w).alias("n"), line_fails(x, w).alias("bad"))))
     measured = parsed.withColumn("__rated", rated).withColumn("__repeat", repeat_words(F.col("__words"), width))
     n_words, repeat = F.size("__words").cast("long"), F.col("__repeat")
     lost = F.aggregate(F.filter("__rated", lambda x: x["bad"]), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
