@@ -54,11 +54,13 @@ class Code:
     def encode(self, ids: np.ndarray, every: int) -> tuple[bytes, np.ndarray]:
         """(bits, bit offset of each ``every``-th id)."""
         size = self.lengths[ids].astype("i8")
-        if len(ids) and not size.all():
+        if not len(ids):
+            return b"", np.zeros(0, "u4")
+        if not size.all():
             raise ValueError("an id has no code")
         ends = np.cumsum(size)
         starts = ends - size
-        total = int(ends[-1]) if len(ids) else 0
+        total = int(ends[-1])
         # a code lies in at most two neighbouring 32-bit words; the parts in a word don't overlap, so sums join them
         word, shift = starts >> 5, 64 - (starts & 31) - size
         wide = np.left_shift(self.codes[ids].astype("u8"), shift.astype("u8"))

@@ -27,7 +27,7 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 EMAIL = re.compile(r"(?<![\w.+-])([A-Za-z0-9._+-]{1,64})(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})(?![\w-])")
 #: Forms that begin a number; what a form matches is validated, and left alone if it isn't one.
 NUMBER = re.compile(r"""
-    (?<![0-9A-Za-z])(?:
+    (?<![0-9A-Za-z])(?<![0-9]\.)(?:
       (?P<secret>(?=[0-9a-f]{0,63}[0-9])(?=[0-9a-f]{0,63}[a-f])[0-9a-f]{32,64})
     | (?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?)
     | (?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?!\.?[0-9])

@@ -1,0 +1,214 @@
+"""Toxicity, sharding, PII and the pipeline."""
+
+import datetime
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from chartwise.llm import catalogue, pii, sharding, toxicity
+
+SMALL = "/root/testdata/sf0.001"
+
+
+# --- toxicity
+
+
+def labelled(rng, n, toxic):
+    syllables = ["tha", "ren", "ou", "st", "ing", "ble", "wh", "er", "and", "the", "of", "ly"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4)))
+    insults = ["blockhead", "nincompoop", "dunderhead", "scoundrel"]
+    return [" ".join(rng.choice(insults) if toxic and rng.random() < 0.04 else word() for _ in range(rng.randrange(80, 300))) for _ in range(n)]
+
+
+def test_toxicity_held_out_accuracy(spark, make):
+    rng = random.Random(9)
+    texts = labelled(rng, 300, True) + labelled(rng, 900, False)
+    labels = [1] * 300 + [0] * 900
+    docs = make(spark, list(enumerate(texts)) + [(5000, None), (5001, ""), (None, texts[0]), (0, texts[0])])
+    table = spark.createDataFrame([(i, y, 0) for i, y in enumerate(labels)] + [(9999, 1, 0), (None, 1, 0), (3, None, 0)], "doc_id long, toxic int, quality int")
+    scored = toxicity.score(docs, toxicity.learn(docs, table))
+    assert scored.columns == [*docs.columns, "__score"]
+    rows = scored.select("doc_id", "__score", toxicity.held_out().alias("held")).collect()
+    assert all(0 <= r["__score"] <= 1 for r in rows) and len(rows) == 1204
+    held = [(r["__score"], labels[r["doc_id"]]) for r in rows if r["held"] and r["doc_id"] is not None and r["doc_id"] < 1200]
+    assert np.mean([(s >= 0.5) == (y == 1) for s, y in held]) > 0.93
+    by_id = {r["doc_id"]: r["__score"] for r in rows}
+    assert by_id[5000] == by_id[5001] < 0.5
+
+
+def test_windows_are_the_whole_text():
+    for text in ("", "a", "x" * 1000, "word " * 100, " lead", "é" * 99, "a b" * 77):
+        parts = toxicity.windows(text)
+        assert b"".join(parts) == text.lower().encode() and all(0 < len(p) <= toxicity.WINDOW for p in parts)
+
+
+def test_labels_of_one_class_or_none(spark, make):
+    docs = make(spark, [(1, "some text"), (2, "other text")])
+    for rows, score in (([], 0.0), ([(1, 1), (2, 1)], 1.0)):
+        model = toxicity.learn(docs, spark.createDataFrame([(i + 2, y) for i, y in rows], "doc_id long, toxic int") if not rows else spark.createDataFrame([(i, y) for i, y in rows], "doc_id long, toxic int"))
+        assert [round(r["__score"], 6) for r in toxicity.score(docs, model).collect()] == [score] * 2
+    model = toxicity.fit(["awful words"], ["kind words", "more of them"])
+    assert toxicity.score(make(spark, []), model).collect() == []
+
+
+# --- sharding
+
+
+def table_by_hand(names, slots):
+    choices = {n: [(o + k * s) % slots for k in range(slots)] for n in names for o, s in [sharding.preference(n, slots)]}
+    table, at = {}, dict.fromkeys(names, 0)
+    while len(table) < slots:
+        for n in sorted(names):
+            if len(table) == slots:
+                break
+            while choices[n][at[n]] in table:
+                at[n] += 1
+            table[choices[n][at[n]]] = n
+    return [table[i] for i in range(slots)]
+
+
+@pytest.mark.parametrize("n,slots", [(1, 2), (3, 7), (10, 101), (7, 7), (40, 1009)])
+def test_table_is_filled_by_turns(n, slots):
+    names = [f"s{i}" for i in range(n)]
+    got = [names[i] for i in sharding.fill(names, slots)]
+    assert got == table_by_hand(names, slots)
+    shares = Counter(got).values()
+    assert max(shares) - min(shares) <= 1
+
+
+def test_a_shard_that_goes_moves_little():
+    names = [f"s{i}" for i in range(20)]
+    before, after = sharding.fill(names, 2003), sharding.fill(names[:-1], 2003)
+    assert np.mean(before[before != 19] != after[before != 19]) < 0.15
+
+
+def test_bad_tables():
+    for names, slots in ((["a"], 4), ([], 7), (["a", "a"], 7), (["a", "b", "c"], 2)):
+        with pytest.raises(ValueError):
+            sharding.fill(names, slots)
+
+
+def test_placement(odd, odd_rows, make, spark):
+    placed = sharding.place(odd, ["x", "y", "z"], "doc_id", slots=101)
+    rows = placed.collect()
+    assert placed.columns == [*odd.columns, "__slot", "__shard"] and len(rows) == len(odd_rows)
+    table = table_by_hand(["x", "y", "z"], 101)
+    assert all(table[r["__slot"]] == r["__shard"] for r in rows)
+    shards = defaultdict(set)
+    for r in rows:
+        shards[r["doc_id"]].add(r["__shard"])
+    assert all(len(s) == 1 for s in shards.values())
+    assert sharding.place(make(spark, []), ["x"], "doc_id", slots=2).collect() == []
+
+
+# --- personal data
+
+
+def test_permutations():
+    names = pii.Pseudonyms(b"key")
+    for n in (1, 2, 10, 97, 1000):
+        assert sorted(names.permute("k", x, n) for x in range(n)) == list(range(n))
+    even = lambda x: x % 2 == 0
+    assert sorted(names.permute("k", x, 100, even) for x in range(0, 100, 2)) == list(range(0, 100, 2))
+    assert pii.Pseudonyms(b"other").permute("k", 5, 10**6) != names.permute("k", 5, 10**6)
+
+
+def test_forms_stay_valid():
+    names = pii.Pseudonyms(b"key")
+    for text, kind, form in [
+        ("4539 1488 0343 6467", "card", r"\d{4} \d{4} \d{4} \d{4}"), ("4539148803436467", "card", r"\d{16}"), ("GB82 WEST 1234 5698 7654 32", "iban", r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d"),
+        ("192.168.10.254", "ip", r"\d+\.\d+\.\d+\.\d+"), ("123-45-6789", "ssn", r"\d{3}-\d\d-\d{4}"), ("+1 (555) 010-9999", "phone", r"\+1 \(\d{3}\) \d{3}-\d{4}"),
+        ("555-010-9999", "phone", r"\d{3}-\d{3}-\d{4}"), ("1987-06-05", "date", r"\d{4}-\d\d-\d\d"), ("05/06/1987", "date", r"\d\d/\d\d/\d{4}"), ("12/25/1987", "date", r"\d\d/\d\d/\d{4}"),
+        ("jane.doe42@mail.example.com", "email", r"[a-z]{4}\.[a-z]{3}\d\d@mail\.example\.com"), ("0123456789abcdef0123456789abcdef01234567", "secret", r"[0-9a-f]{40}"),
+    ]:
+        new, found = names.text(f"before {text}, after")
+        assert found[kind] == 1 and sum(found.values()) == 1, (text, found)
+        assert re.fullmatch(f"before {form}, after", new) and text not in new
+        assert names.text(new)[1][kind] == 1, new  # the pseudonym is valid as well
+    plain = re.sub(r"\D", "", names.text("4539 1488 0343 6467")[0])
+    assert plain == names.text("4539148803436467")[0]
+
+
+def test_what_does_not_validate_stays():
+    names = pii.Pseudonyms(b"key")
+    for text in ("4539148803436468", "GB83 WEST 1234 5698 7654 32", "256.1.1.1", "1.2.3.4.5", "000-45-6789", "1987-13-05", "31/02/1987", "page 12 of 300", "@home", "a@b", "v1.2.3", "1111111111111111", "deadbeef", "3.14", "x4539148803436467"):
+        assert names.text(text) == (text, dict.fromkeys(pii.KINDS, 0)), text
+
+
+def test_dates_are_permuted_one_to_one():
+    names = pii.Pseudonyms(b"key")
+    days = [datetime.date.fromordinal(pii.FIRST_DAY + 37 * i).isoformat() for i in range(1900)]
+    new = {names.date(d) for d in days}
+    assert len(new) == len(days) and all(datetime.date.fromisoformat(d) for d in new)
+
+
+def test_pseudonyms_link_documents(spark, make, odd, odd_rows):
+    rows = pii.pseudonymise(make(spark, [(1, "call +1 (555) 010-9999"), (2, "or +1 (555) 010-9999!"), (None, None), (3, ""), (3, "")]), b"key").collect()
+    text = {r["doc_id"]: r["text"] for r in rows}
+    assert re.search(r"\+1 \S+ \S{8}", text[1])[0] == re.search(r"\+1 \S+ \S{8}", text[2])[0] and text[None] is None and len(rows) == 5
+    assert Counter((r["doc_id"], r["text"]) for r in pii.pseudonymise(odd, b"key").filter(" + ".join(f"n_{k}" for k in pii.KINDS) + " = 0").collect()) <= Counter(odd_rows)
+    assert pii.pseudonymise(make(spark, []), b"key").collect() == []
+
+
+# --- pipeline and registration
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    kept = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        docs = corpus_pipeline.land(out, f"test-{name}")
+        now = {r["doc_id"]: r["text"] for r in docs.collect()}
+        assert len(now) == docs.count() and set(now) <= set(kept)
+        if name == "line_dedup":
+            from test_text import lines_by_hand
+            assert now == {k[0]: k[3] for k in lines_by_hand(list(kept.items()))}
+        elif name == "near_dedup":
+            from test_text import fingerprint, groups
+            ids = sorted(kept)
+            roots = groups([fingerprint(kept[i]) for i in ids], lambda a, b: (a ^ b).bit_count() <= 4)
+            assert now == {ids[r]: kept[ids[r]] for r in roots}
+        elif name == "decontamination":
+            from test_text import contaminated_by_hand
+            items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+            assert now == {i: t for i, t in kept.items() if not next(iter(contaminated_by_hand([(i, t)], items)))[5]}
+        kept = now
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert sum(r["length"] for r in packed) == sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in kept.values())
+
+
+def test_pipeline_stages_take_odd_rows(spark, odd, make):
+    for rows in (odd, make(spark, [])):
+        docs = corpus_pipeline.land(rows, "odd")
+        for name, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.land(stage(spark, docs, SMALL), f"odd-{name}")
+        assert (docs.count() > 0) == (rows is odd)
+
+
+def test_all_eleven_are_registered():
+    import __spark_entry__
+    names = __spark_entry__.queries()
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert set(catalogue.ORACLES) <= set(names)
+
+
+def test_oracles_agree(spark):
+    import duckdb
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
+    for name, sql in catalogue.ORACLES.items():
+        got, want = catalogue.QUERIES[name](spark, SMALL).toPandas(), con.execute(sql).fetchdf()
+        columns = sorted(want.columns)
+        assert columns == sorted(got.columns)
+        rows = lambda f: sorted(map(str, f[columns].astype(object).itertuples(index=False, name=None)))
+        assert rows(got) == rows(want), name
