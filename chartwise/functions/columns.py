@@ -32,11 +32,6 @@ def clip(x, lo: float, hi: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 
 
-def nan_to_null(x) -> Column:
-    x = col_(x)
-    return F.when(~F.isnan(x), x)
-
-
 def fround(x, digits: int) -> Column:
     """Round like numpy/pandas: ``rint(x * 10**d) / 10**d`` (half-even on the scaled double)."""
     scale = float(10 ** digits)

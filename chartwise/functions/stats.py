@@ -66,7 +66,7 @@ def stars(p) -> Column:
     out = None
     for level, mark in STAR_LEVELS:
         out = F.when(p < level, mark) if out is None else out.when(p < level, mark)
-    return out.otherwise("")
+    return out.when(p.isNotNull(), "")
 
 
 def chi2_2x2(sa, na, sb, nb, clamp_cells: bool = False) -> Column:
@@ -96,15 +96,6 @@ def winner(ra, rb, name_a, name_b) -> Column:
     return F.when(col_(ra) > col_(rb), col_(name_a)).otherwise(col_(name_b))
 
 
-def pearson_from_moments(n, sx, sy, sxx, syy, sxy) -> Column:
-    """Pearson r from raw sums; NULL when either side is constant."""
-    n, sx, sy = col_(n).cast("double"), col_(sx), col_(sy)
-    cov = col_(sxy) - sx * sy / n
-    vx = col_(sxx) - sx * sx / n
-    vy = col_(syy) - sy * sy / n
-    return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
-
-
 def r_to_t(r, n) -> Column:
     """t statistic of a correlation with n - 2 degrees of freedom."""
     r, n = col_(r), col_(n).cast("double")

@@ -1,7 +1,7 @@
 """Encoding and cleaning (H5, H7, H8, K1-K3).
 
-Category lists are built by a ``distinct`` job and checked against a limit
-before anything reaches the driver; medians are exact (selection-based,
+Label codes are numbered by range partition, for any number of values; one-hot categories become
+columns, so their list is checked against a limit before it reaches the driver; medians are exact (selection-based,
 bounded memory, see :mod:`chartwise.operators.quantiles`).
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartwise.operators.joins import checked_broadcast
+from chartwise.operators.joins import dimension_join
 from chartwise.operators.quantiles import exact_quantiles
 
 
@@ -24,22 +24,32 @@ def category_values(df: DataFrame, col: str, max_categories: int = 10_000) -> li
     return sorted(vals)
 
 
-def label_encode(df: DataFrame, col: str, out: str | None = None,
-                 max_categories: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """H7: sorted distinct values -> 0..k-1.  Returns (encoded frame, mapping frame).
+def label_mapping(df: DataFrame, col: str) -> DataFrame:
+    """(category, code): the sorted distinct non-null values as text, numbered from 0, for any number of values.
 
-    The mapping is computed on the distinct values only (a window over k rows,
-    k checked against ``max_categories`` first) and joined back by broadcast
-    when k is within the broadcast bound.
+    The distinct values are sorted by range partition and written once; a code is the value's rank in its
+    partition plus the sizes of the partitions before it (a number per partition).
     """
-    out = out or f"{col}_enc"
-    values = df.select(F.col(col).cast("string").alias("_v")).filter(F.col("_v").isNotNull()).distinct()
-    if values.limit(max_categories + 1).count() > max_categories:
-        raise ValueError(f"{col} has more than {max_categories} categories")
-    mapping = values.withColumn("_i", (F.row_number().over(Window.orderBy("_v")) - 1).cast("int"))
-    enc = df.withColumn("_v", F.col(col).cast("string")).join(checked_broadcast(mapping, max_categories), "_v", "left") \
-        .withColumnRenamed("_i", out).drop("_v")
-    return enc, mapping.select(F.col("_v").alias("category"), F.col("_i").alias("code"))
+    values = df.select(F.col(col).cast("string").alias("category")).filter(F.col("category").isNotNull()).distinct()
+    ranged = values.repartitionByRange("category").withColumn("_p", F.spark_partition_id()).checkpoint()
+    before, starts = 0, []
+    for r in ranged.groupBy("_p").count().orderBy("_p").collect():
+        starts.append((r["_p"], before))
+        before += r["count"]
+    starts = df.sparkSession.createDataFrame(starts, "_p int, _start long")
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("category")) - 1
+    return ranged.withColumn("_r", rank).join(F.broadcast(starts), "_p").select("category", (F.col("_start") + F.col("_r")).cast("int").alias("code"))
+
+
+def encode_labels(df: DataFrame, col: str, mapping: DataFrame, out: str) -> DataFrame:
+    """``df`` with the code of ``col`` under a fitted mapping; null for values that it doesn't have."""
+    return dimension_join(df.withColumn("_v", F.col(col).cast("string")), mapping.select(F.col("category").alias("_v"), F.col("code").alias(out)), "_v", "left").drop("_v")
+
+
+def label_encode(df: DataFrame, col: str, out: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """H7: sorted distinct values -> 0..k-1.  Returns (encoded frame, mapping frame)."""
+    mapping = label_mapping(df, col)
+    return encode_labels(df, col, mapping, out or f"{col}_enc"), mapping
 
 
 def one_hot(df: DataFrame, col: str, prefix: str, drop_first: bool = True, max_categories: int = 256,

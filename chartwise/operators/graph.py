@@ -20,15 +20,15 @@ from chartwise.functions.columns import uniform
 from chartwise.session import ensure_checkpoint_dir
 
 
-def bfs_expand(incidence: DataFrame, seeds: DataFrame, depth: int = 2, per_hop: int = 500,
-               max_nodes: int = 5000, seed: int = 42, node: str = "node", hub: str = "hub") -> DataFrame:
+def bfs_expand(incidence: DataFrame, seeds: DataFrame, depth: int = 2, per_hop: int | None = None,
+               max_nodes: int | None = None, seed: int = 42, node: str = "node", hub: str = "hub") -> DataFrame:
     """Return (node, depth) for the seeds (depth 0) and every node discovered.
 
     Hop d: the frontier is ordered by uniform(seed, d, node) and its first
     ``per_hop`` nodes are expanded, in that order (their rank is the priority
     of what they discover).  New nodes are ordered by (best parent rank,
     uniform(seed, 'c', d, node), node) and admitted until ``max_nodes`` are
-    known.
+    known. Both bounds are off by default: then every node within ``depth`` hops is found, and no order is needed.
     """
     spark = incidence.sparkSession
     ensure_checkpoint_dir(spark)
@@ -39,18 +39,22 @@ def bfs_expand(incidence: DataFrame, seeds: DataFrame, depth: int = 2, per_hop:
     n_visited = visited.count()
     frontier = visited.select("node")
     for d in range(1, depth + 1):
-        room = max_nodes - n_visited
-        if room <= 0:
+        room = None if max_nodes is None else max_nodes - n_visited
+        if room is not None and room <= 0:
             break
-        expanded = (frontier.withColumn("u", uniform(seed, F.lit(d), F.col("node")))
-                    .orderBy("u", "node").limit(per_hop))
-        # rank of each expanded node: a window over at most per_hop rows
-        expanded = expanded.withColumn("prank", F.row_number().over(Window.orderBy("u", "node")))
+        if per_hop is None:
+            expanded = frontier.withColumn("prank", F.lit(0))
+        else:
+            expanded = (frontier.withColumn("u", uniform(seed, F.lit(d), F.col("node")))
+                        .orderBy("u", "node").limit(per_hop))
+            # rank of each expanded node: a window over at most per_hop rows
+            expanded = expanded.withColumn("prank", F.row_number().over(Window.orderBy("u", "node")))
         hubs = expanded.join(inc, "node").groupBy("hub").agg(F.min("prank").alias("prank"))
         cand = hubs.join(inc, "hub").groupBy("node").agg(F.min("prank").alias("prank"))
         cand = cand.join(visited.select("node"), "node", "left_anti")
-        cand = cand.withColumn("u", uniform(seed, F.lit("c"), F.lit(d), F.col("node")))
-        new = cand.orderBy("prank", "u", "node").limit(room).select("node", F.lit(d).alias("depth")).checkpoint()
+        if room is not None:
+            cand = cand.withColumn("u", uniform(seed, F.lit("c"), F.lit(d), F.col("node"))).orderBy("prank", "u", "node").limit(room)
+        new = cand.select("node", F.lit(d).alias("depth")).checkpoint()
         n_new = new.count()
         if n_new == 0:
             break

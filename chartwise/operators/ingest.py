@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,37 +21,26 @@ def last_wins(membership: DataFrame, key: str, order_col: str, value_col: str, o
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """one row per key, the first by ``order`` (NULL keys form one group).
 
-    ``min(struct(order..., row))`` is combined map-side (hot keys are safe);
-    the winning row is then unpacked.  Ties on ``order`` go to the smallest row.
+    ``min(struct(order..., other columns...))`` is combined map-side, so a hot key is safe; every column
+    is carried once. Ties on ``order`` go to the smallest row.
     """
     keys = list(keys)
-    others = [c for c in df.columns if c not in keys]
-    packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-                      F.struct(*others).alias("_row"))
-    agg = df.groupBy(*keys).agg(F.min(packed).alias("_m"))
-    return agg.select(*keys, *[F.col("_m._row")[c].alias(c) for c in others]).select(*df.columns)
-
-
-def keep_first_window(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """F3 with ``row_number``; equal result, but a hot key is sorted in one task."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    packed = F.struct(*order, *[c for c in df.columns if c not in keys and c not in order])
+    return df.groupBy(*keys).agg(F.min(packed).alias("_m")).select(
+        *[F.col(c) if c in keys else F.col("_m")[c].alias(c) for c in df.columns])
 
 
 def incremental_append(existing: DataFrame, incoming: DataFrame, key: str,
                        order_col: str | None = None) -> DataFrame:
     """Resume an ingest.
 
-    Rows of ``incoming`` whose key is already known are skipped (left anti
-    join), the rest appended by name, and the result is kept first per key
-    (existing rows win; within the new batch the lowest ``order_col``).
+    ``existing`` is the written result of earlier ingests (one row per key) and passes through untouched; only
+    its key column is read for the anti join. The new batch keeps its first row per key by ``order_col``.
     """
-    new = incoming.join(existing.select(key).distinct(), key, "left_anti")
-    seq_e = existing.withColumn("_batch", F.lit(0))
-    seq_n = new.withColumn("_batch", F.lit(1))
-    both = seq_e.unionByName(seq_n, allowMissingColumns=True)
-    order = ["_batch"] + ([order_col] if order_col else [])
-    return keep_first(both, [key], order).drop("_batch")
+    new = keep_first(incoming, [key], [order_col] if order_col else [])
+    known = existing.select(F.col(key).alias("_known"))
+    new = new.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
+    return existing.unionByName(new, allowMissingColumns=True)
 
 
 def distinct_union(*frames: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ dimension rows and shuffles only the rest.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,9 +53,11 @@ def hot_key_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner",
     hot_b = F.broadcast(hot)
     dim_hot = F.broadcast(dim.join(hot_b, key, "left_semi"))
     fact_hot = fact.join(hot_b, key, "left_semi")
-    fact_cold = fact.join(hot_b, key, "left_anti")
-    return fact_hot.join(dim_hot, key, how).unionByName(fact_cold.join(dim, key, how))
+    # null keys join nothing: they stay out of the shuffle, where they would share one partition
+    fact_cold = fact.filter(F.col(key).isNotNull()).join(hot_b, key, "left_anti")
+    out = fact_hot.join(dim_hot, key, how).unionByName(fact_cold.join(dim, key, how))
+    if how == "inner":
+        return out
+    none = {f.name: F.lit(None).cast(f.dataType) for f in dim.schema if f.name != key}
+    return out.unionByName(fact.filter(F.col(key).isNull()).withColumns(none).select(out.columns))
 
-
-def eq(left: DataFrame, right: DataFrame, lkey: str, rkey: str) -> Column:
-    return left[lkey] == right[rkey]

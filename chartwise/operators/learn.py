@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartwise.operators.joins import checked_broadcast
 from chartwise.functions.columns import fround, uniform
 
 
@@ -115,7 +116,12 @@ def roc_auc(df: DataFrame, score: str, label: str, group: Sequence[str] = (),
     tot = ordered.groupBy(*group, "_pid").agg(F.sum("_neg").alias("_pneg"))
     wp = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.withColumn("_off", F.coalesce(F.sum("_pneg").over(wp), F.lit(0))).drop("_pneg")
-    j = within.join(F.broadcast(off), group + ["_pid"])
+    # a NULL group is a group; the offsets (one row per range partition and group) are broadcast if counted to be few
+    off = checked_broadcast(off.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_pid").alias("_opid"), "_off"), 1_000_000)
+    same = F.col("_pid") == F.col("_opid")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    j = within.join(off, same)
     below = F.col("_off") + F.col("_below")
     out = j.groupBy(*group).agg(F.sum(F.col("_pos") * (below + F.col("_neg") / 2.0)).alias("_w"),
                                 F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
@@ -125,8 +131,8 @@ def roc_auc(df: DataFrame, score: str, label: str, group: Sequence[str] = (),
                       F.col("n_neg").cast("bigint").alias("n_neg"))
 
 
-def _empty_pairs() -> pd.DataFrame:
-    return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "nid": pd.Series([], dtype="int64"),
+def _empty_pairs(kind="int64") -> pd.DataFrame:
+    return pd.DataFrame({"qid": pd.Series([], dtype=kind), "nid": pd.Series([], dtype=kind),
                          "dist": pd.Series([], dtype="float64")})
 
 
@@ -188,8 +194,10 @@ def _block_topk(k: int, exclude_self: bool):
             return _empty_pairs()
         Q = np.vstack(q["v"].to_numpy()).astype(np.float64)
         R = np.vstack(r["v"].to_numpy()).astype(np.float64)
-        a, b, d = block_topk(Q, R, q["id"].to_numpy(np.int64), r["id"].to_numpy(np.int64), k, exclude_self)
-        return pd.DataFrame({"qid": a, "nid": b, "dist": d}) if a.size else _empty_pairs()
+        # keys of any type as their ranks in this pair of blocks, which keep their order for ties
+        names, code = np.unique(np.concatenate([q["id"].to_numpy(), r["id"].to_numpy()]), return_inverse=True)
+        a, b, d = block_topk(Q, R, code[:len(q)], code[len(q):], k, exclude_self)
+        return pd.DataFrame({"qid": names[a], "nid": names[b], "dist": d}) if a.size else _empty_pairs(names.dtype)
     return run
 
 
@@ -202,12 +210,13 @@ def knn_exact(df: DataFrame, id_col: str, vec_col: str, k: int, block_rows: int
     """
     m = df.count()
     nblk = max(1, math.ceil(m / block_rows))
-    base = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    id_type = df.schema[id_col].dataType.simpleString()
+    base = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     blk = F.floor(uniform(seed, F.col("id")) * nblk).cast("int")
     q = base.withColumn("qb", blk).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nblk - 1))))
     r = base.withColumn("rb", blk).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nblk - 1))))
     cand = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(
-        _block_topk(k, exclude_self), "qid long, nid long, dist double")
+        _block_topk(k, exclude_self), f"qid {id_type}, nid {id_type}, dist double")
     w = Window.partitionBy("qid").orderBy("dist", "nid")
     top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return top.select(F.col("qid").alias(id_col), F.col("rank").cast("int").alias("rank"),
@@ -226,15 +235,17 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label: str, minority=1, k: i
     Returns (base_id, j, neighbor_id, gap, vector).
     """
     from chartwise.operators.split import assign_by_rank
-    mino = df.filter(F.col(label) == minority).select(F.col(id_col).cast("bigint").alias("id"),
+    id_type = df.schema[id_col].dataType.simpleString()
+    mino = df.filter(F.col(label) == minority).select(F.col(id_col).alias("id"),
                                                       F.col(vec_col).cast("array<double>").alias("v"))
     counts = df.agg(F.count(F.when(F.col(label) == minority, 1)).alias("m"),
                     F.count(F.when(F.col(label) != minority, 1)).alias("M")).first()
     m, M = counts["m"], counts["M"]
     need = M - m
     spark = df.sparkSession
+    mino = mino.checkpoint()  # read by the search, the ranking and both ends of the draws
     if m < 2 or need <= 0:
-        return spark.createDataFrame([], "base_id long, j int, neighbor_id long, gap double, vector array<double>")
+        return spark.createDataFrame([], f"base_id {id_type}, j int, neighbor_id {id_type}, gap double, vector array<double>")
     kk = min(k, m - 1)
     nn = neighbours if neighbours is not None else knn_exact(mino, "id", "v", kk, seed=seed)
     per, extra = divmod(need, m)

@@ -17,14 +17,10 @@ Here exactness comes from distributed selection instead:
 5. rank the few rows strictly inside the final bracket with a window
    partitioned by (column, probability).
 
-Inputs whose count pass shows at most ``direct_max_rows`` values per column
-use Spark's exact ``percentile`` directly (its map is then provably small).
-
 Every step is a distributed aggregate or a bounded window; the driver sees a
 handful of numbers per (column, probability).  If a bracket ever misses its
 rank (the sketch guarantee makes this unexpected) the round is retried with
-the bracket widened to the previous one, and after ``max_rounds`` that column
-falls back to Spark's exact ``percentile``.
+the previous bracket and a finer sketch, so small and large inputs take the same path.
 """
 
 from __future__ import annotations
@@ -51,28 +47,14 @@ def _inside(x, lo, hi):
     return x.isNotNull() & cond
 
 
-def _direct(df: DataFrame, x: dict, cols: Sequence[str], probs: Sequence[float]) -> dict:
-    """Spark's exact ``percentile`` (same linear interpolation)."""
-    row = df.agg(*[F.percentile(x[c], list(probs)).alias(f"f{k}") for k, c in enumerate(cols)]).first()
-    return {(c, p): (row[f"f{k}"][j] if row[f"f{k}"] is not None else None)
-            for k, c in enumerate(cols) for j, p in enumerate(probs)}
-
-
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 1000,
-                    band_max: int = 200_000, max_rounds: int = 8, nan_as_null: bool = True,
-                    direct_max_rows: int = 2_000_000) -> dict:
-    """Return {(col, p): value} (None for an all-null column).
-
-    When the first (count) pass shows at most ``direct_max_rows`` values per
-    column, the value->count map of Spark's exact ``percentile`` is provably
-    small and that aggregate is used directly; larger inputs use selection.
-    """
-    cols, probs = list(cols), list(probs)
+                    band_max: int = 50_000, nan_as_null: bool = True) -> dict:
+    """Return {(col, p): value} (None for an all-null column). The passes read ``cols`` alone."""
+    cols, probs = list(dict.fromkeys(cols)), list(probs)
+    df = df.select(*cols)
     x = {c: (F.when(~F.isnan(F.col(c)), F.col(c).cast("double")) if nan_as_null else F.col(c).cast("double"))
          for c in cols}
     row = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    if all((row[f"n{i}"] or 0) <= direct_max_rows for i in range(len(cols))):
-        return _direct(df, x, cols, probs)
     st = {}
     for i, c in enumerate(cols):
         n = row[f"n{i}"]
@@ -97,10 +79,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             return ("in", k - b - el)
         return ("hi", 0)
 
-    fallback = set()
     acc = accuracy
-    for _ in range(max_rounds):
-        pending = [key for key, s in st.items() if s is not None and s["c"] not in fallback and s["inner"] > band_max
+    while True:
+        pending = [key for key, s in st.items() if s is not None and s["inner"] > band_max
                    and any(placement(s, k)[0] == "in" for k in s["k"])]
         if not pending:
             break
@@ -136,13 +117,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                 missed = True
         if missed:
             acc *= 4
-    for key, s in st.items():
-        if s is not None and s["inner"] > band_max and any(placement(s, k)[0] == "in" for k in s["k"]):
-            fallback.add(s["c"])
-
     need = {}
     for key, s in st.items():
-        if s is None or s["c"] in fallback:
+        if s is None:
             continue
         for k in s["k"]:
             where, off = placement(s, k)
@@ -167,22 +144,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         if s is None:
             result[key] = None
             continue
-        if s["c"] in fallback:
-            continue
         vals = []
         for k in s["k"]:
             where, off = placement(s, k)
             vals.append(s["lo"] if where == "lo" else s["hi"] if where == "hi"
                         else inner_vals[((s["c"], s["lo"], s["hi"]), off)])
         result[key] = _lerp(vals[0], vals[1], s["t"])
-    if fallback:
-        result.update(_direct(df, x, sorted(fallback), probs))
     return result
 
-
-def quantile_frame(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> DataFrame:
-    """(feature, prob, value) rows of :func:`exact_quantiles`."""
-    q = exact_quantiles(df, cols, probs, **kw)
-    spark = df.sparkSession
-    return spark.createDataFrame([(c, float(p), None if v is None else float(v)) for (c, p), v in q.items()],
-                                 "feature string, prob double, value double")

@@ -25,6 +25,10 @@ from chartwise.functions.columns import uniform
 from chartwise.operators.joins import checked_broadcast
 
 
+#: Rows of the (class, bucket) table that are broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
 def approximate_mode(class_counts: dict, n_draws: int) -> dict:
     """Per-class draw counts: floor of the proportional share, leftovers to the
     largest remainders (ties to the smaller class value)."""
@@ -49,7 +53,7 @@ def stratified_sizes(class_counts: dict, test_size: float = 0.15, val_size: floa
 
 
 def assign_by_rank(df: DataFrame, class_col: str, key: str, cuts: dict, labels: Sequence[str], seed: int = 42,
-                   buckets: int = 65536, out: str = "split", max_classes: int = 10_000) -> DataFrame:
+                   buckets: int = 65536, out: str = "split") -> DataFrame:
     """Label each row by its exact rank within its class.
 
     ``cuts[c]`` = ascending cumulative boundaries for class c; rank < cuts[c][0]
@@ -82,7 +86,7 @@ def assign_by_rank(df: DataFrame, class_col: str, key: str, cuts: dict, labels:
     lo_label, hi_label = label_of(F.col("_start")), label_of(F.col("_start") + F.col("_cnt") - 1)
     info = info.select("_c", "_b", "_start", F.when(lo_label == hi_label, lo_label).alias("_whole"),
                        *[f"_k{i}" for i in range(k)])
-    joined = tagged.join(checked_broadcast(info, max_classes * buckets),
+    joined = tagged.join(checked_broadcast(info, BROADCAST_ROWS),
                          tagged[class_col].eqNullSafe(info["_c"]) & (tagged["_b"] == info["_b"]), "inner")
     joined = joined.drop(info["_b"])
     clean = joined.filter(F.col("_whole").isNotNull()).withColumn(out, F.col("_whole"))
@@ -95,26 +99,19 @@ def assign_by_rank(df: DataFrame, class_col: str, key: str, cuts: dict, labels:
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = 0.15, val_size: float = 0.15,
-                     seed: int = 42, buckets: int = 65536, max_classes: int = 10_000) -> DataFrame:
-    """exact-size stratified train/val/test labels in a ``split`` column."""
-    rows = df.groupBy(label).count().limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        raise ValueError(f"more than {max_classes} classes in {label}")
+                     seed: int = 42, buckets: int = 65536) -> DataFrame:
+    """exact-size stratified train/val/test labels in a ``split`` column. A count per class comes to the driver."""
+    rows = df.groupBy(label).count().collect()
     counts = {r[label]: r["count"] for r in rows}
     sizes = stratified_sizes(counts, test_size, val_size)
     cuts = {c: [tr, tr + va] for c, (tr, va, te) in sizes.items()}
     return assign_by_rank(df, label, key, cuts, ["train", "val", "test"], seed, buckets)
 
 
-def sample_n(df: DataFrame, key: str, n: int, seed: int = 42, top_k_max: int = 1_000_000) -> DataFrame:
+def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly min(n, rows) rows, without replacement, the first n by uniform(seed, key).
 
-    Up to ``top_k_max`` rows this is a distributed top-k (TakeOrderedAndProject);
-    beyond it the exact rank cut of :func:`assign_by_rank` with a single class.
+    The exact rank cut of :func:`assign_by_rank` with a single class: only the bucket that holds the cut is ranked.
     """
-    u = uniform(seed, F.col(key))
-    if n <= top_k_max:
-        return df.withColumn("_u", u).orderBy("_u", key).limit(n).drop("_u")
-    one = df.withColumn("_one", F.lit(1))
-    cut = assign_by_rank(one, "_one", key, {1: [n]}, ["in", "out"], seed, out="_s")
+    cut = assign_by_rank(df.withColumn("_one", F.lit(1)), "_one", key, {1: [n]}, ["in", "out"], seed, out="_s")
     return cut.filter(F.col("_s") == "in").drop("_s", "_one")

@@ -51,8 +51,8 @@ def welch_profile(df: DataFrame, features: Sequence[str], label: str = "charted"
 
 
 def corr_tests(df: DataFrame, features: Sequence[str], target: str, with_p: bool = False,
-               digits: int = 4) -> DataFrame:
-    """Pearson r with NULL features as 0 (point-biserial when target is 0/1), t with n - 2 df."""
+               digits: int | None = 4) -> DataFrame:
+    """Pearson r with NULL features as 0 (point-biserial when target is 0/1), t with n - 2 df. ``digits`` None: unrounded r."""
     feats = [c for c in features if c in df.columns]
     y = F.col(target).cast("double")
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -66,7 +66,8 @@ def corr_tests(df: DataFrame, features: Sequence[str], target: str, with_p: bool
                       for i, c in enumerate(feats)])
     long = row.select("_n", F.inline(items))
     t = r_to_t(F.col("r"), F.col("_n"))
-    out = long.select("feature", "ordinal", fround("r", digits).alias("r"), fround(t, 4).alias("t"),
+    shown = F.col("r") if digits is None else fround("r", digits)
+    out = long.select("feature", "ordinal", shown.alias("r"), fround(t, 4).alias("t"),
                       F.col("_n").cast("bigint").alias("n"),
                       *([t.alias("_t"), (F.col("_n") - 2.0).alias("_df")] if with_p else []))
     if with_p:

@@ -116,7 +116,26 @@ def _wilson_sql(s, n, lo: bool):
     return f"CASE WHEN {n} > 0 THEN round_even({inner}, 4) ELSE 0.0 END"
 
 
-def ab_sql(counts_sql: str, clamp: bool = False, keep: str = "") -> str:
+def _tails_sql(x: str, scale: str, density, steps: int = 4000) -> str:
+    """1 - 2 x the integral of an even density from 0 to |x| by Simpson's rule; ``density(u)`` times ``scale``."""
+    u = f"(abs({x}) * i / {steps}.0)"
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END"
+    area = f"abs({x}) / {steps}.0 / 3.0 * {scale} * list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * {density(u)}))"
+    return f"CASE WHEN {x} IS NOT NULL THEN greatest(0.0, 1.0 - 2.0 * {area}) END"
+
+
+def t_p_sql(t: str, v: str) -> str:
+    """Two-sided Student-t tail from the density itself, independent of the library's incomplete beta."""
+    scale = f"exp(lgamma(({v} + 1.0) / 2.0) - lgamma({v} / 2.0)) / sqrt({v} * pi())"
+    return _tails_sql(f"least(abs({t}), 80.0 + 0.0 * {t})", scale, lambda u: f"pow(1.0 + {u} * {u} / {v}, -({v} + 1.0) / 2.0)")
+
+
+def chi2_p_sql(x: str) -> str:
+    """Upper tail of chi-square with one degree of freedom: both tails of the normal beyond its root."""
+    return _tails_sql(f"least(sqrt({x}), 12.0 + 0.0 * {x})", "1.0 / sqrt(2.0 * pi())", lambda u: f"exp(-{u} * {u} / 2.0)")
+
+
+def ab_sql(counts_sql: str, clamp: bool = False, keep: str = "", p: bool = False) -> str:
     """DuckDB A/B result from a subquery with group_a, group_b, n_a, s_a, n_b, s_b."""
     def cell(x):
         return f"greatest({x}, 1.0)" if clamp else x
@@ -135,7 +154,7 @@ SELECT {keep} group_a, group_b, CAST(na AS BIGINT) AS n_a, CAST(nb AS BIGINT) AS
   {h} AS cohen_h,
   CASE WHEN {h} < 0.2 THEN 'negligible' WHEN {h} < 0.5 THEN 'small' WHEN {h} < 0.8 THEN 'medium' ELSE 'large' END AS effect_size,
   CASE WHEN ra > rb THEN group_a ELSE group_b END AS winner,
-  CASE WHEN rb > 0 THEN round_even((ra - rb) / rb, 4) END AS lift
+  CASE WHEN rb > 0 THEN round_even((ra - rb) / rb, 4) END AS lift{f", round_even({chi2_p_sql(f'({chi})')}, 6) AS p_value" if p else ""}
 FROM (SELECT *, CASE WHEN na > 0 THEN sa / na ELSE 0.0 END AS ra, CASE WHEN nb > 0 THEN sb / nb ELSE 0.0 END AS rb
       FROM (SELECT *, CAST(n_a AS DOUBLE) AS na, CAST(s_a AS DOUBLE) AS sa, CAST(n_b AS DOUBLE) AS nb,
             CAST(s_b AS DOUBLE) AS sb FROM ({counts_sql})))"""

@@ -36,17 +36,17 @@ CSV_SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("tit
 
 
 @register("csv_roundtrip", """
-SELECT o_orderkey AS id, 'Order "' || o_orderpriority || '", ' || o_orderstatus AS title, o_totalprice AS price,
+SELECT o_orderkey AS id, 'Order "' || o_orderpriority || '", ' || chr(10) || o_orderstatus AS title, o_totalprice AS price,
   CAST(o_orderdate AS DATE) AS day FROM orders""")
 def q_csv_roundtrip(spark, sf):
     """Write a CSV with quoted, comma-holding text to the shared scratch folder and read it back."""
     o = read_table(spark, sf, "orders")
     df = o.select(F.col("o_orderkey").alias("id"),
-                  F.concat(F.lit('Order "'), F.col("o_orderpriority"), F.lit('", '), F.col("o_orderstatus")).alias("title"),
+                  F.concat(F.lit('Order "'), F.col("o_orderpriority"), F.lit('", \n'), F.col("o_orderstatus")).alias("title"),
                   F.col("o_totalprice").alias("price"), F.col("o_orderdate").cast("date").alias("day"))
     path = scratch_dir(spark, "csv-roundtrip")
     write_csv(df, path)
-    return read_csv(spark, path, CSV_SCHEMA)
+    return read_csv(spark, path, CSV_SCHEMA, multi_line=True)
 
 
 NESTED_SCHEMA = ("struct<id:string,name:string,artists:array<struct<id:string,name:string>>,"
@@ -225,6 +225,19 @@ def q_bfs_expand(spark, sf):
     return bfs_expand(part_edges(spark, sf), seeds, depth=2, per_hop=500, max_nodes=5000, seed=42)
 
 
+@register("bfs_unbounded", """
+WITH inc AS (SELECT DISTINCT l_partkey AS node, l_orderkey AS hub FROM lineitem WHERE l_partkey IS NOT NULL AND l_orderkey IS NOT NULL),
+v0 AS (SELECT DISTINCT p_partkey AS node FROM part WHERE p_partkey <= 20),
+n1 AS (SELECT DISTINCT b.node FROM inc a JOIN inc b USING (hub) WHERE a.node IN (SELECT node FROM v0) AND b.node NOT IN (SELECT node FROM v0)),
+v1 AS (SELECT node FROM v0 UNION ALL SELECT node FROM n1),
+n2 AS (SELECT DISTINCT b.node FROM inc a JOIN inc b USING (hub) WHERE a.node IN (SELECT node FROM n1) AND b.node NOT IN (SELECT node FROM v1))
+SELECT node, 0 AS depth FROM v0 UNION ALL SELECT node, 1 FROM n1 UNION ALL SELECT node, 2 FROM n2""")
+def q_bfs_unbounded(spark, sf):
+    """Every part within two hops of the first twenty parts, without bounds."""
+    seeds = read_table(spark, sf, "part", ["p_partkey"]).filter(F.col("p_partkey") <= 20).select(F.col("p_partkey").alias("node"))
+    return bfs_expand(part_edges(spark, sf), seeds, depth=2)
+
+
 def _split_sql(seed=42):
     return with_views(["tracks"], f"""
 SELECT t.track_id, t.charted,
@@ -264,23 +277,20 @@ def q_sample_n(spark, sf):
     return sample_n(t, "track_id", 2000, seed=42)
 
 
-@register("write_splits")
+@register("write_splits", _split_sql())
 def q_write_splits(spark, sf):
-    """Write the split as parquet partitioned by split; read back only the test partition (pruned)."""
+    """Write all splits as parquet partitioned by split, and read them back."""
     from chartwise.sources.files import write_partitioned
-    t = views.tracks(spark, sf).select("track_id", "charted", "energy", "danceability")
+    t = views.tracks(spark, sf).select("track_id", "charted")
     s = stratified_split(t, "track_id", "charted")
     path = scratch_dir(spark, "splits")
     write_partitioned(s, path, "split")
-    return spark.read.parquet(path).filter(F.col("split") == "test")
-
-
-@register("report_json")
-def q_report_json(spark, sf):
-    """Write a validation report (one JSON document) and read it back."""
-    from chartwise.operators.profile import class_balance, null_profile
-    from chartwise.sources.files import read_report, write_report
-    t = views.tracks(spark, sf, round_to=True)
-    path = scratch_dir(spark, "report")
-    write_report({"class_balance": class_balance(t), "missing_values": null_profile(t)}, path)
-    return read_report(spark, path)
+    return spark.read.parquet(path)
+
+
+@register("source_fallback", "SELECT r_regionkey, r_name FROM region")
+def q_source_fallback(spark, sf):
+    """The first source that exists: two absent candidates, then the region table."""
+    from chartwise.sources.files import resolve_source
+    base = sf.rstrip("/")
+    return resolve_source(spark, [(f"{base}/absent.csv", "csv"), (f"{base}/absent.parquet", "parquet"), (f"{base}/region.parquet", "parquet")]).select("r_regionkey", "r_name")

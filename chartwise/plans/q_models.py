@@ -4,7 +4,6 @@ logistic fit, k-means restarts (K4, K6-K13, A11)."""
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -12,114 +11,136 @@ from pyspark.sql import functions as F
 from chartwise.functions.columns import fround
 from chartwise.operators.encode import standardize
 from chartwise.operators.learn import cluster_profile, roc_auc
-from chartwise.operators.models import (evaluate, importances, logistic_single, permutation_importance, score,
-                                        sparse_input, train_models, train_rf_smote)
+from chartwise.operators.models import (Training, evaluate, importances, load_scorer, logistic_single,
+                                        permutation_importance, score, sparse_input)
+from chartwise.operators.preparation import Preparation
 from chartwise.operators.split import sample_n
 from chartwise.plans import views
+from chartwise.plans.oracle_views import with_views
 from chartwise.plans.q_encode import CLUSTER_FEATS
 from chartwise.plans.registry import register
 from chartwise.session import scratch_dir
 
-# Small training settings for the catalogue (the reference's are 300 trees of
-# depth 20 and 400 boosting rounds of depth 6; pass them to train_models).
-RF_PARAMS = {"numTrees": 30, "maxDepth": 8, "minInstancesPerNode": 2}
-GBT_PARAMS = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 5}
+# Fixed values that must equal the reference's: the sizes of its forest and of its boosted trees.
+PARAMS = {"rf": {"numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 2},
+          "gbt": {"maxIter": 400, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 5}}
+
+#: Train rows that the catalogue's models are fitted on at most (a seeded sample); all rows are scored and evaluated.
+FIT_ROWS = 5_000
+
+#: Rows of the single-feature fit at most, the reference's bound; its AUC is over all rows.
+LOGIT_ROWS = 100_000
 _TRAINED: dict = {}
 
 
-def trained(spark, sf):
+def trained(spark, sf) -> Training:
+    """One training run per session and folder; a model is fitted when a query first asks for it."""
     key = (spark.sparkContext.applicationId, sf.rstrip("/"))
     if key not in _TRAINED:
-        _TRAINED[key] = train_models(views.tracks(spark, sf, round_to=True), RF_PARAMS, GBT_PARAMS)
+        _TRAINED[key] = Training(views.tracks(spark, sf, round_to=True), PARAMS, fit_rows=FIT_ROWS)
     return _TRAINED[key]
 
 
-def _metrics(spark, sf, name):
+def _metrics(spark, sf, kind, name, oversample=False):
     t = trained(spark, sf)
-    ev = t["split"].filter(F.col("split").isin("val", "test"))
-    m = evaluate(t["models"][name], ev, group=["split"])
-    return m.withColumn("model", F.lit(name))
+    held = t.split.filter(F.col("split").isin("val", "test"))
+    return evaluate(t.model(kind, oversample), held, group=["split"]).withColumn("model", F.lit(name))
+
+
+def _frame_sql():
+    """The prepared model frame: fills, genre code, categories without their smallest, in feature order."""
+    medians = [c for c in MEDIANS if c not in ("key", "time_signature")]
+    ones = ", ".join([f"CAST(k = {v} AND k > (SELECT min(k) FROM c) AS DOUBLE) AS key_{v}" for v in range(1, 12)]
+                     + [f"CAST(ts = {v} AND ts > (SELECT min(ts) FROM c) AS DOUBLE) AS ts_{v}" for v in (2, 3, 4, 5)])
+    filled = ", ".join(f"round_even(coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont({c}, 0.5) FROM tracks)), 6) AS {c}" for c in medians)
+    return with_views(["tracks"], f"""
+SELECT track_id, {", ".join(medians)}, duration_min, explicit, markets_count, genre_enc, {ones} FROM c""", extra_ctes=f"""
+c AS (SELECT track_id, {filled}, coalesce(duration_min, 0.0) AS duration_min, CAST(coalesce(explicit, 0) AS DOUBLE) AS explicit,
+  CAST(coalesce(markets_count, 0) AS DOUBLE) AS markets_count, CAST((SELECT count(DISTINCT coalesce(x.genre, 'unknown')) FROM tracks x WHERE coalesce(x.genre, 'unknown') < coalesce(tracks.genre, 'unknown')) AS DOUBLE) AS genre_enc,
+  CAST(trunc(coalesce(key, (SELECT quantile_cont(key, 0.5) FROM tracks))) AS INTEGER) AS k,
+  CAST(trunc(coalesce(time_signature, (SELECT quantile_cont(time_signature, 0.5) FROM tracks))) AS INTEGER) AS ts FROM tracks)""")
+
+
+MEDIANS = ["danceability", "energy", "loudness_norm", "tempo_norm", "speechiness", "acousticness", "instrumentalness", "liveness", "valence",
+           "energy_dance", "loud_energy", "key", "mode", "time_signature", "release_year"]
+
+
+@register("model_frame", _frame_sql())
+def q_model_frame(spark, sf):
+    """Every feature of every track under the fitted preparation, saved and loaded again."""
+    t = views.tracks(spark, sf)
+    path = scratch_dir(spark, "preparation")
+    Preparation.fit(t).save(path)
+    ready = Preparation.load(spark, path)
+    out = ready.transform(t).withColumnRenamed("row_key", "track_id").drop("charted")
+    return out.select("track_id", *[(fround(c, 6).alias(c) if c in MEDIANS else F.col(c)) for c in ready.features])
 
 
 @register("rf_train")
 def q_rf_train(spark, sf):
-    """Random forest (balanced class weights) on the train split; val and test metrics."""
-    return _metrics(spark, sf, "random_forest")
+    """Random forest (balanced class weights) fitted on the train split; val and test metrics."""
+    return _metrics(spark, sf, "rf", "random_forest")
 
 
 @register("gbt_train")
 def q_gbt_train(spark, sf):
     """Gradient-boosted trees (positive-class weight neg/pos); val and test metrics."""
-    return _metrics(spark, sf, "gbt")
+    return _metrics(spark, sf, "gbt", "gbt")
 
 
 @register("smote_rf_train")
 def q_smote_rf_train(spark, sf):
     """Random forest on SMOTE-oversampled train rows (plus balanced weights); val and test metrics."""
-    t = trained(spark, sf)
-    model = train_rf_smote(t, RF_PARAMS)
-    ev = t["split"].filter(F.col("split").isin("val", "test"))
-    return evaluate(model, ev, group=["split"]).withColumn("model", F.lit("random_forest_smote"))
+    return _metrics(spark, sf, "rf", "random_forest_smote", oversample=True)
 
 
 @register("best_model")
 def q_best_model(spark, sf):
-    """The model with the best validation AUC (first listed on ties)."""
-    both = _metrics(spark, sf, "random_forest").withColumn("o", F.lit(0)) \
-        .unionByName(_metrics(spark, sf, "gbt").withColumn("o", F.lit(1)))
-    val = both.filter(F.col("split") == "val")
-    return val.agg(F.max_by("model", F.struct(F.col("auc"), -F.col("o"))).alias("best_model"),
-                   F.max("auc").alias("best_val_auc"))
+    """The model with the best validation AUC to four digits (first listed on ties)."""
+    return spark.createDataFrame([trained(spark, sf).best()], "best_model string, best_val_auc double")
 
 
 @register("importance_rank")
 def q_importance_rank(spark, sf):
-    """Top-10 impurity importances of the random forest."""
+    """Impurity importances of the random forest, all features."""
     t = trained(spark, sf)
-    imp = importances(t["models"]["random_forest"], t["feats"])[:10]
-    return spark.createDataFrame([(i + 1, f, float(v)) for i, (f, v) in enumerate(imp)],
+    return spark.createDataFrame([(i + 1, f, float(v)) for i, (f, v) in enumerate(importances(t.model("rf"), t.feats))],
                                  "rank int, feature string, importance double")
 
 
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
-    """Validation AUC drop per shuffled feature for the random forest."""
+    """Validation AUC drop per permuted feature for the random forest."""
     t = trained(spark, sf)
-    val = t["split"].filter(F.col("split") == "val").drop("split")
-    return permutation_importance(t["models"]["random_forest"], val, t["feats"])
+    return permutation_importance(t.model("rf"), t.split.filter(F.col("split") == "val").drop("split"), t.feats)
 
 
 @register("batch_score")
 def q_batch_score(spark, sf):
-    """Save the chosen pipeline (imputer + model) to shared storage, load it, score the test split."""
-    t = trained(spark, sf)
+    """Save the chosen model with its preparation to shared storage, load both, score every raw track."""
     path = scratch_dir(spark, "model")
-    t["models"]["random_forest"].write().overwrite().save(path)
-    model = PipelineModel.load(path)
-    test = t["split"].filter(F.col("split") == "test").drop("split")
-    return score(model, test).select("row_key", fround("score", 6).alias("probability"), "prediction")
+    trained(spark, sf).save(path)
+    _, scorer = load_scorer(spark, path)
+    return scorer(views.tracks(spark, sf, round_to=True)).select("row_key", fround("score", 6).alias("probability"), "prediction")
 
 
 @register("score_sparse")
 def q_score_sparse(spark, sf):
-    """Score rows that carry only a few audio features (others 0, interactions recomputed)."""
+    """Score rows that carry only a few audio features (others 0, interactions recomputed) with the chosen model."""
     t = trained(spark, sf)
-    test = t["split"].filter(F.col("split") == "test")
-    partial = test.select("row_key", "energy", "danceability", "loudness_norm", "valence", "acousticness")
-    x = sparse_input(partial, t["feats"])
-    return score(t["models"]["random_forest"], x).select("row_key", fround("score", 6).alias("probability"))
+    partial = t.frame.select("row_key", "energy", "danceability", "loudness_norm", "valence", "acousticness")
+    return score(t.model(t.best()[0]), sparse_input(partial, t.feats)).select("row_key", fround("score", 6).alias("probability"))
 
 
 @register("logit_single")
 def q_logit_single(spark, sf):
-    """Logistic regression on standardised log10(followers) (<= 100K sampled rows), coefficient and AUC."""
+    """Logistic regression on standardised log10(followers), fitted on at most LOGIT_ROWS rows; AUC over all rows."""
     f = views.facts(spark, sf).filter(F.col("followers") > 0) \
         .select("track_id", "charted", F.log10(F.greatest("followers", F.lit(1.0))).alias("log_followers"))
-    s = sample_n(f, "track_id", 100_000, seed=42)
-    z = standardize(s, ["log_followers"])
-    model, scored = logistic_single(z, "log_followers")
+    z = standardize(f, ["log_followers"])
+    model, _ = logistic_single(sample_n(z, "track_id", LOGIT_ROWS, seed=42), "log_followers")
     lr = model.stages[-1]
-    auc = roc_auc(scored, "score", "charted")
+    auc = roc_auc(score(model, z), "score", "charted")
     return auc.select(F.lit(round(float(lr.coefficients[0]), 4)).alias("coef"),
                       F.lit(round(float(lr.intercept), 4)).alias("intercept"), "auc", "n_pos", "n_neg")
 

@@ -9,7 +9,10 @@ from chartwise.operators.profile import (AUDIO_FEATURES, EXPECTED_RANGES, catego
                                          null_profile, quality_issues, range_profile)
 from chartwise.plans import views
 from chartwise.plans.oracle_views import with_views
-from chartwise.plans.registry import register
+from chartwise.operators.reports import VALIDATION, report_numbers, validation_sections
+from chartwise.plans.registry import ORACLES, register
+from chartwise.session import scratch_dir
+from chartwise.sources.files import read_report, write_report
 from chartwise.sources.tables import read_table
 
 PROFILE_COLS = ["track_id", "track_name", "popularity", "duration_ms", "explicit", "artist_ids", "release_date",
@@ -142,3 +145,30 @@ def q_quality_issues(spark, sf):
     t = _profile_frame(spark, sf)
     return quality_issues(null_profile(t, PROFILE_COLS), range_profile(t), duplicate_count(t, ["track_id"]),
                           class_balance(t))
+
+
+#: Columns of the prepared tracks, which the report's overview counts.
+N_COLUMNS = 30
+
+
+def _report_sql():
+    issues = "SELECT subject, value FROM (" + ORACLES["quality_issues"] + ")"
+    bodies = {
+        "dataset_overview": with_views(["tracks"], f"SELECT count(*) AS total_tracks, {N_COLUMNS} AS total_columns FROM tracks"),
+        "missing_values": ORACLES["null_profile"], "out_of_range": ORACLES["range_profile"],
+        "duplicates": with_views(["tracks"], "SELECT count(*) - count(DISTINCT track_id) AS duplicates FROM tracks"),
+        "class_balance": ORACLES["class_balance"], "genre_breakdown": ORACLES["genre_breakdown"], "feature_statistics": ORACLES["feature_stats"],
+        "correlation_with_chart": ORACLES["corr_with_label"], "quality_issues": issues,
+        "quality_pass": f"SELECT CAST(count(*) = 0 AS INTEGER) AS passed FROM ({issues})",
+    }
+    parts = [f"SELECT '{section}' AS section, {f'CAST({chr(34)}{name}{chr(34)} AS VARCHAR)' if name else chr(39) + 'all' + chr(39)} AS id, '{n}' AS metric, CAST(\"{n}\" AS DOUBLE) AS number FROM ({bodies[section]})"
+             for section, (name, numbers) in VALIDATION.items() for n in numbers]
+    return "SELECT * FROM (" + "\nUNION ALL\n".join(parts) + ") WHERE number IS NOT NULL"
+
+
+@register("report_json", _report_sql())
+def q_report_json(spark, sf):
+    """Write the whole validation report (ten sections, one JSON document) and read its numbers back."""
+    path = scratch_dir(spark, "report")
+    write_report(validation_sections(_profile_frame(spark, sf), PROFILE_COLS, AUDIO_FEATURES), path)
+    return report_numbers(read_report(spark, path))

@@ -10,7 +10,7 @@ from chartwise.operators.abtest import ab_chain, ab_many, ab_test
 from chartwise.operators.quantiles import exact_quantiles
 from chartwise.operators.stattests import corr_tests, interaction_gain, quadrant_synergy, welch_profile
 from chartwise.plans import views
-from chartwise.plans.oracle_views import ab_counts_sql, ab_sql, with_views
+from chartwise.plans.oracle_views import ab_counts_sql, ab_sql, with_views, t_p_sql
 from chartwise.plans.q_rates import COLLAB, FOLLOWER_TIERS, collab_tier_col, follower_tier_col
 from chartwise.plans.registry import register
 
@@ -44,7 +44,8 @@ def q_ab_test(spark, sf):
                    "Low followers (<10K)", "High followers (1M+)", min_n=30)
 
 
-@register("ab_test_pvalue")
+@register("ab_test_pvalue", with_views(["facts"], ab_sql(ab_counts_sql(
+    "facts", "followers < 10000", "followers >= 1000000", "Low followers (<10K)", "High followers (1M+)", 30), p=True)))
 def q_ab_test_pvalue(spark, sf):
     """The same A/B test with its chi-square p-value (vectorised UDF on the 1-row result)."""
     f = views.facts(spark, sf)
@@ -52,14 +53,18 @@ def q_ab_test_pvalue(spark, sf):
                    "Low followers (<10K)", "High followers (1M+)", min_n=30, with_p=True)
 
 
+#: Score levels of the clamped test, where the given tables have rows on both sides (0.65 and 0.30 leave none).
+HS_HIGH, HS_LOW = 0.45, 0.2
+
+
 @register("ab_test_clamped", with_views(["facts"], ab_sql(ab_counts_sql(
-    f"(SELECT *, {HIT_SCORE_SQL} AS hs FROM facts)", "hs >= 0.65", "hs < 0.3",
-    "Very High Hit Score (≥0.65)", "Very Low Hit Score (<0.30)", 30), clamp=True)))
+    f"(SELECT *, {HIT_SCORE_SQL} AS hs FROM facts)", f"hs >= {HS_HIGH}", f"hs < {HS_LOW}",
+    f"Very High Hit Score (≥{HS_HIGH:.2f})", f"Very Low Hit Score (<{HS_LOW:.2f})", 30), clamp=True)))
 def q_ab_test_clamped(spark, sf):
     """Very high vs very low composite hit score; every 2x2 cell clamped to >= 1."""
     f = views.facts(spark, sf).withColumn("hs", hit_score())
-    return ab_test(f, F.col("hs") >= 0.65, F.col("hs") < 0.30, "charted", "Very High Hit Score (≥0.65)",
-                   "Very Low Hit Score (<0.30)", clamp_cells=True, min_n=30)
+    return ab_test(f, F.col("hs") >= HS_HIGH, F.col("hs") < HS_LOW, "charted", f"Very High Hit Score (≥{HS_HIGH:.2f})",
+                   f"Very Low Hit Score (<{HS_LOW:.2f})", clamp_cells=True, min_n=30)
 
 
 @register("threshold_ab", with_views(["facts"], ab_sql(ab_counts_sql(
@@ -105,7 +110,10 @@ def q_ab_pairs(spark, sf):
     return ab_chain(f, "tier", "charted", COLLAB, pairs=COLLAB_PAIRS, min_n=30)
 
 
-def _welch_sql(feats, table):
+STARS_SQL = "CASE WHEN p_value < 0.001 THEN '★★★' WHEN p_value < 0.01 THEN '★★' WHEN p_value < 0.05 THEN '★' WHEN p_value IS NOT NULL THEN '' END"
+
+
+def _welch_sql(feats, table, p=False):
     parts = []
     for i, c in enumerate(feats):
         parts.append(
@@ -115,6 +123,11 @@ def _welch_sql(feats, table):
             f"CAST(count({c}) FILTER (WHERE charted = 0) AS DOUBLE) AS n0 FROM {table}")
     body = "\nUNION ALL\n".join(parts)
     se = "(v1 / n1 + v0 / n0)"
+    dof = f"({se} * {se} / ((v1 / n1) * (v1 / n1) / (n1 - 1.0) + (v0 / n0) * (v0 / n0) / (n0 - 1.0)))"
+    if p:
+        return (f"SELECT *, p_value < 0.05 AS significant, {STARS_SQL} AS stars FROM (SELECT feature, ordinal, charted_mean, noncharted_mean, diff, t, df, n_charted, n_noncharted, "
+                f"round_even({t_p_sql('_t', '_df')}, 8) AS p_value FROM (SELECT *, CASE WHEN _se > 0 THEN _d / sqrt(_se) END AS _t FROM ({_welch_sql(feats, table)}) "
+                f"JOIN (SELECT feature AS _f, m1 - m0 AS _d, {se} AS _se, {dof} AS _df FROM ({body})) ON _f = feature))")
     return (f"SELECT feature, ordinal, round_even(m1, 4) AS charted_mean, round_even(m0, 4) AS noncharted_mean, "
             f"round_even(m1 - m0, 4) AS diff, CASE WHEN {se} > 0 THEN round_even((m1 - m0) / sqrt({se}), 4) END AS t, "
             f"CASE WHEN {se} > 0 THEN round_even({se} * {se} / ((v1 / n1) * (v1 / n1) / (n1 - 1.0) + (v0 / n0) * (v0 / n0) / (n0 - 1.0)), 2) END AS df, "
@@ -127,7 +140,7 @@ def q_welch_profile(spark, sf):
     return welch_profile(views.facts(spark, sf), AUDIO_VS_CHART)
 
 
-@register("welch_pvalues")
+@register("welch_pvalues", with_views(["facts"], _welch_sql(AUDIO_VS_CHART, "facts", p=True)))
 def q_welch_pvalues(spark, sf):
     """Welch profile with two-sided p-values, significance and stars."""
     return welch_profile(views.facts(spark, sf), AUDIO_VS_CHART, with_p=True)
@@ -140,13 +153,13 @@ def q_emerging_welch(spark, sf):
     return welch_profile(f, EMERGING_FEATS)
 
 
-def _corr0_sql(feats, target, table):
+def _corr0_sql(feats, target, table, raw=False):
     parts = [f"SELECT '{c}' AS feature, {i} AS ordinal, covar_pop(coalesce({c}, 0.0), CAST({target} AS DOUBLE)) AS cv, "
              f"stddev_pop(coalesce({c}, 0.0)) AS sx, stddev_pop(CAST({target} AS DOUBLE)) AS sy, count(*) AS n FROM {table}"
              for i, c in enumerate(feats)]
     body = "\nUNION ALL\n".join(parts)
     r = "(cv / (sx * sy))"
-    return (f"SELECT feature, ordinal, round_even({r}, 4) AS r, "
+    return (f"SELECT feature, ordinal, round_even({r}, 4) AS r, {f'{r} AS raw, ' if raw else ''}"
             f"CASE WHEN abs({r}) < 1.0 THEN round_even({r} * sqrt((n - 2.0) / (1.0 - {r} * {r})), 4) END AS t, "
             f"CAST(n AS BIGINT) AS n FROM ({body}) WHERE sx > 0 AND sy > 0")
 
@@ -157,7 +170,9 @@ def q_corr_zero_filled(spark, sf):
     return corr_tests(views.facts(spark, sf), AUDIO_VS_CHART, "popularity_track").filter(F.col("r").isNotNull())
 
 
-@register("corr_pvalues")
+@register("corr_pvalues", with_views(["facts"], f"""SELECT feature, ordinal, r, t, n,
+  round_even({t_p_sql("CASE WHEN abs(raw) < 1.0 THEN raw * sqrt((n - 2.0) / (1.0 - raw * raw)) END", "(n - 2.0)")}, 8) AS p_value
+FROM ({_corr0_sql(AUDIO_VS_CHART, "popularity_track", "facts", raw=True)})"""))
 def q_corr_pvalues(spark, sf):
     """Zero-filled correlations with popularity including two-sided p-values."""
     return corr_tests(views.facts(spark, sf), AUDIO_VS_CHART, "popularity_track", with_p=True)
@@ -165,15 +180,15 @@ def q_corr_pvalues(spark, sf):
 
 @register("predictor_rank", with_views(["facts"], f"""
 SELECT CASE WHEN feature = 'followers' THEN 'artist_followers' ELSE feature END AS predictor, abs(r) AS abs_r,
-  CAST(row_number() OVER (ORDER BY abs(r) DESC, feature) AS INTEGER) AS rank
-FROM ({_corr0_sql(["followers"] + PREDICTOR_FEATS, "charted", "facts")})"""))
+  CAST(row_number() OVER (ORDER BY abs(raw) DESC, feature) AS INTEGER) AS rank
+FROM ({_corr0_sql(["followers"] + PREDICTOR_FEATS, "charted", "facts", raw=True)})"""))
 def q_predictor_rank(spark, sf):
     """Artist followers vs audio features ranked by |r| with the label (NULL -> 0)."""
-    r = corr_tests(views.facts(spark, sf), ["followers"] + PREDICTOR_FEATS, "charted").filter(F.col("r").isNotNull())
+    r = corr_tests(views.facts(spark, sf), ["followers"] + PREDICTOR_FEATS, "charted", digits=None).filter(F.col("r").isNotNull())
     r = r.select(F.when(F.col("feature") == "followers", "artist_followers").otherwise(F.col("feature")).alias("predictor"),
                  F.abs("r").alias("abs_r"), "feature")
     w = Window.orderBy(F.desc("abs_r"), "feature")  # a handful of aggregated rows
-    return r.withColumn("rank", F.row_number().over(w).cast("int")).drop("feature")
+    return r.withColumn("rank", F.row_number().over(w).cast("int")).withColumn("abs_r", fround("abs_r", 4)).drop("feature")
 
 
 @register("top_decile_compare", with_views(["facts"], "\nUNION ALL\n".join(
@@ -258,3 +273,26 @@ def q_quadrant_ab(spark, sf):
               f"Low {a} + Low {b}", (F.col(a) <= F.lit(1.0) - F.lit(ta)) & (F.col(b) <= F.lit(1.0) - F.lit(tb)))
              for a, b, ta, tb in QUADRANT_TESTS]
     return ab_many(views.facts(spark, sf), tests, "charted", clamp_cells=True, min_n=30)
+
+
+@register("duration_corr", with_views(["facts"], f"""SELECT feature, ordinal, r, t, n,
+  round_even({t_p_sql("CASE WHEN abs(raw) < 1.0 THEN raw * sqrt((n - 2.0) / (1.0 - raw * raw)) END", "(n - 2.0)")}, 8) AS p_value
+FROM ({_corr0_sql(["duration_min"], "charted", "facts", raw=True)})"""))
+def q_duration_corr(spark, sf):
+    """Correlation of duration (NULL -> 0) with the label, with its p-value."""
+    return corr_tests(views.facts(spark, sf), ["duration_min"], "charted", with_p=True)
+
+
+#: Charted tracks that the emerging-artist profile needs more than.
+EMERGING_MIN = 10
+
+
+@register("emerging_flags", with_views(["facts"], f"""SELECT feature, charted_mean, noncharted_mean, diff, significant
+FROM ({_welch_sql(EMERGING_FEATS, "(SELECT * FROM facts WHERE followers < 100000)", p=True)})
+WHERE (SELECT count(*) FROM facts WHERE followers < 100000 AND charted = 1) > {EMERGING_MIN}"""))
+def q_emerging_flags(spark, sf):
+    """What separates charted tracks of artists under 100K followers, with flags; only if more than ten charted."""
+    f = views.facts(spark, sf).filter(F.col("followers") < 100_000)
+    enough = f.agg((F.count(F.when(F.col("charted") == 1, 1)) > EMERGING_MIN).alias("e"))
+    flags = welch_profile(f, EMERGING_FEATS, with_p=True).select("feature", "charted_mean", "noncharted_mean", "diff", "significant")
+    return flags.filter(F.lit(enough.first()["e"]))

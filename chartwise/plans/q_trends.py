@@ -12,10 +12,10 @@ from chartwise.operators.stattests import corr_tests
 from chartwise.operators.trends import (bucket_rates, conditional_gap, feature_trends, first_last_shift,
                                         largest_jump, period_means)
 from chartwise.plans import views
-from chartwise.plans.oracle_views import ab_sql, with_views
+from chartwise.plans.oracle_views import ab_sql, t_p_sql, with_views
 from chartwise.plans.q_rates import LOG_EDGES
 from chartwise.plans.q_stats import HIT_SCORE_SQL, hit_score
-from chartwise.plans.registry import register
+from chartwise.plans.registry import ORACLES, register
 
 # Fixed values that must equal the reference's: trend features, decade range,
 # hit-score bucket edges and labels.
@@ -54,7 +54,7 @@ def _year_means(spark, sf):
     return period_means(views.facts(spark, sf), "release_year", TREND_FEATURES)
 
 
-def _trend_sql():
+def _trend_sql(p=False):
     parts = [f"SELECT '{c}' AS feature, {i} AS ordinal, regr_slope({c}, CAST(period AS DOUBLE)) AS slope, "
              f"regr_r2({c}, CAST(period AS DOUBLE)) AS r2, count({c}) AS k, "
              f"covar_pop({c}, CAST(period AS DOUBLE)) / (stddev_pop({c}) * stddev_pop(CAST(period AS DOUBLE))) AS r "
@@ -62,7 +62,8 @@ def _trend_sql():
     return (f"SELECT feature, ordinal, round_even(slope, 6) AS slope, round_even(r2, 6) AS r2, "
             f"CAST(k AS BIGINT) AS n_points, CASE WHEN abs(r) < 1.0 THEN round_even(r * sqrt((k - 2.0) / (1.0 - r * r)), 4) END AS t, "
             f"CASE WHEN slope > 0 THEN '↑ increasing' ELSE '↓ decreasing' END AS direction "
-            f"FROM ({' UNION ALL '.join(parts)}) WHERE k >= 3")
+            + (f", round_even({t_p_sql('CASE WHEN abs(r) < 1.0 THEN r * sqrt((k - 2.0) / (1.0 - r * r)) END', '(k - 2.0)')}, 6) AS p_value, p_value < 0.05 AS significant " if p else "")
+            + f"FROM ({' UNION ALL '.join(parts)}) WHERE k >= 3")
 
 
 @register("feature_trend", with_views(["facts"], _trend_sql(),
@@ -72,7 +73,8 @@ def q_feature_trend(spark, sf):
     return feature_trends(_year_means(spark, sf), "release_year", TREND_FEATURES).drop("_t", "_df")
 
 
-@register("feature_trend_pvalues")
+@register("feature_trend_pvalues", with_views(["facts"], _trend_sql(p=True),
+                                              extra_ctes=f"m AS ({_means_sql('release_year', 'release_year IS NOT NULL')})"))
 def q_feature_trend_pvalues(spark, sf):
     """Feature trends with the regression p-value, significance and stars."""
     t = feature_trends(_year_means(spark, sf), "release_year", TREND_FEATURES)
@@ -127,13 +129,13 @@ def q_breakpoint(spark, sf):
     fp = f.filter(F.col("followers") > 0)
     b = bucket_rates(fp, F.log10(F.greatest("followers", F.lit(1.0))), LOG_EDGES, min_n=100)
     bp = largest_jump(b).first()
-    if bp is None or bp["breakpoint_followers"] is None:
-        return largest_jump(b).limit(0)
-    thr = int(bp["breakpoint_followers"])
+    found = bp is not None and bp["breakpoint_followers"] is not None
+    thr = int(bp["breakpoint_followers"]) if found else 0
     ab = ab_test(f, F.col("followers") >= thr, F.col("followers") < thr, "charted",
                  f"Above threshold (≥{thr:,} followers)", f"Below threshold (<{thr:,} followers)", clamp_cells=True)
-    return ab.select(F.lit(bp["breakpoint_log"]).alias("breakpoint_log"), F.lit(thr).cast("bigint").alias("breakpoint_followers"),
-                     F.lit(bp["breakpoint_jump"]).cast("double").alias("breakpoint_jump"), "*")
+    out = ab.select(F.lit(bp["breakpoint_log"] if found else None).cast("double").alias("breakpoint_log"), F.lit(thr).cast("bigint").alias("breakpoint_followers"),
+                    F.lit(bp["breakpoint_jump"] if found else None).cast("double").alias("breakpoint_jump"), "*")
+    return out if found else out.limit(0)
 
 
 def _hit_case():
@@ -195,3 +197,9 @@ WHERE rn <= 6"""))
 def q_row_contributions(spark, sf):
     """Per track: the six largest weighted feature terms and their share of the largest."""
     return top_contributions(views.facts(spark, sf), "track_id")
+
+
+@register("best_decade", f"SELECT decade, n, chart_rate FROM ({ORACLES['decade_trend']}) ORDER BY chart_rate DESC, decade LIMIT 1")
+def q_best_decade(spark, sf):
+    """The decade with the highest chart rate (the earliest on ties)."""
+    return q_decade_trend(spark, sf).select("decade", "n", "chart_rate").orderBy(F.desc("chart_rate"), "decade").limit(1)

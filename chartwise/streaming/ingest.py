@@ -1,28 +1,39 @@
 """Structured Streaming forms of incremental ingest (A8) and batch scoring.
 
-Both read files with a file source and run with ``trigger(availableNow=True)``:
-everything present is processed in bounded micro-batches, progress and
-state live in the checkpoint location on shared storage, and a restarted
-query resumes where it stopped (exactly-once file sink).
+Both read files with a file source and run with ``trigger(availableNow=True)``: everything present is processed in
+bounded micro-batches, progress lives in the checkpoint location on shared storage, and a restarted query
+resumes where it stopped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-
-def stream_dedup_append(spark: SparkSession, source_dir: str, schema: StructType, key: str, event_time: str,
-                        out_dir: str, checkpoint_dir: str, watermark: str = "365 days",
-                        max_files_per_trigger: int = 1) -> None:
-    """A8 streaming: first row per key wins across all batches (state bounded by the watermark)."""
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-           .parquet(source_dir))
-    src = src.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    dedup = src.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key])
-    q = (dedup.writeStream.format("parquet").option("path", out_dir)
-         .option("checkpointLocation", checkpoint_dir).outputMode("append")
+from pyspark.sql.types import LongType, StructField, StructType
+
+from chartwise.operators.ingest import keep_first
+
+
+def stream_dedup_append(spark: SparkSession, source_dir: str, schema: StructType, key: str, order: str,
+                        out_dir: str, checkpoint_dir: str, max_files_per_trigger: int = 1) -> None:
+    """A8 streaming: the first row of a key wins, however late or old its repeats are.
+
+    Each micro-batch keeps its first row per key by ``order``, drops keys that earlier batches wrote (anti join with
+    the written table: no watermark, so nothing is forgotten or dropped), and writes its own folder
+    ``batch=<id>``. A batch that is run again after a failure overwrites that folder and isn't compared with it,
+    so its rows appear once. Null keys are one key, as in :func:`keep_first`.
+    """
+    def append(rows: DataFrame, batch: int) -> None:
+        session = rows.sparkSession
+        new = keep_first(rows, [key], [order])
+        if batch:
+            table = session.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", out_dir).parquet(out_dir)
+            known = table.filter(F.col("batch") < batch).select(F.col(key).alias("_known")).distinct()
+            new = new.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
+        new.write.mode("overwrite").parquet(f"{out_dir}/batch={batch}")
+
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir)
+    q = (src.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint_dir)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
@@ -36,8 +47,3 @@ def stream_transform(spark: SparkSession, source_dir: str, schema: StructType, t
          .option("checkpointLocation", checkpoint_dir).outputMode("append")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-
-
-def land_batches(df: DataFrame, dest: str, batch_col: str) -> None:
-    """Write a frame as one folder per batch value (input for the file stream)."""
-    df.write.mode("overwrite").partitionBy(batch_col).parquet(dest)

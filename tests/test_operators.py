@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chartwise.operators.abtest import ab_test
 from chartwise.operators.graph import bfs_expand
-from chartwise.operators.ingest import keep_first, keep_first_window
+from chartwise.operators.ingest import incremental_append, keep_first
 from chartwise.operators.joins import hot_key_join
 from chartwise.operators.learn import knn_exact, roc_auc, smote
 from chartwise.operators.quantiles import exact_quantiles
@@ -46,7 +46,7 @@ def test_exact_quantiles_with_heavy_ties(spark):
     vals = np.concatenate([np.zeros(5000), rng.normal(size=10000), np.full(100, np.nan)])
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(7)
     probs = [0.1, 0.25, 0.5, 0.75, 0.9]
-    q = exact_quantiles(df, ["x"], probs, accuracy=200, direct_max_rows=0)
+    q = exact_quantiles(df, ["x"], probs, accuracy=200)
     clean = vals[~np.isnan(vals)]
     for p in probs:
         assert q[("x", p)] == pytest.approx(float(np.quantile(clean, p)), abs=1e-12)
@@ -75,7 +75,7 @@ def test_assign_by_rank_null_class(spark):
 def test_sample_n_exact(spark):
     df = spark.range(3000)
     assert sample_n(df, "id", 123).count() == 123
-    big = sample_n(df, "id", 1500, top_k_max=10)
+    big = sample_n(df, "id", 1500, seed=42)
     assert big.count() == 1500
     assert sorted(r[0] for r in big.collect()) == sorted(r[0] for r in sample_n(df, "id", 1500).collect())
 
@@ -92,12 +92,14 @@ def test_auc_ties_and_reversal(spark):
     assert a + b == pytest.approx(1.0, abs=2e-6)
 
 
-def test_keep_first_hot_key_matches_window(spark):
+def test_keep_first_of_a_hot_key(spark):
     rows = [(1 if i % 3 else i, i % 11, i) for i in range(3000)]   # key 1 holds two thirds
     df = spark.createDataFrame(rows, "k int, o int, v int")
     a = keep_first(df, ["k"], ["o", "v"])
-    b = keep_first_window(df, ["k"], ["o", "v"])
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    first = {}
+    for k, o, v in rows:
+        first[k] = min(first.get(k, (o, v)), (o, v))
+    assert sorted(map(tuple, a.collect())) == sorted((k, o, v) for k, (o, v) in first.items())
 
 
 def test_hot_key_join_equals_join(spark):
@@ -216,7 +218,7 @@ def test_exact_quantiles_refinement_rounds(spark):
     vals = np.concatenate([np.full(6000, 0.5), rng.exponential(size=12000), rng.integers(0, 5, 2000).astype(float)])
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(9)
     probs = [0.05, 0.3, 0.5, 0.77, 0.999]
-    q = exact_quantiles(df, ["x"], probs, accuracy=20, band_max=300, direct_max_rows=0)
+    q = exact_quantiles(df, ["x"], probs, accuracy=20, band_max=300)
     assert q == pytest.approx(exact_quantiles(df, ["x"], probs))
     for p in probs:
         assert q[("x", p)] == pytest.approx(float(np.quantile(vals, p)), abs=1e-12)
