@@ -28,7 +28,7 @@ EMAIL = re.compile(r"(?<![\w.+-])([A-Za-z0-9._+-]{1,64})(@[A-Za-z0-9-]+(?:\.[A-Z
 #: Forms that begin a number; what a form matches is validated, and left alone if it isn't one.
 NUMBER = re.compile(r"""
     (?<![0-9A-Za-z])(?<![0-9]\.)(?:
-      (?P<secret>(?=[0-9a-f]{0,63}[0-9])(?=[0-9a-f]{0,63}[a-f])[0-9a-f]{32,64})
+      (?P<secret>(?=[0-9a-f]{0,63}[0-9])(?=[0-9a-f]{0,63}[a-f])[0-9a-f]{32,64}|AKIA[0-9A-Z]{16}|(?<=password=)[0-9a-f]{8,31})
     | (?P<iban>[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?)
     | (?P<ip>[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?!\.?[0-9])
     | (?P<date>[0-9]{4}(?P<d1>[-/.])[0-9]{1,2}(?P=d1)[0-9]{1,2}|[0-9]{1,2}(?P<d2>[-/.])[0-9]{1,2}(?P=d2)[0-9]{4})
@@ -146,6 +146,9 @@ class Pseudonyms:
         return None
 
     def secret(self, text: str) -> str:
+        """Long hexadecimal tokens, access key names (their prefix stays), hexadecimal passwords."""
+        if text.startswith("AKIA"):
+            return text[:4] + self.letters("secret", text[4:])
         return f"{self.permute('secret', int(text, 16), 16 ** len(text)):0{len(text)}x}"
 
     def text(self, text: str) -> tuple[str, dict[str, int]]:
