@@ -26,7 +26,7 @@ PARAMS = {"rf": {"numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 2},
           "gbt": {"maxIter": 400, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 5}}
 
 #: Train rows that the catalogue's models are fitted on at most (a seeded sample); all rows are scored and evaluated.
-FIT_ROWS = 5_000
+FIT_ROWS = 3_000
 
 #: Rows of the single-feature fit at most, the reference's bound; its AUC is over all rows.
 LOGIT_ROWS = 100_000
