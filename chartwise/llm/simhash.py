@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartwise.llm.common import id_key, land
@@ -174,12 +174,19 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of ``edges`` (a, b): every node takes its smallest neighbour's name and edges are
-    renamed, until none is left. Each round at least halves the nodes that still have edges."""
+    """(node, root) for the nodes of ``edges`` (a, b); a component's nodes share a root, which is one of them.
+
+    Nodes are ordered by a hash that is new in each round. Every node takes the name of the first among itself and
+    its neighbours, edges are renamed, and those within a name go, until none is left. As the order is random, a
+    round removes an expected constant share of the nodes that still have edges, also of paths and stars.
+    """
     both = land(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "links")
     rounds: list[DataFrame] = []
     while not both.isEmpty():
-        to = land(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), "names")
+        def ranked(node: str, turn: int = len(rounds)) -> Column:
+            return F.struct(F.xxhash64(node, F.lit(turn)).alias("h"), F.col(node).alias("n"))
+
+        to = land(both.groupBy("a").agg(F.min(ranked("b")).alias("first")).select("a", F.least("first", ranked("a"))["n"].alias("to")), "names")
         rounds.append(to)
         renamed = (both.join(to, "a").select(F.col("to").alias("x"), "b").join(to.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
                    .filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
