@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartwise.llm.common import id_key, land
+from chartwise.llm.vocab import close
 
 BLANK = b" \t\n\x0b\x0c\r"
 
@@ -44,6 +45,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     docs = docs.withColumn("__doc", id_key(id_col))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        close()
         for batch in batches:
             ids, found = [], []
             for doc, text in zip(batch.column("__doc").to_pylist(), batch.column("__raw"), strict=True):

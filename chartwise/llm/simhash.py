@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartwise.llm.common import id_key, land
+from chartwise.llm.vocab import close
 
 #: Variants made at once by a task. A head with more is divided by its next SUB bits.
 VARIANTS, SUB = 2_000_000, 8
@@ -50,6 +51,7 @@ def simhash(text: str | None, size: int, seed: int) -> int:
 
 def fingerprints(docs: DataFrame, size: int, seed: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        close()
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"__doc": batch.column("__doc"), "fp": pa.array([simhash(t.as_py(), size, seed) for t in batch.column("__text")], pa.int64())})
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartwise.llm.vocab import close, slices
+
 #: Bytes of a window, of the ordinary and of the toxic content; times that the toxic one is trained anew.
 WINDOW, ORDINARY, TOXIC, ROUNDS = 64, 1_000_000, 8192, 3
 #: Labelled texts of each class that are learnt from, at most: half for the dictionaries, half for the thresholds.
@@ -147,7 +149,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        close()
+        for batch in slices(batches, "__text"):
             own = pa.array(shared.value.score(batch.column("__text").to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*[c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__text"], own], names=[n for n in batch.schema.names if n != "__text"] + ["__score"])
 

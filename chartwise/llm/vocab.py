@@ -7,6 +7,7 @@ is array work on an Arrow batch. Texts in which the cuts aren't certain are enco
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 
@@ -35,12 +36,21 @@ def load(path: str):
 
 
 def opened(kind, path: str):
-    """This worker's ``kind`` for the file at ``path``; kept from task to task."""
+    """This worker's ``kind`` for the file at ``path``; kept from task to task, one at a time."""
     if (kind, path) not in _OPEN:
+        _OPEN.clear()
         _OPEN[kind, path] = kind(path)
     return _OPEN[kind, path]
 
 
+def close() -> None:
+    """Give this worker's tokenizer and cache back; tasks of operators that need neither begin with it."""
+    if _OPEN:
+        _OPEN.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def id_dtype(path: str) -> str:
     return "<u2" if load(path).get_vocab_size() <= 1 << 16 else "<u4"
 
