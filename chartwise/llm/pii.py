@@ -3,11 +3,13 @@
 Numbers and dates are found by their form, validated (Luhn, mod 97, octets, calendar ...), and permuted by a keyed
 Feistel network on the numbers of their own format, so the pseudonym is valid too and keeps its
 punctuation. The permutation depends on the key, the kind and the value alone: equal values stay linked across
-documents, and different ones stay different.
+documents, and different ones stay different. Where numbers stand next to each other, a form's shorter ends and the
+other forms are tried at every token, and those values are taken that leave the fewest digits in clear.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import math
@@ -25,7 +27,7 @@ KINDS = ("card", "iban", "phone", "ip", "ssn", "date", "secret", "email")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 EMAIL = re.compile(r"(?<![\w.+-])([A-Za-z0-9._+-]{1,64})(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})(?![\w-])")
-#: Forms that begin a number; what a form matches is validated, and left alone if it isn't one.
+#: Where a number begins that has one of the forms; it is validated, and left alone if it isn't one.
 NUMBER = re.compile(r"""
     (?<![0-9A-Za-z])(?<![0-9]\.)(?:
       (?P<secret>(?=[0-9a-f]{0,63}[0-9])(?=[0-9a-f]{0,63}[a-f])[0-9a-f]{32,64}|AKIA[0-9A-Z]{16}|(?<=password=)[0-9a-f]{8,31})
@@ -38,6 +40,47 @@ NUMBER = re.compile(r"""
     )(?![0-9A-Za-z])
     | (?P<phone2>\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4})(?![0-9A-Za-z])""", re.X)
 
+#: The forms one by one: cards as they are printed (card1) and in any other grouping (card2).
+FORMS = {form: re.compile(pattern + "(?![0-9A-Za-z])") for form, pattern in {
+    "secret": r"(?:(?=[0-9a-f]{0,63}[0-9])(?=[0-9a-f]{0,63}[a-f])[0-9a-f]{32,64}|AKIA[0-9A-Z]{16}|(?<=password=)[0-9a-f]{8,31})",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:[ ]?[0-9A-Z]{4}){2,7}(?:[ ]?[0-9A-Z]{1,3})?",
+    "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])",
+    "date": r"(?:[0-9]{4}(?P<d1>[-/.])[0-9]{1,2}(?P=d1)[0-9]{1,2}|[0-9]{1,2}(?P<d2>[-/.])[0-9]{1,2}(?P=d2)[0-9]{4})",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "card1": r"(?:[0-9]{13,19}|[0-9]{4}(?P<c1>[ -])[0-9]{4}(?P=c1)[0-9]{4}(?P=c1)[0-9]{4}(?:(?P=c1)[0-9]{3})?|[0-9]{4}(?P<c2>[ -])[0-9]{6}(?P=c2)[0-9]{4,5})",
+    "phone1": r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}",
+    "phone2": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}",
+    "card2": r"[0-9](?:[ -]?[0-9]){12,18}",
+}.items()}
+#: Forms that may run on into the next number.
+OPEN = {"iban", "card1", "card2", "phone2"}
+#: Where values overlap, what a form counts for beside its letters and digits (100 each; 1 in card2, where one grouping in
+#: ten holds by chance), and how the numbers of printed cards begin.
+SURE = {"secret": 1000, "iban": 1000, "ip": 50, "date": 50, "ssn": 50}
+ISSUER = re.compile(r"3[0-9]|4|5[0-8]|6|222[1-9]|22[3-9]|2[3-6]|27[01]|2720")
+
+
+def ends(form: str, text: str, at: int) -> list[int]:
+    """Where values of a form that begin at ``at`` can end, the longest first; a +1 number ends with ten digits if it can."""
+    m = FORMS[form].match(text, at)
+    if m is None:
+        return []
+    out = [m.end()]
+    if form in OPEN:
+        out += [e for e in range(m.end() - 1, at, -1) if text[e - 1].isalnum() and not text[e].isalnum() and FORMS[form].fullmatch(text, at, e)]
+    if form == "phone2" and re.match(r"\+1(?![0-9])", m[0]):
+        return [e for e in out if sum(map(str.isdigit, text[at:e])) == 11] or out
+    return out
+
+
+def plausible(text: str, at: int, end: int, longest: bool) -> bool:
+    """Whether digits in an unusual grouping may be a card: a whole run of numbers, or up to six groups of which the
+    first has four digits or more. Otherwise one in ten of all pieces of any table of numbers would be a card."""
+    if longest and not re.search(r"[0-9][ -]$", text[max(0, at - 2):at]):
+        return True
+    groups = re.split("[ -]", text[at:end])
+    return len(groups) <= 6 and len(groups[0]) >= 4
+
 
 def luhn(digits: str) -> int:
     """The check digit of ``digits``."""
@@ -151,6 +194,19 @@ class Pseudonyms:
             return text[:4] + self.letters("secret", text[4:])
         return f"{self.permute('secret', int(text, 16), 16 ** len(text)):0{len(text)}x}"
 
+    def values(self, text: str, at: int) -> Iterator[tuple[int, int, int, str, str]]:
+        """(start, end, weight, form, pseudonym) of what validates at ``at``."""
+        for form in FORMS:
+            for i, end in enumerate(ends(form, text, at)):
+                if form == "card2" and not plausible(text, at, end, i == 0):
+                    continue
+                own = text[at:end]
+                new = getattr(self, form.rstrip("12"))(own)
+                if new is not None:
+                    joined = re.search(r"[0-9][-/.]$", text[max(0, at - 2):at])
+                    sure = 50 * bool(ISSUER.match(own) and not joined) if form == "card1" else SURE.get(form, 0)
+                    yield at, end, sum(map(str.isalnum, own)) * (1 if form == "card2" else 100) + sure, form, new
+
     def text(self, text: str) -> tuple[str, dict[str, int]]:
         found = dict.fromkeys(KINDS, 0)
 
@@ -158,18 +214,42 @@ class Pseudonyms:
             found["email"] += 1
             return self.letters("email", m[1]) + m[2]
 
-        def number(m: re.Match) -> str:
-            form = next(k for k in ("secret", "iban", "ip", "date", "ssn", "card", "phone1", "phone2") if m[k])
-            kind = form.rstrip("12")
-            new = getattr(self, kind)(m[0])
-            if new is None:
-                return m[0]
-            found[kind] += 1
-            return new
-
         if "@" in text:
             text = EMAIL.sub(email, text)
-        return NUMBER.sub(number, text), found
+        out, at, done = [], 0, 0
+        near: list[tuple[int, int, int, str, str]] = []  # values that overlap, in a chain
+        reach = 0
+        while True:
+            m = NUMBER.search(text, at)
+            if near and (m is None or m.start() >= reach):
+                for start, end, _, form, new in heaviest(near):
+                    out += [text[done:start], new]
+                    done = end
+                    found[form.rstrip("12")] += 1
+                near, reach = [], 0
+            if m is None:
+                return "".join(out) + text[done:], found
+            for value in self.values(text, m.start()):
+                near.append(value)
+                reach = max(reach, value[1])
+            at = m.start() + 1  # the next token may begin one as well
+
+
+def heaviest(near: list[tuple[int, int, int, str, str]]) -> list[tuple[int, int, int, str, str]]:
+    """Those of ``near`` (by start) that don't overlap and weigh the most together; on ties the first."""
+    starts = [v[0] for v in near]
+    after = [bisect.bisect_left(starts, v[1]) for v in near]
+    best = [0] * (len(near) + 1)
+    for i in range(len(near) - 1, -1, -1):
+        best[i] = max(best[i + 1], near[i][2] + best[after[i]])
+    out, i = [], 0
+    while i < len(near):
+        if near[i][2] + best[after[i]] == best[i]:
+            out.append(near[i])
+            i = after[i]
+        else:
+            i += 1
+    return out
 
 
 def refill(form: str, values: str, place: str = r"[0-9]") -> str:

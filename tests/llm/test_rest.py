@@ -142,6 +142,62 @@ def test_what_does_not_validate_stays():
         assert names.text(text) == (text, dict.fromkeys(pii.KINDS, 0)), text
 
 
+def test_numbers_next_to_each_other():
+    names = pii.Pseudonyms(b"key")
+    rng = random.Random(3)
+
+    def card(groups):
+        digits = "4" + "".join(str(rng.randrange(10)) for _ in range(sum(groups) - 2))
+        digits += str(pii.luhn(digits))
+        return [digits[sum(groups[:i]):sum(groups[:i + 1])] for i in range(len(groups))]
+
+    def alone(value, kind):
+        new, found = names.text(value)
+        assert found[kind] == 1 and sum(found.values()) == 1 and new != value, value
+        return new
+
+    def check(*parts):
+        """Each (value, kind) becomes what it becomes alone; strings stay."""
+        text = "".join(p if isinstance(p, str) else p[0] for p in parts)
+        want = "".join(p if isinstance(p, str) else alone(*p) for p in parts)
+        new, found = names.text(text)
+        assert new == want, text
+        assert found == {k: sum(p[1] == k for p in parts if not isinstance(p, str)) for k in pii.KINDS}, text
+
+    for _ in range(40):
+        blanks, dashes, plain, amex = " ".join(card([4] * 4)), "-".join(card([4] * 4)), "".join(card([16])), " ".join(card([4, 6, 5]))
+        phone, ssn = f"555-010-{rng.randrange(1000, 9999)}", f"123-45-{rng.randrange(1000, 9999)}"
+        for c in (blanks, dashes, plain, amex):
+            check((c, "card"), " 12/27")
+            check("17 ", (c, "card"))
+            check((phone, "phone"), " ", (c, "card"))
+            check((c, "card"), " ", (phone, "phone"))
+            check((c, "card"), " ", (ssn, "ssn"), " ", (c, "card"))
+            check((f"+1 {phone}", "phone"), " ", (c, "card"))
+            check((f"+1 {phone.replace('-', ' ')}", "phone"), " ", (c, "card"))
+            check(("+49 30 1234567", "phone"), " ", (c, "card"), ", ", (c, "card"))
+        for c in (dashes, plain):
+            check((c, "card"), " 123 ", (c, "card"))
+        check((phone, "phone"), " 123 Main St")
+        check("1-", (phone, "phone"), " 24 hours")
+        check((phone, "phone"), " ", (phone, "phone"))
+        check((f"+1 {phone}", "phone"), " 24 hours")
+        check((ssn, "ssn"), " ", (phone, "phone"), " 2024")
+        check(("BE68 5390 0754 7034", "iban"), " 123 PAID ", (blanks, "card"))
+        check("000-45-6789 ", (blanks, "card"))
+    new = names.text("4111 1111 1111 1111 123")[0]
+    assert "1111 1111" not in new and "4111" not in new
+
+
+def test_a_table_of_numbers_is_no_row_of_cards():
+    names, rng = pii.Pseudonyms(b"key"), random.Random(4)
+    found = Counter()
+    for _ in range(200):
+        found.update(names.text(" ".join(str(rng.randrange(10, 100)) for _ in range(60)))[1])
+    assert sum(found.values()) < 60
+    names.text("1234 " * 20_000)  # and takes time in proportion to its length
+
+
 def test_dates_are_permuted_one_to_one():
     names = pii.Pseudonyms(b"key")
     days = [datetime.date.fromordinal(pii.FIRST_DAY + 37 * i).isoformat() for i in range(1900)]
