@@ -143,7 +143,11 @@ class Forest:
 
 
 def links(fps: DataFrame, radius: int) -> DataFrame:
-    """(a, b) fingerprints within ``radius`` (even, at most 4) bits; enough of them to connect all that are linked."""
+    """(a, b) fingerprints within ``radius`` (even, at most 4) bits; enough of them to connect all that are linked.
+
+    The forest of a task depends on the order of its rows, so they are sorted by (head, fp), which is unique: a task
+    that is run again gives the same pairs.
+    """
     half, n = radius // 2, max(2, fps.count())
     head = min(32, max(16, (n - 1).bit_length() - 6))
 
@@ -172,7 +176,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
             yield from pairs(key[:cut], own[:cut])
         yield from pairs(*kept)
 
-    return fps.select("fp").mapInArrow(send, "head long, fp long").repartition("head").sortWithinPartitions("head").mapInArrow(meet, "a long, b long").distinct()
+    return fps.select("fp").mapInArrow(send, "head long, fp long").repartition("head").sortWithinPartitions("head", "fp").mapInArrow(meet, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,7 +216,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, radius: int = 4, seed: int =
     own = land(fingerprints(docs.select(id_key(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")), size, seed), "fingerprints")
     real = F.expr(f"nullif(__doc, {-(1 << 63) + 1}L - 1L)")
     by_fp = land(own.groupBy("fp").agg(F.min(real).alias("first")), "distinct-fingerprints")
-    of = components(links(by_fp, radius))
+    of = components(land(links(by_fp, radius), "pairs"))  # read twice, so made once
     named = by_fp.join(of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = land(named, "named-fingerprints")
     first = land(named.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")

@@ -79,6 +79,30 @@ def test_links_of_clustered_fingerprints(spark, monkeypatch, limit):
     assert groups(values, lambda a, b: (min(a, b), max(a, b)) in found) == groups(values, lambda a, b: (a ^ b).bit_count() <= 4)
 
 
+def clusters(rng, centres, around):
+    values = {rng.getrandbits(64) for _ in range(20)}
+    for centre in [rng.getrandbits(64) for _ in range(centres)]:
+        values |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 5))) for _ in range(around)}
+    return sorted(values)
+
+
+def test_links_do_not_depend_on_the_order_of_rows(spark):
+    """A task that is run again may get its rows in another order, and must give the same pairs."""
+    signed = np.array(clusters(random.Random(7), 4, 60), "u8").view("i8").tolist()
+    found = []
+    for rows in (signed, signed[::-1], random.Random(1).sample(signed, len(signed))):
+        table = spark.createDataFrame([(v,) for v in rows], "fp long").coalesce(1)
+        found.append({tuple(r) for r in simhash.links(table, 4).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+
+
+def test_links_are_made_once(spark, odd, monkeypatch):
+    tables = []
+    monkeypatch.setattr(simhash, "land", lambda df, name: tables.append(name) or land(df, name))
+    simhash.near_duplicates(odd.filter("length(text) < 1000"))
+    assert tables.index("pairs") < tables.index("links")
+
+
 def test_components_of_paths_stars_and_cycles(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(1000, 2500)] + [(5, x) for x in range(200, 260)] + [(300, 301), (301, 302), (302, 300), (302, 7)]
     rng = random.Random(8)
