@@ -6,7 +6,8 @@ key is the variant's first ``head`` bits: a fingerprint is sent to each head wit
 left over, and the task that owns a head makes the variants' remaining bits there. This gives the same
 collisions as shuffling whole variants (2,081 a fingerprint at r = 2) for 137 short rows a fingerprint at
 head = 16. All fingerprints that share a variant are within 2r of one another, so a chain through them,
-verified bit by bit, links them without pairs; a task emits the spanning forest of its chains.
+verified bit by bit, links them without pairs; a task emits the spanning forest of its chains. Rows are counted
+per head first, and heads with too many are replaced by longer ones, so that no task holds a large cluster whole.
 """
 
 from __future__ import annotations
@@ -24,6 +25,12 @@ from chartwise.llm.vocab import close
 
 #: Variants made at once by a task. A head with more is divided by its next SUB bits.
 VARIANTS, SUB = 2_000_000, 8
+#: Rows that a head may hold before they are sent on under heads longer by SUB bits; heads that are sent on, at most;
+#: fingerprints that a task's forest remembers.
+HEAD_ROWS, HOT_HEADS, REMEMBERED = 100_000, 1_000_000, 500_000
+#: Bits of the longest head: with fewer than 64, a head and the mark of its length fit in a long. It holds the rows of
+#: the fingerprints within two bits, 4 * 1,954 at most.
+LONGEST = 62
 
 
 def shingle_hashes(text: str | None, size: int, seed: int) -> np.ndarray:
@@ -142,6 +149,52 @@ class Forest:
         return True
 
 
+def steps(head: int) -> list[int]:
+    """Lengths of heads, from ``head`` on."""
+    return [*range(head, LONGEST, SUB), LONGEST]
+
+
+def spread(fps: np.ndarray, half: int, head: int, hot: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, head with a bit set above it) of each fingerprint; hot heads (sorted, one array a length) are replaced by
+    the longer heads of the same variants."""
+    row, key, left = sent(fps, np.full(len(fps), half), 64 - head, head)
+    lengths = steps(head)
+    for i, bits in enumerate(lengths):
+        on = hot[i][np.minimum(np.searchsorted(hot[i], key), len(hot[i]) - 1)] == key if i < len(hot) else np.zeros(len(key), "?")
+        if not on.all():
+            yield row[~on], key[~on] | np.uint64(1 << bits)
+        if not on.any():
+            return
+        more = lengths[i + 1] - bits
+        row, key, left = row[on], key[on], left[on]
+        again, sub, left = sent(fps[row], left, 64 - bits - more, more)
+        row, key = row[again], key[again] << np.uint64(more) | sub
+
+
+def hot_heads(fps: DataFrame, n: int, half: int, head: int) -> list[np.ndarray]:
+    """Heads of each length with over HEAD_ROWS rows (more where there would be over HOT_HEADS of them), until a length
+    has none. Heads depend on a fingerprint's own first bits alone, so those are counted first."""
+    hot: list[np.ndarray] = []
+    for bits in steps(head)[:-1]:
+        def rows(batches: Iterator[pa.RecordBatch], bits: int = bits, above: tuple = tuple(hot)) -> Iterator[pa.RecordBatch]:
+            for many in batches:
+                for at in range(0, many.num_rows, 1000):
+                    own = many.column("first").slice(at, 1000).to_numpy().view("u8") << np.uint64(64 - bits)
+                    times = many.column("n").slice(at, 1000).to_numpy()
+                    for row, key in spread(own, half, head, list(above)):
+                        here = key >> np.uint64(bits) == 1
+                        yield pa.RecordBatch.from_pydict({"head": pa.array((key[here] ^ np.uint64(1 << bits)).view("i8")), "n": pa.array(times[row[here]])})
+
+        first = fps.groupBy(F.shiftrightunsigned("fp", 64 - bits).alias("first")).agg(F.count(F.lit(1)).alias("n"))
+        most = max(HEAD_ROWS, n * sum(len(m) for m in flips(bits, half)) // HOT_HEADS)
+        counted = first.mapInArrow(rows, "head long, n long").groupBy("head").agg(F.sum("n").alias("n")).filter(F.col("n") > most)
+        found = np.sort(counted.select("head").toArrow()["head"].to_numpy().astype("i8").view("u8"))  # at most HOT_HEADS
+        if not len(found):
+            break
+        hot.append(found)
+    return hot
+
+
 def links(fps: DataFrame, radius: int) -> DataFrame:
     """(a, b) fingerprints within ``radius`` (even, at most 4) bits; enough of them to connect all that are linked.
 
@@ -150,22 +203,32 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     """
     half, n = radius // 2, max(2, fps.count())
     head = min(32, max(16, (n - 1).bit_length() - 6))
+    hot = fps.sparkSession.sparkContext.broadcast(hot_heads(fps, n, half, head))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for many in batches:
             for at in range(0, many.num_rows, 1000):
                 own = many.column("fp").slice(at, 1000).to_numpy().view("u8")
-                row, key, _ = sent(own, np.full(len(own), half), 64 - head, head)
-                yield pa.RecordBatch.from_pydict({"head": pa.array(key.view("i8")), "fp": pa.array(own[row].view("i8"))})
+                for row, key in spread(own, half, head, hot.value):
+                    yield pa.RecordBatch.from_pydict({"head": pa.array(key.view("i8")), "fp": pa.array(own[row].view("i8"))})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, low, kept = Forest(), 64 - head, (np.zeros(0, "u8"), np.zeros(0, "u8"))
+        forest, kept = Forest(), (np.zeros(0, "u8"), np.zeros(0, "u8"))
+
+        def pairs(marked: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+            lengths = steps(head)
+            cuts = np.searchsorted(marked, np.array([1 << bits for bits in lengths], dtype="u8")).tolist()
+            for bits, a, b in zip(lengths, cuts, [*cuts[1:], len(marked)], strict=True):
+                if a < b:
+                    yield from alike(marked[a:b] ^ np.uint64(1 << bits), own[a:b], 64 - bits)
 
-        def pairs(key: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def alike(key: np.ndarray, own: np.ndarray, low: int) -> Iterator[pa.RecordBatch]:
             left = half - np.bitwise_count(own >> np.uint64(low) ^ key).astype("i8")
             for found in search(own, key, left, low):
                 near = found[np.bitwise_count(found[:, 0] ^ found[:, 1]) <= radius].view("i8")
                 new = [(a, b) for a, b in near.tolist() if forest.joins(a, b)]
+                if len(forest.up) > REMEMBERED:  # some pairs are given twice then
+                    forest.up.clear()
                 if new:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in new], pa.int64()) for i in (0, 1)], names=["a", "b"])
 

@@ -96,6 +96,23 @@ def test_links_do_not_depend_on_the_order_of_rows(spark):
     assert found[0] == found[1] == found[2] and len(found[0]) > 100
 
 
+def test_hot_heads_are_sent_on_under_longer_heads(spark, monkeypatch):
+    """Around one centre every row has the same heads; no head keeps more than HEAD_ROWS rows, and all links are found."""
+    monkeypatch.setattr(simhash, "HEAD_ROWS", 150)
+    rng = random.Random(11)
+    centre = rng.getrandbits(64)
+    values = sorted({centre ^ sum(1 << b for b in rng.sample(range(48), rng.randrange(1, 4))) for _ in range(400)} | set(clusters(rng, 2, 30)))
+    fps = np.array(values, "u8")
+    table = spark.createDataFrame([(v,) for v in fps.view("i8").tolist()], "fp long")
+    hot = simhash.hot_heads(table, len(values), 2, 16)
+    sent = Counter(int(k) for _, key in simhash.spread(fps, 2, 16, hot) for k in key)
+    before = Counter(int(k) for _, key in simhash.spread(fps, 2, 16, []) for k in key)
+    assert len(hot) > 1 and max(before.values()) > 300 and max(n for k, n in sent.items() if k.bit_length() <= simhash.LONGEST) <= 150
+    found = {tuple(sorted((int(r["a"]) % (1 << 64), int(r["b"]) % (1 << 64)))) for r in simhash.links(table, 4).collect()}
+    assert all((a ^ b).bit_count() <= 4 for a, b in found)
+    assert groups(values, lambda a, b: (min(a, b), max(a, b)) in found) == groups(values, lambda a, b: (a ^ b).bit_count() <= 4)
+
+
 def test_links_are_made_once(spark, odd, monkeypatch):
     tables = []
     monkeypatch.setattr(simhash, "land", lambda df, name: tables.append(name) or land(df, name))
