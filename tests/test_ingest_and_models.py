@@ -140,6 +140,17 @@ def test_training_saves_the_chosen_model(spark):
         assert run.model("gbt", oversample).stages[-1].getNumTrees == 3
 
 
+@pytest.mark.parametrize("fit_rows", [300, None])
+def test_saved_metadata_tell_fitted_rows_from_the_split(spark, fit_rows):
+    run = Training(views.tracks(spark, SF_SMALL, round_to=True), {"rf": {"numTrees": 2, "maxDepth": 2}, "gbt": {"maxIter": 1, "maxDepth": 2}}, fit_rows=fit_rows)
+    path = scratch_dir(spark, "saved")
+    run.save(path)
+    meta, _ = load_scorer(spark, path)
+    assert meta["fit_rows"] == fit_rows and meta["n_fit"] == (fit_rows or meta["n_train"]) <= meta["n_train"]
+    p = run.train.agg(F.sum("charted")).first()[0]
+    assert meta["charted_rate_fit"] == round(p / meta["n_fit"], 4)
+
+
 def test_rows_are_numbered_in_order(spark):
     df = spark.createDataFrame([(f"k{(i * 37) % 101:03d}",) for i in range(101)], "k string").repartition(5)
     out, n = row_numbers(df, "k")
