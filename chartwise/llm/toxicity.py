@@ -23,6 +23,8 @@ from chartwise.llm.vocab import close, slices
 WINDOW, ORDINARY, TOXIC, ROUNDS = 64, 1_000_000, 8192, 3
 #: Labelled texts of each class that are learnt from, at most: half for the dictionaries, half for the thresholds.
 SAMPLE = 4000
+#: Ordinary windows of that sample, in random order, from which the threshold for windows that stand out is taken.
+LIMIT_WINDOWS = 60_000
 
 _MADE: dict = {}
 
@@ -104,7 +106,9 @@ class Model:
 
 
 def fit(toxic: list[str], ordinary: list[str], seed: int = 7) -> Model:
-    """A model from labelled texts: every other one for the dictionaries, the rest for the thresholds."""
+    """A model from labelled texts: every other one for the dictionaries, the rest for the thresholds. The ordinary
+    content is the first ORDINARY bytes of their windows in random order, and the threshold that windows for the
+    toxic content must reach is taken from the first LIMIT_WINDOWS of them."""
     if not toxic or not ordinary:  # nothing to tell apart: every score is the one class's
         model = Model(b"", b"")
         model.weights[0] = 30.0 if toxic else -30.0
@@ -116,7 +120,7 @@ def fit(toxic: list[str], ordinary: list[str], seed: int = 7) -> Model:
     model = Model(b"".join(mixed)[:ORDINARY], trained([t_parts[i] for i in rng.permutation(len(t_parts))], TOXIC))
     for _ in range(ROUNDS):
         pair = model.compressors()
-        limit = max(2.0, float(np.quantile(saved(mixed[:60_000], *pair), 0.998)) if mixed else 2.0)
+        limit = max(2.0, float(np.quantile(saved(mixed[:LIMIT_WINDOWS], *pair), 0.998)) if mixed else 2.0)
         gain = saved(t_parts, *pair)
         chosen = [w for w, g in zip(t_parts, gain, strict=True) if g >= limit]
         if len(chosen) < 8:
@@ -132,8 +136,8 @@ def held_out(id_col: str = "doc_id"):
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most SAMPLE labelled texts of each class, picked by a hash of their ids among those that
-    aren't held out. Labels without a document, null labels and null texts teach nothing."""
+    """Fit on at most SAMPLE labelled texts of each class (see :func:`fit` for ORDINARY and LIMIT_WINDOWS), picked by
+    a hash of their ids among those that aren't held out. Labels without a document, null labels and null texts teach nothing."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter(F.col("__y").isin(0, 1) & F.col("__id").isNotNull() & ~held_out("__id"))
     texts: dict[int, list[str]] = {}
     for y in (1, 0):

@@ -42,6 +42,16 @@ def test_toxicity_held_out_accuracy(spark, make):
     assert by_id[5000] == by_id[5001] < 0.5
 
 
+def test_bounds_of_the_fit_are_parameters(monkeypatch):
+    rng, seen = random.Random(2), []
+    monkeypatch.setattr(toxicity, "LIMIT_WINDOWS", 50)
+    monkeypatch.setattr(toxicity, "ORDINARY", 3000)
+    plain = toxicity.saved
+    monkeypatch.setattr(toxicity, "saved", lambda parts, *pair: seen.append(len(parts)) or plain(parts, *pair))
+    model = toxicity.fit(labelled(rng, 20, True), labelled(rng, 20, False))
+    assert seen[0] == 50 and len(model.ordinary) == 3000
+
+
 def test_windows_are_the_whole_text():
     for text in ("", "a", "x" * 1000, "word " * 100, " lead", "é" * 99, "a b" * 77):
         parts = toxicity.windows(text)
