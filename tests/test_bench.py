@@ -5,7 +5,7 @@ import os
 import subprocess
 import sys
 
-from conftest import SF_SMALL
+from folders import SF_SMALL
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 

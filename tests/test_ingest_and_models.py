@@ -20,7 +20,7 @@ from chartwise.plans import ORACLES, QUERIES, views
 from chartwise.session import scratch_dir
 from chartwise.streaming.ingest import stream_dedup_append
 
-from conftest import SF_SMALL
+from folders import SF_SMALL
 
 
 def plan(df):

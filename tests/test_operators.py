@@ -12,7 +12,7 @@ from chartwise.operators.learn import knn_exact, roc_auc, smote
 from chartwise.operators.quantiles import exact_quantiles
 from chartwise.operators.split import assign_by_rank, sample_n, stratified_split, stratified_sizes
 
-from conftest import SF_SMALL
+from folders import SF_SMALL
 
 
 def _ab_frame(spark):

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from chartwise.sources.tables import TABLES
 
-from conftest import SF_SMALL
+from folders import SF_SMALL
 
 ORACLES = entry.oracle_sql()
 QUERIES = entry.queries()

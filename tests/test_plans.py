@@ -9,7 +9,7 @@ from chartwise.operators.split import stratified_split
 from chartwise.plans import QUERIES, views
 from chartwise.sources.tables import read_table
 
-from conftest import SF_SMALL
+from folders import SF_SMALL
 
 
 def plan(df, mode="formatted"):
