@@ -95,7 +95,7 @@ class UnitIds:
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {"": b""}
 
-    def _ids(self, unit: str) -> list[int]:
+    def unit_ids(self, unit: str) -> list[int]:
         line = unit[0] == "\n"
         word = unit[1:] if line else unit
         if plain := plain_word(word):
@@ -116,7 +116,7 @@ class UnitIds:
         for unit in units:
             ids = cache.get(unit)
             if ids is None:
-                ids = cache[unit] = np.array(self._ids(unit), dtype=self.dtype).tobytes()
+                ids = cache[unit] = np.array(self.unit_ids(unit), dtype=self.dtype).tobytes()
             out.append(ids)
         return out
 
