@@ -7,12 +7,14 @@ bounded memory, see :mod:`chartwise.operators.quantiles`).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartwise.operators.joins import dimension_join
+from chartwise.operators.moments import exact_sums, variance
 from chartwise.operators.quantiles import exact_quantiles
 
 
@@ -63,8 +65,8 @@ def one_hot(df: DataFrame, col: str, prefix: str, drop_first: bool = True, max_c
     return df.withColumns({f"{prefix}_{v}": (x == F.lit(v)).cast("int") for v in keep}).drop(col)
 
 
-def medians(df: DataFrame, cols: Sequence[str], accuracy: int = 1000) -> dict:
-    q = exact_quantiles(df, cols, [0.5], accuracy)
+def medians(df: DataFrame, cols: Sequence[str]) -> dict:
+    q = exact_quantiles(df, cols, [0.5])
     return {c: q[(c, 0.5)] for c in cols}
 
 
@@ -102,13 +104,13 @@ def impute(df: DataFrame, median_cols: Sequence[str] = MEDIAN_FILL, constants: d
 
 
 def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
-    """K3: (x - mean) / population std, from one aggregate pass."""
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                 *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    """K3: (x - mean) / population std, from one pass of exact sums."""
+    sums = exact_sums(df, {c: F.col(c) for c in cols}, [t for c in cols for t in ((c,), (c, c))])[()]
     exprs = {}
-    for i, c in enumerate(cols):
-        m, s = row[f"m{i}"], row[f"s{i}"]
-        exprs[c + suffix] = (F.col(c) - F.lit(m)) / F.lit(s) if s else F.lit(0.0)
+    for c in cols:
+        one = sums[c,]
+        spread = variance(one.n, one.total, sums[c, c].total)
+        exprs[c + suffix] = (F.col(c) - F.lit(float(one.mean))) / F.lit(math.sqrt(spread)) if spread else F.lit(0.0)
     return df.withColumns(exprs)
 
 

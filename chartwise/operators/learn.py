@@ -7,11 +7,7 @@ Scale notes
   negative counts are computed inside each partition and offset by the totals
   of the preceding partitions (a prefix sum in two phases).  No window ever
   spans all rows, and a score shared by a third of the rows is one row.
-* kNN: exact.  Rows are hashed into blocks of at most ``block_rows``; every
-  (query block, reference block) pair meets in one ``cogroup`` task where
-  numpy computes the distances and keeps the ``k`` best per query.  Only k
-  rows per query and block leave a task; no pair list is materialised, and
-  no task holds more than two blocks.
+* kNN: see :mod:`chartwise.operators.neighbours`.
 """
 
 from __future__ import annotations
@@ -26,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chartwise.operators.joins import checked_broadcast
+from chartwise.operators.neighbours import knn_exact
 from chartwise.functions.columns import fround, uniform
 
 
@@ -131,98 +128,6 @@ def roc_auc(df: DataFrame, score: str, label: str, group: Sequence[str] = (),
                       F.col("n_neg").cast("bigint").alias("n_neg"))
 
 
-def _empty_pairs(kind="int64") -> pd.DataFrame:
-    return pd.DataFrame({"qid": pd.Series([], dtype=kind), "nid": pd.Series([], dtype=kind),
-                         "dist": pd.Series([], dtype="float64")})
-
-
-def block_topk(Q: np.ndarray, R: np.ndarray, qid: np.ndarray, rid: np.ndarray, k: int, exclude_self: bool,
-               margin: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact k nearest rows of R for every row of Q (ties: smaller id).
-
-    Candidates come from the BLAS form |q|^2 + |r|^2 - 2 q.r; they are re-ranked
-    with exact differences.  A row is certified when the best non-candidate's
-    approximate squared distance exceeds the k-th exact one by more than the
-    rounding bound; otherwise that row is recomputed exactly over all of R.
-    """
-    nq, nr = Q.shape[0], R.shape[0]
-    qn = np.einsum("ij,ij->i", Q, Q)
-    rn = np.einsum("ij,ij->i", R, R)
-    d2 = qn[:, None] + rn[None, :] - 2.0 * (Q @ R.T)
-    if exclude_self:
-        d2[qid[:, None] == rid[None, :]] = np.inf
-    valid = np.isfinite(d2).sum(1)
-    c = min(nr, k + margin)
-    cand = np.argpartition(d2, c - 1, axis=1)[:, :c] if c < nr else np.tile(np.arange(nr), (nq, 1))
-    diff = Q[:, None, :] - R[cand]
-    ex = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-    cid = rid[cand]
-    if exclude_self:
-        ex[cid == qid[:, None]] = np.inf
-    order = np.lexsort((cid, ex), axis=-1)
-    ex_s = np.take_along_axis(ex, order, 1)
-    id_s = np.take_along_axis(cid, order, 1)
-    kk = np.minimum(k, valid)
-    out_q, out_n, out_d = [], [], []
-    err = 1e-9 * (qn + rn.max(initial=0.0)) + 1e-300
-    if c < nr:
-        rest = np.partition(d2, c, axis=1)[:, c]
-    for i in range(nq):
-        m = int(kk[i])
-        if m == 0:
-            continue
-        ok = c >= nr or rest[i] - err[i] > ex_s[i, m - 1] ** 2
-        if ok:
-            ids, ds = id_s[i, :m], ex_s[i, :m]
-        else:
-            full = np.sqrt(((R - Q[i]) ** 2).sum(1))
-            if exclude_self:
-                full[rid == qid[i]] = np.inf
-            o = np.lexsort((rid, full))[:m]
-            ids, ds = rid[o], full[o]
-        out_q.append(np.full(m, qid[i], dtype=np.int64))
-        out_n.append(ids)
-        out_d.append(ds)
-    if not out_q:
-        return np.array([], np.int64), np.array([], np.int64), np.array([], np.float64)
-    return np.concatenate(out_q), np.concatenate(out_n), np.concatenate(out_d)
-
-
-def _block_topk(k: int, exclude_self: bool):
-    def run(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return _empty_pairs()
-        Q = np.vstack(q["v"].to_numpy()).astype(np.float64)
-        R = np.vstack(r["v"].to_numpy()).astype(np.float64)
-        # keys of any type as their ranks in this pair of blocks, which keep their order for ties
-        names, code = np.unique(np.concatenate([q["id"].to_numpy(), r["id"].to_numpy()]), return_inverse=True)
-        a, b, d = block_topk(Q, R, code[:len(q)], code[len(q):], k, exclude_self)
-        return pd.DataFrame({"qid": names[a], "nid": names[b], "dist": d}) if a.size else _empty_pairs(names.dtype)
-    return run
-
-
-def knn_exact(df: DataFrame, id_col: str, vec_col: str, k: int, block_rows: int = 4096, seed: int = 42,
-              exclude_self: bool = True) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean) of every row among the same rows.
-
-    Returns (id, rank, neighbor_id, distance); ties on distance go to the
-    smaller neighbour id.
-    """
-    m = df.count()
-    nblk = max(1, math.ceil(m / block_rows))
-    id_type = df.schema[id_col].dataType.simpleString()
-    base = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    blk = F.floor(uniform(seed, F.col("id")) * nblk).cast("int")
-    q = base.withColumn("qb", blk).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nblk - 1))))
-    r = base.withColumn("rb", blk).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nblk - 1))))
-    cand = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(
-        _block_topk(k, exclude_self), f"qid {id_type}, nid {id_type}, dist double")
-    w = Window.partitionBy("qid").orderBy("dist", "nid")
-    top = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return top.select(F.col("qid").alias(id_col), F.col("rank").cast("int").alias("rank"),
-                      F.col("nid").alias("neighbor_id"), F.col("dist").alias("distance"))
-
-
 def smote(df: DataFrame, id_col: str, vec_col: str, label: str, minority=1, k: int = 5, seed: int = 42,
           neighbours: DataFrame | None = None) -> DataFrame:
     """K5: synthetic minority rows until both classes have the same count.

@@ -109,8 +109,7 @@ def join_artists(tracks: DataFrame, artists: DataFrame, broadcast_max_rows: int
     suffixed ``_track`` / ``_artist``; missing followers become 0.
 
     The artist side is broadcast only after a row-count check; a larger one is
-    joined by shuffle with artists holding >= ``hot_min_rows`` tracks split off
-    into a broadcast of just their rows (see ``joins.hot_key_join``).
+    joined by shuffle with artists holding >= ``hot_min_rows`` tracks salted (see ``joins.hot_key_join``).
     """
     if "primary_artist_id" not in tracks.columns:
         tracks = with_artist_keys(tracks)

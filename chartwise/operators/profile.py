@@ -6,6 +6,7 @@ only the 1-row result is reshaped into one row per column.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from chartwise.functions.columns import fround
+from chartwise.operators.moments import exact_sums, number, variance
 from chartwise.operators.quantiles import exact_quantiles
+from chartwise.operators.stattests import correlations
 
 # Fixed values that must equal the reference's: expected value ranges and
 # quality-rule limits.
@@ -95,31 +98,23 @@ def duplicate_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return per_key.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
-def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 4,
-             accuracy: int = 1000) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
     """E5: mean, sample std, min, quartiles (linear), max per feature (4 dp).
 
-    Moments come from one aggregate pass; quartiles from the exact selection
-    in :mod:`chartwise.operators.quantiles`.
+    Mean and deviation come from exact sums, quartiles from the radix selection in
+    :mod:`chartwise.operators.quantiles`; minimum and maximum are its first and last rank.
     """
     cols = [c for c in (cols or AUDIO_FEATURES) if c in df.columns]
-    probs = [0.25, 0.5, 0.75]
-    q = exact_quantiles(df, cols, probs, accuracy)
-    aggs = []
-    for i, c in enumerate(cols):
-        v = _valid(df, c)
-        aggs += [F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"), F.min(v).alias(f"min{i}"),
-                 F.max(v).alias(f"max{i}")]
-    row = df.agg(*aggs)
-
-    def lit_or_null(v):
-        return F.lit(None).cast("double") if v is None else F.lit(float(v))
-    items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"mean{i}").alias("mean"),
-                               F.col(f"std{i}").alias("std"), F.col(f"min{i}").alias("min"),
-                               lit_or_null(q[(c, 0.25)]).alias("q25"), lit_or_null(q[(c, 0.5)]).alias("median"),
-                               lit_or_null(q[(c, 0.75)]).alias("q75"), F.col(f"max{i}").alias("max"))
-                      for i, c in enumerate(cols)])
-    out = row.select(F.inline(items))
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    df = df.select(*cols)
+    q = exact_quantiles(df, cols, probs)
+    sums = exact_sums(df, {c: _valid(df, c) for c in cols}, [t for c in cols for t in ((c,), (c, c))])[()]
+    rows = []
+    for c in cols:
+        one, squares = sums[c,], variance(sums[c,].n, sums[c,].total, sums[c, c].total, 1)
+        low, *quartiles, high = (q[c, p] for p in probs)
+        rows.append((c, number(one.mean), None if squares is None else math.sqrt(squares), low, *quartiles, high))
+    out = df.sparkSession.createDataFrame(rows, "feature string, mean double, std double, min double, q25 double, median double, q75 double, max double").coalesce(1)
     return out.select("feature", *[fround(k, digits).alias(k)
                                    for k in ("mean", "std", "min", "q25", "median", "q75", "max")])
 
@@ -154,25 +149,10 @@ def corr_table(df: DataFrame, cols: Sequence[str], target: str, null_policy: str
     side gives no r (row dropped) instead of a division error.
     """
     cols = [c for c in cols if c in df.columns]
-    y = F.col(target).cast("double")
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(cols):
-        x = _valid(df, c)
-        if null_policy == "zero":
-            x = F.coalesce(x, F.lit(0.0))
-            xv, yv = x, y
-        else:
-            both = x.isNotNull() & y.isNotNull()
-            xv, yv = F.when(both, x), F.when(both, y)
-        aggs += [F.covar_pop(xv, yv).alias(f"cov{i}"), F.stddev_pop(xv).alias(f"sx{i}"),
-                 F.stddev_pop(yv).alias(f"sy{i}"), F.count(xv).alias(f"n{i}")]
-    row = df.agg(*aggs)
-    items = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("ordinal"),
-                               F.when((F.col(f"sx{i}") > 0) & (F.col(f"sy{i}") > 0),
-                                      F.col(f"cov{i}") / (F.col(f"sx{i}") * F.col(f"sy{i}"))).alias("r"),
-                               F.col(f"n{i}").alias("n"))
-                      for i, c in enumerate(cols)])
-    out = row.select(F.inline(items)).filter(F.col("r").isNotNull())
+    valid = {c: _valid(df, c) for c in cols}
+    found, _ = correlations(df, valid if null_policy == "pairwise" else {c: F.coalesce(x, F.lit(0.0)) for c, x in valid.items()}, target)
+    out = df.sparkSession.createDataFrame([(c, i, *found[c]) for i, c in enumerate(cols) if found[c][0] is not None],
+                                          "feature string, ordinal int, r double, n long").coalesce(1)
     return out.select("feature", "ordinal", fround("r", digits).alias("r"), F.col("n").cast("bigint").alias("n"))
 
 
@@ -183,17 +163,14 @@ def quality_issues(nulls: DataFrame, ranges: DataFrame, dups: DataFrame, balance
     d = dups.filter(F.col("duplicates") > max_dups).select(
         F.lit("duplicates").alias("kind"), F.lit("track_id").alias("subject"),
         F.col("duplicates").cast("double").alias("value"),
-        F.concat(F.col("duplicates").cast("string"), F.lit(" duplicate track IDs")).alias("message"))
+        F.concat(F.col("duplicates").cast("string"), F.lit(" rows repeat a key")).alias("message"))
     n = nulls.filter(F.col("pct") > max_null_pct).select(
         F.lit("missing").alias("kind"), F.col("column").alias("subject"), F.col("pct").alias("value"),
-        F.concat(F.lit("High missingness in "), F.col("column"), F.lit(": "), F.col("pct").cast("string"),
-                 F.lit("%")).alias("message"))
+        F.concat(F.col("column"), F.lit(" lacks a value in "), F.col("pct").cast("string"), F.lit(" % of the rows")).alias("message"))
     r = ranges.filter(F.col("pct") > max_range_pct).select(
         F.lit("out_of_range").alias("kind"), F.col("column").alias("subject"), F.col("pct").alias("value"),
-        F.concat(F.lit("Out-of-range values in "), F.col("column"), F.lit(": "), F.col("pct").cast("string"),
-                 F.lit("%")).alias("message"))
+        F.concat(F.col("column"), F.lit(" leaves its range in "), F.col("pct").cast("string"), F.lit(" % of the rows")).alias("message"))
     b = balance.filter(F.col("imbalance_ratio") > max_imbalance).select(
         F.lit("imbalance").alias("kind"), F.lit("charted").alias("subject"), F.col("imbalance_ratio").alias("value"),
-        F.concat(F.lit("Severe class imbalance — ratio "), F.format_string("%.1f", F.col("imbalance_ratio")),
-                 F.lit(":1  (consider SMOTE)")).alias("message"))
+        F.concat(F.format_string("%.1f", F.col("imbalance_ratio")), F.lit(" negatives for each positive; oversampling may help")).alias("message"))
     return d.unionByName(n).unionByName(r).unionByName(b)

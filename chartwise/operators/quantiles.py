@@ -1,154 +1,169 @@
-"""Exact linear-interpolated quantiles (pandas/numpy ``quantile``) at any scale.
-
-Spark's exact ``percentile`` keeps a value->count map per group, which grows
-with the number of distinct values; a high-accuracy ``percentile_approx``
-ships one large sketch per task to the single reducer of a global aggregate.
-Here exactness comes from distributed selection instead:
-
-1. count the non-null values of every column;
-2. bracket each target rank with a coarse ``percentile_approx`` (small
-   sketches, ``accuracy`` ~ 1,000) taken only over the rows still inside the
-   current bracket;
-3. count, in one aggregate pass, the rows below the bracket, equal to either
-   end and strictly inside it (ties are counted, never materialised, so a value
-   held by a third of all rows costs nothing);
-4. repeat 2-3 while more than ``band_max`` rows remain strictly inside (each
-   round shrinks the band by about accuracy / 6);
-5. rank the few rows strictly inside the final bracket with a window
-   partitioned by (column, probability).
-
-Every step is a distributed aggregate or a bounded window; the driver sees a
-handful of numbers per (column, probability).  If a bracket ever misses its
-rank (the sketch guarantee makes this unexpected) the round is retried with
-the previous bracket and a finer sketch, so small and large inputs take the same path.
+"""Exact linear-interpolated quantiles (pandas/numpy ``quantile``) by radix selection at any scale.
+
+A double's bits, with those of negative numbers turned, order as the numbers do. A pass counts, for every column and
+every prefix still of interest at once, how many rows have each value of the next DIGIT bits; histograms add up
+map-side and by a shuffle, and the digit that holds each wanted rank extends its prefix. Sixteen bits a digit make four
+passes for 64 bits whatever the data; as soon as the rows left under all prefixes are at most KEEP, one pass fetches
+their values instead. A value held by a third of all rows is one bin; the driver sees bins, never rows without a bound.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bits that a pass tells apart; rows whose values are fetched at once.
+DIGIT, KEEP = 16, 100_000
+
 
-def _lerp(a: float, b: float, t: float) -> float:
+def lerp(a: float, b: float, t: float) -> float:
     """numpy's linear interpolation (the form with the t >= 0.5 branch)."""
     d = b - a
     return b - d * (1.0 - t) if t >= 0.5 else a + d * t
 
 
-def _inside(x, lo, hi):
-    cond = F.lit(True)
-    if lo is not None:
-        cond = cond & (x > F.lit(lo))
-    if hi is not None:
-        cond = cond & (x < F.lit(hi))
-    return x.isNotNull() & cond
-
-
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = 1000,
-                    band_max: int = 50_000, nan_as_null: bool = True) -> dict:
-    """Return {(col, p): value} (None for an all-null column). The passes read ``cols`` alone."""
+def ordered_bits(values: np.ndarray) -> np.ndarray:
+    """uint64 keys in the order of the doubles; -0.0 is 0.0 and NaN comes last."""
+    bits = (values + 0.0).view("u8")
+    bits = np.where(np.isnan(values), np.uint64(0x7FF8000000000000), bits)
+    return np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+
+
+def value_of(key: int) -> float:
+    """The double of a key."""
+    bits = key ^ (1 << 63) if key >> 63 else key ^ ((1 << 64) - 1)
+    return float(np.array([bits], "u8").view("f8")[0])
+
+
+def digits(df: DataFrame, prefixes: dict[int, list[int]], level: int, nan_as_null: bool) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """{(column, prefix): (digits in order, rows of each)} after ``level`` digits; all columns in one pass.
+
+    At most 2^DIGIT rows for each prefix come to the driver."""
+    shared = df.sparkSession.sparkContext.broadcast({c: np.array(sorted(p), "u8") for c, p in prefixes.items()})
+    rest, mask = np.uint64(64 - DIGIT * (level + 1)), np.uint64((1 << DIGIT) - 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {c: [] for c in shared.value}
+
+        def added(parts: list[np.ndarray]) -> np.ndarray:
+            table = np.concatenate(parts)
+            keys, place = np.unique(table[:, 0], return_inverse=True)
+            return np.stack([keys, np.bincount(place, weights=table[:, 1]).astype("u8")], axis=1)
+
+        for batch in batches:
+            for c, known in shared.value.items():
+                keys = keys_of(batch.column(c), nan_as_null)
+                if level:
+                    head = keys >> (rest + np.uint64(DIGIT))
+                    at = np.minimum(np.searchsorted(known, head), len(known) - 1)
+                    keys = keys[known[at] == head]
+                # (prefix, digit) is the key without its last bits
+                found, n = np.unique(keys >> rest, return_counts=True)
+                held[c].append(np.stack([found, n.astype("u8")], axis=1))
+                if len(held[c]) > 16:
+                    held[c] = [added(held[c])]
+        out = [(c, added(parts)) for c, parts in held.items() if parts]
+        yield pa.RecordBatch.from_pydict({
+            "c": pa.array(np.repeat([c for c, _ in out], [len(t) for _, t in out]).astype("i4")),
+            "k": pa.array(np.concatenate([t[:, 0] for _, t in out] or [np.zeros(0, "u8")]).view("i8")), "n": pa.array(np.concatenate([t[:, 1] for _, t in out] or [np.zeros(0, "u8")]).astype("i8"))})
+
+    found = df.mapInArrow(count, "c int, k long, n long").groupBy("c", "k").agg(F.sum("n").alias("n")).toArrow()
+    c, k, n = found["c"].to_numpy(), found["k"].to_numpy().view("u8"), found["n"].to_numpy()
+    order = np.lexsort((k, c))
+    c, k, n = c[order], k[order], n[order]
+    out = {}
+    for column, known in prefixes.items():
+        own = c == column
+        for prefix in known:
+            mine = own & (k >> np.uint64(DIGIT) == np.uint64(prefix)) if level else own
+            out[column, prefix] = k[mine] & mask, n[mine]
+    return out
+
+
+def keys_of(column: pa.Array, nan_as_null: bool) -> np.ndarray:
+    values = column.drop_null().to_numpy(zero_copy_only=False)
+    return ordered_bits(values[~np.isnan(values)] if nan_as_null else values)
+
+
+def fetched(df: DataFrame, prefixes: dict[int, list[int]], level: int, nan_as_null: bool) -> dict[int, np.ndarray]:
+    """Sorted keys of the rows under the prefixes, which are known to be few."""
+    shared = df.sparkSession.sparkContext.broadcast({c: np.array(sorted(p), "u8") for c, p in prefixes.items()})
+    rest = np.uint64(64 - DIGIT * level)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, known in shared.value.items():
+                keys = keys_of(batch.column(c), nan_as_null)
+                keys = keys[np.isin(keys >> rest, known)]
+                yield pa.RecordBatch.from_pydict({"c": pa.array(np.full(len(keys), c, "i4")), "k": pa.array(keys.view("i8"))})
+
+    found = df.mapInArrow(pick, "c int, k long").toArrow()
+    c, k = found["c"].to_numpy(), found["k"].to_numpy().view("u8")
+    return {column: np.sort(k[c == column]) for column in prefixes}
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], nan_as_null: bool = True, keep: bool = True) -> dict:
+    """{(col, p): value} (None for a column without values). The passes read ``cols`` alone: at most four, of two stages
+    each. ``keep`` persists those columns meanwhile (False: each pass reads ``df`` again, for a plain scan)."""
     cols, probs = list(dict.fromkeys(cols)), list(probs)
-    df = df.select(*cols)
-    x = {c: (F.when(~F.isnan(F.col(c)), F.col(c).cast("double")) if nan_as_null else F.col(c).cast("double"))
-         for c in cols}
-    row = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    st = {}
-    for i, c in enumerate(cols):
-        n = row[f"n{i}"]
-        for p in probs:
-            if not n:
-                st[(c, p)] = None
-                continue
-            h = (n - 1) * p
-            k0 = int(math.floor(h))
-            # bracket (lo, hi) = open interval; below = rows < lo (or <= lo excluded), eqlo/eqhi = ties at ends
-            st[(c, p)] = dict(c=c, k=(k0, min(k0 + 1, n - 1)), t=h - k0, lo=None, hi=None,
-                              below=0, eqlo=0, eqhi=0, inner=n)
-
-    def placement(s, k):
-        """Where rank k falls: ('lo'|'hi'|'in', offset) or None if outside the bracket."""
-        b, el, inn, eh = s["below"], s["eqlo"], s["inner"], s["eqhi"]
-        if k < b or k >= b + el + inn + eh:
-            return None
-        if k < b + el:
-            return ("lo", 0)
-        if k < b + el + inn:
-            return ("in", k - b - el)
-        return ("hi", 0)
-
-    acc = accuracy
+    narrow = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    if not keep:
+        return selected(narrow, cols, probs, nan_as_null)
+    narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return selected(narrow, cols, probs, nan_as_null)
+    finally:
+        narrow.unpersist()
+
+
+def selected(narrow: DataFrame, cols: list[str], probs: list[float], nan_as_null: bool) -> dict:
+    """The passes of :func:`exact_quantiles` over columns c0, c1, ..."""
+    result: dict = {(c, p): None for c in cols for p in probs}
+    # (column, rank) -> (prefix, rank under it)
+    open_ranks: dict[tuple[int, int], tuple[int, int]] = {}
+    wanted: dict[tuple[str, float], tuple[int, int, int, float]] = {}
+    keys: dict[tuple[int, int], int] = {}
+    level = 0
     while True:
-        pending = [key for key, s in st.items() if s is not None and s["inner"] > band_max
-                   and any(placement(s, k)[0] == "in" for k in s["k"])]
-        if not pending:
+        prefixes: dict[int, list[int]] = {}
+        for (column, _), (prefix, _) in open_ranks.items():
+            if prefix not in prefixes.setdefault(column, []):
+                prefixes[column].append(prefix)
+        bins = digits(narrow, prefixes if level else {i: [0] for i in range(len(cols))}, level, nan_as_null)
+        if not level:
+            for i, c in enumerate(cols):
+                n = int(bins[i, 0][1].sum())
+                for p in probs if n else ():
+                    h = (n - 1) * p
+                    low = int(math.floor(h))
+                    wanted[c, p] = (i, low, min(low + 1, n - 1), h - low)
+                    open_ranks |= {(i, low): (0, low), (i, min(low + 1, n - 1)): (0, min(low + 1, n - 1))}
+        left = {}
+        for name, (prefix, rank) in open_ranks.items():
+            digit, n = bins[name[0], prefix]
+            ends = np.cumsum(n)
+            at = int(np.searchsorted(ends, rank, side="right"))
+            open_ranks[name] = (prefix << DIGIT | int(digit[at]), rank - int(ends[at] - n[at]))
+            left[name[0], open_ranks[name][0]] = int(n[at])
+        level += 1
+        if DIGIT * level == 64 or not open_ranks:
+            keys = {name: prefix for name, (prefix, _) in open_ranks.items()}
+            break
+        if sum(left.values()) <= KEEP:
+            prefixes = {}
+            for column, prefix in left:
+                prefixes.setdefault(column, []).append(prefix)
+            found = fetched(narrow, prefixes, level, nan_as_null)
+            for (column, rank), (prefix, under) in open_ranks.items():
+                own = found[column]
+                keys[column, rank] = int(own[np.searchsorted(own >> np.uint64(64 - DIGIT * level), np.uint64(prefix), side="left") + under])
             break
-        margin = 3.0 / acc
-        sk = []
-        for j, key in enumerate(pending):
-            s = st[key]
-            r0, r1 = (placement(s, k)[1] for k in s["k"])
-            q = [max(0.0, r0 / s["inner"] - margin), min(1.0, (r1 + 1) / s["inner"] + margin)]
-            sk.append(F.percentile_approx(F.when(_inside(x[s["c"]], s["lo"], s["hi"]), x[s["c"]]), q, acc)
-                      .alias(f"q{j}"))
-        qrow = df.agg(*sk).first()
-        counts = []
-        proposals = {}
-        for j, key in enumerate(pending):
-            s = st[key]
-            nlo, nhi = qrow[f"q{j}"]
-            proposals[key] = (nlo, nhi)
-            xc = x[s["c"]]
-            counts += [F.count(F.when(xc < nlo, 1)).alias(f"b{j}"), F.count(F.when(xc == nlo, 1)).alias(f"l{j}"),
-                       F.count(F.when((xc == nhi) & F.lit(nhi != nlo), 1)).alias(f"h{j}"),
-                       F.count(F.when((xc > nlo) & (xc < nhi), 1)).alias(f"i{j}")]
-        crow = df.agg(*counts).first()
-        missed = False
-        for j, key in enumerate(pending):
-            s = st[key]
-            nlo, nhi = proposals[key]
-            cand = dict(s, lo=nlo, hi=nhi, below=crow[f"b{j}"], eqlo=crow[f"l{j}"], eqhi=crow[f"h{j}"],
-                        inner=crow[f"i{j}"])
-            if all(placement(cand, k) is not None for k in s["k"]):
-                st[key] = cand
-            else:
-                missed = True
-        if missed:
-            acc *= 4
-    need = {}
-    for key, s in st.items():
-        if s is None:
-            continue
-        for k in s["k"]:
-            where, off = placement(s, k)
-            if where == "in":
-                # probabilities sharing a column and bracket share one ranked band
-                need.setdefault((s["c"], s["lo"], s["hi"]), set()).add(off)
-    inner_vals = {}
-    if need:
-        bands = list(need)
-        items = [F.when(_inside(x[c], lo, hi), F.struct(F.lit(j).alias("j"), x[c].alias("v")))
-                 for j, (c, lo, hi) in enumerate(bands)]
-        band = df.select(F.explode(F.filter(F.array(*items), lambda e: e.isNotNull())).alias("e")).select("e.*")
-        ranked = band.withColumn("r", F.row_number().over(Window.partitionBy("j").orderBy("v")) - 1)
-        wanted = F.lit(False)
-        for j, b in enumerate(bands):
-            wanted = wanted | ((F.col("j") == j) & F.col("r").isin(sorted(need[b])))
-        for r in ranked.filter(wanted).collect():
-            inner_vals[(bands[r["j"]], r["r"])] = r["v"]
-
-    result = {}
-    for key, s in st.items():
-        if s is None:
-            result[key] = None
-            continue
-        vals = []
-        for k in s["k"]:
-            where, off = placement(s, k)
-            vals.append(s["lo"] if where == "lo" else s["hi"] if where == "hi"
-                        else inner_vals[((s["c"], s["lo"], s["hi"]), off)])
-        result[key] = _lerp(vals[0], vals[1], s["t"])
+    for name, (i, low, high, t) in wanted.items():
+        result[name] = lerp(value_of(keys[i, low]), value_of(keys[i, high]), t)
     return result
-

@@ -1,8 +1,8 @@
 """Group comparisons beyond 2x2 tables: Welch t-tests per feature (E10/E11),
 correlation tests (E9/E21), feature interactions (E18/E19).
 
-All are single-pass conditional aggregates; the per-feature reshaping works
-on the 1-row result (``inline`` of an array of structs), never on raw rows.
+All are single passes. Means, variances and correlations come from exact sums (:mod:`chartwise.operators.moments`), so
+they don't depend on the order of the rows; what follows works on one row per feature, never on raw rows.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from chartwise.functions.columns import fround
 from chartwise.functions.stats import r_to_t, t_pvalue, welch_t
+from chartwise.operators.moments import correlation, exact_sums, number, variance
 
 
 def _num(c):
@@ -24,18 +25,18 @@ def _num(c):
 def welch_profile(df: DataFrame, features: Sequence[str], label: str = "charted", with_p: bool = False) -> DataFrame:
     """Per feature: means of the two label groups, difference, Welch t and df."""
     feats = [c for c in features if c in df.columns]
-    y = F.col(label)
-    aggs = []
-    for i, c in enumerate(feats):
-        x = _num(c)
-        x1, x0 = F.when(y == 1, x), F.when(y == 0, x)
-        aggs += [F.avg(x1).alias(f"m1_{i}"), F.var_samp(x1).alias(f"v1_{i}"), F.count(x1).alias(f"n1_{i}"),
-                 F.avg(x0).alias(f"m0_{i}"), F.var_samp(x0).alias(f"v0_{i}"), F.count(x0).alias(f"n0_{i}")]
-    row = df.agg(*aggs)
-    items = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("ordinal"),
-                               *[F.col(f"{k}_{i}").cast("double").alias(k) for k in ("m1", "v1", "n1", "m0", "v0", "n0")])
-                      for i, c in enumerate(feats)])
-    long = row.select(F.inline(items))
+    spark = df.sparkSession
+    rows = df.filter(F.col(label).isin(0, 1))
+    sums = exact_sums(rows, {c: _num(c) for c in feats}, [t for c in feats for t in ((c,), (c, c))], by=[label])
+    of = {int(y): terms for (y,), terms in sums.items()}
+
+    def side(y: int, c: str) -> tuple:
+        if y not in of:
+            return None, None, 0.0
+        one, two = of[y][c,], of[y][c, c]
+        return number(one.mean), number(variance(one.n, one.total, two.total, 1)), float(one.n)
+    long = spark.createDataFrame([(c, i, *side(1, c), *side(0, c)) for i, c in enumerate(feats)],
+                                 "feature string, ordinal int, m1 double, v1 double, n1 double, m0 double, v0 double, n0 double").coalesce(1)
     t, dof = welch_t("m1", "v1", "n1", "m0", "v0", "n0")
     out = long.select("feature", "ordinal", fround("m1", 4).alias("charted_mean"),
                       fround("m0", 4).alias("noncharted_mean"), fround(F.col("m1") - F.col("m0"), 4).alias("diff"),
@@ -50,21 +51,27 @@ def welch_profile(df: DataFrame, features: Sequence[str], label: str = "charted"
     return out
 
 
+def correlations(df: DataFrame, columns: dict, target: str) -> tuple[dict[str, tuple[float | None, int]], int]:
+    """({name: (Pearson r with ``target`` over the rows that have both, how many they are)}, all rows), in one pass."""
+    y = F.col(target).cast("double")
+    factors = {"1": F.lit(1.0)}
+    for i, x in enumerate(columns.values()):
+        factors |= {f"x{i}": F.when(y.isNotNull(), x), f"y{i}": F.when(x.isNotNull(), y)}
+    terms = [("1",)] + [t for i in range(len(columns)) for t in ((f"x{i}",), (f"y{i}",), (f"x{i}", f"x{i}"), (f"y{i}", f"y{i}"), (f"x{i}", f"y{i}"))]
+    s = exact_sums(df, factors, terms)[()]
+    found = {}
+    for i, c in enumerate(columns):
+        x, y_of, n = f"x{i}", f"y{i}", s[f"x{i}", f"y{i}"].n
+        found[c] = correlation(n, s[x,].total, s[y_of,].total, s[x, x].total, s[y_of, y_of].total, s[x, y_of].total), n
+    return found, s["1",].n
+
+
 def corr_tests(df: DataFrame, features: Sequence[str], target: str, with_p: bool = False,
                digits: int | None = 4) -> DataFrame:
     """Pearson r with NULL features as 0 (point-biserial when target is 0/1), t with n - 2 df. ``digits`` None: unrounded r."""
     feats = [c for c in features if c in df.columns]
-    y = F.col(target).cast("double")
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(feats):
-        x = F.coalesce(_num(c), F.lit(0.0))
-        aggs += [F.covar_pop(x, y).alias(f"c{i}"), F.stddev_pop(x).alias(f"sx{i}"), F.stddev_pop(y).alias(f"sy{i}")]
-    row = df.agg(*aggs)
-    items = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("ordinal"),
-                               F.when((F.col(f"sx{i}") > 0) & (F.col(f"sy{i}") > 0),
-                                      F.col(f"c{i}") / (F.col(f"sx{i}") * F.col(f"sy{i}"))).alias("r"))
-                      for i, c in enumerate(feats)])
-    long = row.select("_n", F.inline(items))
+    found, n = correlations(df, {c: F.coalesce(_num(c), F.lit(0.0)) for c in feats}, target)
+    long = df.sparkSession.createDataFrame([(n, c, i, found[c][0]) for i, c in enumerate(feats)], "_n long, feature string, ordinal int, r double").coalesce(1)
     t = r_to_t(F.col("r"), F.col("_n"))
     shown = F.col("r") if digits is None else fround("r", digits)
     out = long.select("feature", "ordinal", shown.alias("r"), fround(t, 4).alias("t"),
@@ -78,26 +85,14 @@ def corr_tests(df: DataFrame, features: Sequence[str], target: str, with_p: bool
 def interaction_gain(df: DataFrame, pairs: Sequence[tuple[str, str]], label: str = "charted",
                      eps: float = 0.002) -> DataFrame:
     """|r(a*b)| - max(|r(a)|, |r(b)|) with zero-filled columns; synergy if > eps."""
-    y = F.col(label).cast("double")
     exprs = {}
     for a, b in pairs:
         exprs[a] = F.coalesce(_num(a), F.lit(0.0))
         exprs[b] = F.coalesce(_num(b), F.lit(0.0))
         exprs[f"{a}*{b}"] = F.coalesce(_num(a) * _num(b), F.lit(0.0))
-    names = list(exprs)
-    aggs = []
-    for i, k in enumerate(names):
-        aggs += [F.covar_pop(exprs[k], y).alias(f"c{i}"), F.stddev_pop(exprs[k]).alias(f"s{i}")]
-    aggs.append(F.stddev_pop(y).alias("sy"))
-    row = df.agg(*aggs)
-
-    def r(k):
-        i = names.index(k)
-        return F.when((F.col(f"s{i}") > 0) & (F.col("sy") > 0), F.col(f"c{i}") / (F.col(f"s{i}") * F.col("sy")))
-    items = F.array(*[F.struct(F.lit(a).alias("feat_a"), F.lit(b).alias("feat_b"), F.lit(j).alias("ordinal"),
-                               r(a).alias("ra"), r(b).alias("rb"), r(f"{a}*{b}").alias("ri"))
-                      for j, (a, b) in enumerate(pairs)])
-    long = row.select(F.inline(items))
+    r = {c: found[0] for c, found in correlations(df, exprs, label)[0].items()}
+    long = df.sparkSession.createDataFrame([(a, b, j, r[a], r[b], r[f"{a}*{b}"]) for j, (a, b) in enumerate(pairs)],
+                                           "feat_a string, feat_b string, ordinal int, ra double, rb double, ri double").coalesce(1)
     imp = F.abs("ri") - F.greatest(F.abs("ra"), F.abs("rb"))
     return long.select("feat_a", "feat_b", "ordinal", fround("ra", 4).alias("r_a"), fround("rb", 4).alias("r_b"),
                        fround("ri", 4).alias("r_interaction"), fround(imp, 4).alias("improvement"),

@@ -1,28 +1,32 @@
 """Period trends (E14-E16, F2), breakpoints.
 
-Raw rows are touched once per operator (a ``groupBy(period)`` with partial
-aggregation); slopes, first/last shifts and jumps then run on the handful of
-aggregated period or bucket rows.
+Raw rows are touched once per operator, by exact sums per period (:mod:`chartwise.operators.moments`) or partial
+aggregation; slopes, first/last shifts and jumps then run on the handful of period or bucket rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chartwise.functions.columns import fround, right_closed_bin_index
+from chartwise.operators.moments import correlation, exact_sums, number
 
 
 def period_means(df: DataFrame, period: str, features: Sequence[str], label: str = "charted",
                  min_n: int = 50) -> DataFrame:
     """Per period: n (rows), label rate and feature means; periods with n >= min_n."""
     feats = [c for c in features if c in df.columns]
-    out = df.filter(F.col(period).isNotNull()).groupBy(period).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"), F.avg(label).alias("chart_rate"),
-        *[F.avg(c).alias(c) for c in feats])
-    return out.filter(F.col("n") >= min_n)
+    names = {"1": F.lit(1.0), "y": F.col(label), **{f"x{i}": F.col(c) for i, c in enumerate(feats)}}
+    sums = exact_sums(df.filter(F.col(period).isNotNull()), names, [(c,) for c in names], by=[period])
+    rows = [(p, s["1",].n, *[number(s[c,].mean) for c in names if c != "1"]) for (p,), s in sorted(sums.items()) if s["1",].n >= min_n]
+    shape = T.StructType([T.StructField(period, df.schema[period].dataType), T.StructField("n", T.LongType()),
+                          *[T.StructField(c, T.DoubleType()) for c in ["chart_rate", *feats]]])
+    return df.sparkSession.createDataFrame(rows, shape).coalesce(1)
 
 
 def feature_trends(means: DataFrame, period: str, features: Sequence[str], min_points: int = 3) -> DataFrame:
@@ -32,15 +36,21 @@ def feature_trends(means: DataFrame, period: str, features: Sequence[str], min_p
     aggregate run on a few dozen rows.
     """
     feats = [c for c in features if c in means.columns]
-    long = means.select(F.col(period).cast("double").alias("x"),
-                        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("ordinal"),
-                                                    F.col(c).cast("double").alias("y"))
-                                           for i, c in enumerate(feats)])))
-    g = long.filter(F.col("y").isNotNull()).groupBy("feature", "ordinal").agg(
-        F.regr_slope("y", "x").alias("slope"), F.regr_r2("y", "x").alias("r2"), F.count("y").alias("k"),
-        F.covar_pop("y", "x").alias("cxy"), F.stddev_pop("y").alias("sy"), F.stddev_pop("x").alias("sx"))
-    g = g.filter(F.col("k") >= min_points)
-    r = F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.col("cxy") / (F.col("sx") * F.col("sy")))
+    rows = means.select(F.col(period).cast("double"), *[F.col(c).cast("double") for c in feats]).collect()  # one per period
+    found = []
+    for i, c in enumerate(feats):
+        points = [(Fraction(r[0]), Fraction(r[i + 1])) for r in rows if r[0] is not None and r[i + 1] is not None]
+        if len(points) < min_points:
+            continue
+        x, y = sum(p for p, _ in points), sum(q for _, q in points)
+        xx, yy, xy = sum(p * p for p, _ in points), sum(q * q for _, q in points), sum(p * q for p, q in points)
+        n, vx, vy = len(points), xx - x * x / len(points), yy - y * y / len(points)
+        r = correlation(n, x, y, xx, yy, xy)
+        slope = float((xy - x * y / n) / vx) if vx else None
+        r2 = None if not vx else 1.0 if not vy else float((xy - x * y / n) ** 2 / (vx * vy))
+        found.append((c, i, slope, r2, n, r))
+    g = means.sparkSession.createDataFrame(found, "feature string, ordinal int, slope double, r2 double, k long, r double").coalesce(1)
+    r = F.col("r")
     t = F.when(F.abs(r) < 1.0, r * F.sqrt((F.col("k") - 2.0) / (F.lit(1.0) - r * r)))
     return g.select("feature", "ordinal", fround("slope", 6).alias("slope"), fround("r2", 6).alias("r2"),
                     F.col("k").cast("bigint").alias("n_points"), fround(t, 4).alias("t"),
@@ -51,10 +61,13 @@ def feature_trends(means: DataFrame, period: str, features: Sequence[str], min_p
 def conditional_gap(df: DataFrame, period: str, value: str, label: str = "charted", min_n: int = 50) -> DataFrame:
     """Mean of ``value`` among positives minus among negatives, per period (both must exist)."""
     y = F.col(label)
-    g = df.filter(F.col(period).isNotNull()).groupBy(period).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.when(y == 1, F.col(value))).alias("c"),
-        F.avg(F.when(y == 0, F.col(value))).alias("nc"))
-    g = g.filter((F.col("n") >= min_n) & F.col("c").isNotNull() & F.col("nc").isNotNull())
+    factors = {"1": F.lit(1.0), "c": F.when(y == 1, F.col(value)), "nc": F.when(y == 0, F.col(value))}
+    sums = exact_sums(df.filter(F.col(period).isNotNull()), factors, [(c,) for c in factors], by=[period])
+    rows = [(p, s["1",].n, number(s["c",].mean), number(s["nc",].mean)) for (p,), s in sorted(sums.items())
+            if s["1",].n >= min_n and s["c",].n and s["nc",].n]
+    shape = T.StructType([T.StructField(period, df.schema[period].dataType), T.StructField("n", T.LongType()),
+                          T.StructField("c", T.DoubleType()), T.StructField("nc", T.DoubleType())])
+    g = df.sparkSession.createDataFrame(rows, shape).coalesce(1)
     return g.select(period, fround("c", 4).alias(f"charted_{value}"), fround("nc", 4).alias(f"noncharted_{value}"),
                     fround(F.col("c") - F.col("nc"), 4).alias("gap"))
 

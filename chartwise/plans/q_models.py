@@ -4,20 +4,21 @@ logistic fit, k-means restarts (K4, K6-K13, A11)."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import functions as F
 
 from chartwise.functions.columns import fround
-from chartwise.operators.encode import standardize
-from chartwise.operators.learn import cluster_profile, roc_auc
-from chartwise.operators.models import (Training, evaluate, importances, load_scorer, logistic_single,
+from chartwise.operators.encode import MEDIAN_FILL, standardize
+from chartwise.operators.iterative import assign_pass, kmeans, lloyd, logistic_newton, on_grid, profile_by_size
+from chartwise.operators.learn import assign_centres, roc_auc
+from chartwise.operators.models import (Training, evaluate, importances, load_scorer,
                                         permutation_importance, score, sparse_input)
 from chartwise.operators.preparation import Preparation
 from chartwise.operators.split import sample_n
 from chartwise.plans import views
 from chartwise.plans.oracle_views import with_views
 from chartwise.plans.q_encode import CLUSTER_FEATS
+from chartwise.plans.q_ingest import u_sql
 from chartwise.plans.registry import register
 from chartwise.session import scratch_dir
 
@@ -25,7 +26,7 @@ from chartwise.session import scratch_dir
 PARAMS = {"rf": {"numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 2},
           "gbt": {"maxIter": 400, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 5}}
 
-#: Train rows that the catalogue's models are fitted on at most (a seeded sample); all rows are scored and evaluated.
+#: Train rows of each class that the catalogue's models are fitted on at most, by hash; all rows are scored and evaluated.
 FIT_ROWS = 3_000
 
 #: Rows of the single-feature fit at most, the reference's bound; its AUC is over all rows.
@@ -49,7 +50,7 @@ def _metrics(spark, sf, kind, name, oversample=False):
 
 def _frame_sql():
     """The prepared model frame: fills, genre code, categories without their smallest, in feature order."""
-    medians = [c for c in MEDIANS if c not in ("key", "time_signature")]
+    medians = [c for c in MEDIAN_FILL if c not in ("key", "time_signature")]
     ones = ", ".join([f"CAST(k = {v} AND k > (SELECT min(k) FROM c) AS DOUBLE) AS key_{v}" for v in range(1, 12)]
                      + [f"CAST(ts = {v} AND ts > (SELECT min(ts) FROM c) AS DOUBLE) AS ts_{v}" for v in (2, 3, 4, 5)])
     filled = ", ".join(f"round_even(coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont({c}, 0.5) FROM tracks)), 6) AS {c}" for c in medians)
@@ -61,10 +62,6 @@ c AS (SELECT track_id, {filled}, coalesce(duration_min, 0.0) AS duration_min, CA
   CAST(trunc(coalesce(time_signature, (SELECT quantile_cont(time_signature, 0.5) FROM tracks))) AS INTEGER) AS ts FROM tracks)""")
 
 
-MEDIANS = ["danceability", "energy", "loudness_norm", "tempo_norm", "speechiness", "acousticness", "instrumentalness", "liveness", "valence",
-           "energy_dance", "loud_energy", "key", "mode", "time_signature", "release_year"]
-
-
 @register("model_frame", _frame_sql())
 def q_model_frame(spark, sf):
     """Every feature of every track under the fitted preparation, saved and loaded again."""
@@ -73,7 +70,7 @@ def q_model_frame(spark, sf):
     Preparation.fit(t).save(path)
     ready = Preparation.load(spark, path)
     out = ready.transform(t).withColumnRenamed("row_key", "track_id").drop("charted")
-    return out.select("track_id", *[(fround(c, 6).alias(c) if c in MEDIANS else F.col(c)) for c in ready.features])
+    return out.select("track_id", *[(fround(c, 6).alias(c) if c in MEDIAN_FILL else F.col(c)) for c in ready.features])
 
 
 @register("rf_train")
@@ -132,38 +129,84 @@ def q_score_sparse(spark, sf):
     return score(t.model(t.best()[0]), sparse_input(partial, t.feats)).select("row_key", fround("score", 6).alias("probability"))
 
 
-@register("logit_single")
+#: Newton steps in the SQL of the logistic fit, enough for it to rest.
+SQL_STEPS = 12
+
+
+def _logit_sql():
+    steps = ["s0 AS MATERIALIZED (SELECT ln(sum(p) / (sum(n) - sum(p))) AS b, 0.0::DOUBLE AS w FROM zs)"]
+    for i in range(SQL_STEPS):
+        steps.append(f"""g{i} AS MATERIALIZED (SELECT any_value(b) AS b, any_value(w) AS w, sum(n * q - p) AS g0, sum((n * q - p) * x) + any_value(w) AS g1,
+  sum(n * q * (1 - q)) AS h00, sum(n * q * (1 - q) * x) AS h01, sum(n * q * (1 - q) * x * x) + 1.0 AS h11
+  FROM (SELECT x, n, p, b, w, 1.0 / (1.0 + exp(-(x * w + b))) AS q FROM zs, s{i})),
+s{i + 1} AS MATERIALIZED (SELECT b - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS b, w - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS w FROM g{i})""")
+    return with_views(["facts"], f"""
+SELECT round_even(any_value(w), 4) AS coef, round_even(any_value(b), 4) AS intercept, round_even(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc,
+  CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg
+FROM s{SQL_STEPS}, (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+  FROM (SELECT x * (SELECT sign(w) FROM s{SQL_STEPS}) AS v, count(*) FILTER (WHERE charted = 1) AS pos, count(*) FILTER (WHERE charted = 0) AS neg FROM z GROUP BY 1))""",
+        extra_ctes=f"""lf AS (SELECT track_id, charted, log10(greatest(followers, 1.0)) AS l FROM facts WHERE followers > 0),
+z AS MATERIALIZED (SELECT track_id, charted, (l - avg(l) OVER ()) / stddev_pop(l) OVER () AS x FROM lf),
+zs AS MATERIALIZED (SELECT x, CAST(count(*) AS DOUBLE) AS n, CAST(sum(charted) AS DOUBLE) AS p
+  FROM (SELECT * FROM z ORDER BY {u_sql(42, 'track_id')}, track_id LIMIT {LOGIT_ROWS}) GROUP BY x),
+""" + ",\n".join(steps))
+
+
+@register("logit_single", _logit_sql())
 def q_logit_single(spark, sf):
     """Logistic regression on standardised log10(followers), fitted on at most LOGIT_ROWS rows; AUC over all rows."""
     f = views.facts(spark, sf).filter(F.col("followers") > 0) \
-        .select("track_id", "charted", F.log10(F.greatest("followers", F.lit(1.0))).alias("log_followers"))
+        .select("track_id", "charted", F.log10(F.greatest("followers", F.lit(1.0))).alias("log_followers")).checkpoint()
     z = standardize(f, ["log_followers"])
-    model, _ = logistic_single(sample_n(z, "track_id", LOGIT_ROWS, seed=42), "log_followers")
-    lr = model.stages[-1]
-    auc = roc_auc(score(model, z), "score", "charted")
-    return auc.select(F.lit(round(float(lr.coefficients[0]), 4)).alias("coef"),
-                      F.lit(round(float(lr.intercept), 4)).alias("intercept"), "auc", "n_pos", "n_neg")
+    coef, intercept = logistic_newton(sample_n(z, "track_id", LOGIT_ROWS, seed=42), "log_followers", "charted")
+    side = 1.0 if coef >= 0 else -1.0  # probabilities order as the feature does
+    auc = roc_auc(z.withColumn("score", F.col("log_followers") * side), "score", "charted")
+    return auc.select(fround(F.lit(coef), 4).alias("coef"), fround(F.lit(intercept), 4).alias("intercept"), "auc", "n_pos", "n_neg")
+
+
+def _scaled(spark, sf):
+    t = views.tracks(spark, sf).select("track_id", "key", "charted", "popularity", *CLUSTER_FEATS).na.drop(subset=CLUSTER_FEATS).checkpoint()
+    return standardize(t.withColumns({f"z_{c}": F.col(c) for c in CLUSTER_FEATS}), [f"z_{c}" for c in CLUSTER_FEATS])
 
 
 @register("kmeans_fit")
 def q_kmeans_fit(spark, sf):
     """k-means (k = 4) on standardised features, best of 10 seeded restarts, clusters numbered by size."""
-    t = views.tracks(spark, sf).select("track_id", "charted", "popularity", *CLUSTER_FEATS).na.drop(subset=CLUSTER_FEATS)
     zc = [f"z_{c}" for c in CLUSTER_FEATS]
+    z = _scaled(spark, sf)
+    centres, _ = kmeans(z, "track_id", zc, k=4, restarts=10, seed=42)
+    return profile_by_size(assign_centres(z, zc, centres.tolist()), "cluster", CLUSTER_FEATS)
+
+
+#: Rounds of the k-means query from given starts.
+ROUNDS = 3
+
+
+def _rounds_sql():
+    zc = [f"z_{c}" for c in CLUSTER_FEATS]
+    scaled = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z_{c}" for c in CLUSTER_FEATS)
+    means = ", ".join(f"avg({c}) AS {c}" for c in zc)
+    apart = " + ".join(f"(z.{c} - s.{c}) * (z.{c} - s.{c})" for c in zc)
+    steps = [f"s0 AS MATERIALIZED (SELECT g, {means} FROM z GROUP BY g)"]
+    for i in range(ROUNDS + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT track_id, g FROM (SELECT z.track_id, s.g, row_number() OVER (PARTITION BY z.track_id ORDER BY {apart}, s.g) AS rn FROM z, s{i} s) WHERE rn = 1)")
+        steps.append(f"s{i + 1} AS MATERIALIZED (SELECT a.g, {means} FROM z JOIN a{i} a ON a.track_id = z.track_id GROUP BY a.g)")
+    return with_views(["tracks"], f"""SELECT CAST(s.g AS INTEGER) AS start, CAST(n AS BIGINT) AS n, {", ".join(f"round_even(s.{c}, 4) AS {c}" for c in zc)}
+FROM s{ROUNDS} s JOIN (SELECT g, count(*) AS n FROM a{ROUNDS} GROUP BY g) USING (g)""",
+        extra_ctes=f"""z AS MATERIALIZED (SELECT track_id, key % 4 AS g, {scaled} FROM tracks WHERE key IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in CLUSTER_FEATS)}),
+""" + ",\n".join(steps))
+
+
+@register("kmeans_rounds", _rounds_sql())
+def q_kmeans_rounds(spark, sf):
+    """Three rounds of k-means from given starts (means of the key % 4 groups): centres, and rows that they attract."""
+    zc = [f"z_{c}" for c in CLUSTER_FEATS]
+    t = views.tracks(spark, sf).select("track_id", "key", *CLUSTER_FEATS).na.drop(subset=["key", *CLUSTER_FEATS]).checkpoint()
     z = standardize(t.withColumns({f"z_{c}": F.col(c) for c in CLUSTER_FEATS}), zc)
-    vec = VectorAssembler(inputCols=zc, outputCol="features").transform(z).checkpoint()
-
-    def fit(seed):
-        m = KMeans(k=4, seed=seed, featuresCol="features", predictionCol="raw").fit(vec)
-        return (m.summary.trainingCost, seed, m)
-    # independent restarts run as concurrent Spark jobs (as CrossValidator's parallelism does)
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        fits = list(pool.map(fit, range(42, 52)))
-    best = min(fits, key=lambda f: (f[0], f[1]))
-    pred = best[2].transform(vec)
-    sizes = pred.groupBy("raw").count()
-    from pyspark.sql import Window
-    order = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("count"), "raw")) - 1)  # k rows
-    lab = pred.join(F.broadcast(order.select("raw", "cluster")), "raw")
-    return cluster_profile(lab, "cluster", CLUSTER_FEATS)
+    starts = z.groupBy((F.col("key") % 4).alias("g")).agg(*[F.avg(c).alias(c) for c in zc]).orderBy("g").collect()
+    rows = on_grid(z.select("track_id", *zc), zc).checkpoint()
+    centres, _ = lloyd(rows, zc, np.array([[[r[c] for c in zc] for r in starts]]), rounds=ROUNDS)
+    size = {c: n for (_, c), (n, _, _) in assign_pass(rows, zc, centres).items()}
+    out = [(r["g"], size.get(i, 0), *[float(v) for v in centres[0, i]]) for i, r in enumerate(starts)]
+    found = spark.createDataFrame(out, "start int, n long, " + ", ".join(f"{c} double" for c in zc))
+    return found.select("start", "n", *[fround(c, 4).alias(c) for c in zc])

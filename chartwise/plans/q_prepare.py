@@ -69,6 +69,7 @@ def q_numeric_coerce(spark, sf):
                     F.coalesce(F.col("followers").try_cast("double"), F.lit(0.0)).alias("followers"))
 
 
+# Fixed values that must equal the reference's: the numeric features of its model, in their order.
 MODEL_FEATURES = ["danceability", "energy", "loudness_norm", "tempo_norm", "speechiness", "acousticness",
                   "instrumentalness", "liveness", "valence", "energy_dance", "loud_energy", "duration_min",
                   "explicit", "markets_count", "release_year", "mode", "genre_enc"]

@@ -130,19 +130,19 @@ def q_corr_with_label(spark, sf):
 
 @register("quality_issues", with_views(["tracks"], """
 SELECT * FROM (
-  SELECT 'duplicates' AS kind, 'track_id' AS subject, CAST(d AS DOUBLE) AS value, CAST(d AS VARCHAR) || ' duplicate track IDs' AS message
+  SELECT 'duplicates' AS kind, 'track_id' AS subject, CAST(d AS DOUBLE) AS value, CAST(d AS VARCHAR) || ' rows repeat a key' AS message
   FROM (SELECT count(*) - count(DISTINCT track_id) AS d FROM tracks) WHERE d > 0
   UNION ALL
-  SELECT 'missing', "column", pct, 'High missingness in ' || "column" || ': ' || CAST(pct AS VARCHAR) || '%' FROM nulls WHERE pct > 5
+  SELECT 'missing', "column", pct, "column" || ' lacks a value in ' || CAST(pct AS VARCHAR) || ' % of the rows' FROM nulls WHERE pct > 5
   UNION ALL
-  SELECT 'out_of_range', "column", pct, 'Out-of-range values in ' || "column" || ': ' || CAST(pct AS VARCHAR) || '%' FROM ranges WHERE pct > 1
+  SELECT 'out_of_range', "column", pct, "column" || ' leaves its range in ' || CAST(pct AS VARCHAR) || ' % of the rows' FROM ranges WHERE pct > 1
   UNION ALL
-  SELECT 'imbalance', 'charted', ratio, 'Severe class imbalance — ratio ' || printf('%.1f', ratio) || ':1  (consider SMOTE)'
+  SELECT 'imbalance', 'charted', ratio, printf('%.1f', ratio) || ' negatives for each positive; oversampling may help'
   FROM (SELECT round_even(CAST(count(*) FILTER (WHERE charted = 0) AS DOUBLE) / greatest(count(*) FILTER (WHERE charted = 1), 1), 2) AS ratio FROM tracks)
   WHERE ratio > 10)""", extra_ctes=f"nulls AS ({_null_sql()}),\nranges AS ({_range_sql()})"))
 def q_quality_issues(spark, sf):
     """Failed quality rules (duplicates, missingness > 5 %, out of range > 1 %, imbalance > 10)."""
-    t = _profile_frame(spark, sf)
+    t = views.keep(_profile_frame(spark, sf))  # four passes
     return quality_issues(null_profile(t, PROFILE_COLS), range_profile(t), duplicate_count(t, ["track_id"]),
                           class_balance(t))
 
@@ -170,5 +170,5 @@ def _report_sql():
 def q_report_json(spark, sf):
     """Write the whole validation report (ten sections, one JSON document) and read its numbers back."""
     path = scratch_dir(spark, "report")
-    write_report(validation_sections(_profile_frame(spark, sf), PROFILE_COLS, AUDIO_FEATURES), path)
+    write_report(validation_sections(views.keep(_profile_frame(spark, sf)), PROFILE_COLS, AUDIO_FEATURES), path)
     return report_numbers(read_report(spark, path))

@@ -1,11 +1,9 @@
 """Shared views for the query catalogue: prepared tracks, artists, facts.
 
-The fact view (orders x line aggregates x artists) feeds most analyses, as
-the joined frame does in the reference.  It is built once per session and
-source folder and persisted MEMORY_AND_DISK: later analyses read the
-materialised rows instead of re-running the lineitem aggregation and joins;
-partitions that do not fit in memory spill to local disk, and a lost
-executor's blocks are recomputed from the lineage.
+The fact view (orders x line aggregates x artists) feeds most analyses. A view is a lazy plan, so that the one pass of an
+analysis reads and builds only the columns that it needs. What reads a view many times (a report of all analyses)
+calls :func:`keep` first: its rows are then persisted MEMORY_AND_DISK and every query of the session on the same
+view reads them, until :func:`clear`. A lost executor's blocks are built again from the lineage.
 """
 
 from __future__ import annotations
@@ -22,15 +20,18 @@ _CACHE: dict = {}
 
 def _memo(spark: SparkSession, sf_dir: str, name: str, build):
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    df = _CACHE.get(key)
-    if df is None:
-        df = build().persist(StorageLevel.MEMORY_AND_DISK)
-        _CACHE[key] = df
-    return df
+    if key not in _CACHE:
+        _CACHE[key] = build()
+    return _CACHE[key]
+
+
+def keep(view: DataFrame) -> DataFrame:
+    """Persist a view's rows for queries that follow, until :func:`clear`."""
+    return view.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def clear() -> None:
-    """Unpersist every memoised view."""
+    """Forget every view, and what is persisted of it."""
     for df in _CACHE.values():
         try:
             df.unpersist()

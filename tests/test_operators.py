@@ -9,6 +9,7 @@ from chartwise.operators.graph import bfs_expand
 from chartwise.operators.ingest import incremental_append, keep_first
 from chartwise.operators.joins import hot_key_join
 from chartwise.operators.learn import knn_exact, roc_auc, smote
+from chartwise.operators import quantiles
 from chartwise.operators.quantiles import exact_quantiles
 from chartwise.operators.split import assign_by_rank, sample_n, stratified_split, stratified_sizes
 
@@ -46,7 +47,7 @@ def test_exact_quantiles_with_heavy_ties(spark):
     vals = np.concatenate([np.zeros(5000), rng.normal(size=10000), np.full(100, np.nan)])
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(7)
     probs = [0.1, 0.25, 0.5, 0.75, 0.9]
-    q = exact_quantiles(df, ["x"], probs, accuracy=200)
+    q = exact_quantiles(df, ["x"], probs)
     clean = vals[~np.isnan(vals)]
     for p in probs:
         assert q[("x", p)] == pytest.approx(float(np.quantile(clean, p)), abs=1e-12)
@@ -54,20 +55,20 @@ def test_exact_quantiles_with_heavy_ties(spark):
 
 def test_split_is_exact_partition_and_stable(spark):
     df = spark.range(5000).select("id", (F.col("id") % 37 == 0).cast("int").alias("y"))
-    a = stratified_split(df, "id", "y", buckets=64)
+    a = stratified_split(df, "id", "y")
     counts = {(r["split"], r["y"]): r["count"] for r in a.groupBy("split", "y").count().collect()}
     n1 = df.filter("y = 1").count()
     sizes = stratified_sizes({1: n1, 0: 5000 - n1})
     for c, (tr, va, te) in sizes.items():
         assert (counts.get(("train", c), 0), counts.get(("val", c), 0), counts.get(("test", c), 0)) == (tr, va, te)
     assert a.count() == 5000 and a.select("id").distinct().count() == 5000
-    b = stratified_split(df.repartition(13), "id", "y", buckets=64)
+    b = stratified_split(df.repartition(13), "id", "y")
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
 def test_assign_by_rank_null_class(spark):
     df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(200)], "id int, c int")
-    out = assign_by_rank(df, "c", "id", {None: [10], 0: [10], 1: [10]}, ["a", "b"], buckets=8)
+    out = assign_by_rank(df, "c", "id", {None: [10], 0: [10], 1: [10]}, ["a", "b"])
     assert out.count() == 200
     assert out.filter("split = 'a'").count() == 30
 
@@ -178,7 +179,7 @@ def test_resolve_source_fallback(spark, tmp_path):
 
 
 def test_block_topk_certified_matches_brute_force_with_duplicates():
-    from chartwise.operators.learn import block_topk
+    from chartwise.operators.neighbours import block_topk
     rng = np.random.default_rng(11)
     X = np.vstack([rng.normal(size=(200, 16)), np.zeros((30, 16)), rng.normal(size=(20, 16)) * 1e4])
     ids = np.arange(len(X), dtype=np.int64)
@@ -213,13 +214,14 @@ def test_rates_with_a_third_of_rows_in_one_group(spark):
     assert sum(n for n, _ in out.values()) == 9000
 
 
-def test_exact_quantiles_refinement_rounds(spark):
+def test_exact_quantiles_refinement_rounds(spark, monkeypatch):
     rng = np.random.default_rng(2)
     vals = np.concatenate([np.full(6000, 0.5), rng.exponential(size=12000), rng.integers(0, 5, 2000).astype(float)])
     df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(9)
     probs = [0.05, 0.3, 0.5, 0.77, 0.999]
-    q = exact_quantiles(df, ["x"], probs, accuracy=20, band_max=300)
-    assert q == pytest.approx(exact_quantiles(df, ["x"], probs))
+    q = exact_quantiles(df, ["x"], probs)
+    monkeypatch.setattr(quantiles, "KEEP", 0)  # all four passes
+    assert exact_quantiles(df, ["x"], probs, keep=False) == q
     for p in probs:
         assert q[("x", p)] == pytest.approx(float(np.quantile(vals, p)), abs=1e-12)
 
