@@ -12,8 +12,8 @@ HEAD pairs, those of the highest counts, are broadcast; the others, none of whic
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -27,22 +27,32 @@ from chartwise.llm.vocab import LETTERS, UNSURE, UnitIds, close, load, opened, s
 
 #: Pairs in the broadcast tier, distinct pairs that a task counts before it hands them on, aligned units kept by a
 #: worker. They bound memory and never change a result.
-HEAD, COUNTED, CACHED = 500_000, 1_000_000, 150_000
+HEAD, COUNTED, CACHED = 500_000, 1_000_000, 400_000
+
+#: Links of a slice from which on distinct ids are paired; labels of text made at once. They bound memory likewise.
+LARGE, TEXT_LABELS = 100_000, 2_000_000
 
 BLANK = "▁"  # stands for a blank in side B's pieces
 
 
 class Aligned(NamedTuple):
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: str        # a1,a2|b1;a3|b2,b3
-    pairs: np.ndarray  # distinct linked pairs, a * size_b + b
-    times: np.ndarray  # links of each
+    """Groups of many texts: ``counts`` has a row (tokens of A, of B, groups, links) for each, ``labels`` and ``pairs``
+    hold ``n_labels`` and ``n_pairs`` of each, one after another. A label is a token's id with what follows it in
+    a1,a2|b1;a3|b2,b3; pairs are linked ids (a * size_b + b), each ``times`` often."""
+
+    counts: np.ndarray
+    n_labels: np.ndarray
+    labels: np.ndarray
+    n_pairs: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
 
+    @classmethod
+    def nothing(cls, n: int) -> Aligned:
+        return cls(np.zeros((n, 4), "i8"), np.zeros(n, "i8"), np.zeros(0, "i4"), np.zeros(n, "i8"), np.zeros(0, "i8"), np.zeros(0, "i8"))
 
-NOTHING = Aligned(0, 0, 0, 0, "", np.zeros(0, "i8"), np.zeros(0, "i8"))
+    def joined(self, other: Aligned) -> Aligned:
+        return Aligned(*[np.concatenate(both) for both in zip(self, other, strict=True)])
 
 
 def size_of_b(path: str) -> int:
@@ -50,8 +60,19 @@ def size_of_b(path: str) -> int:
     return SentencePieceProcessor(model_file=path).get_piece_size()
 
 
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, how many are of each list)."""
+    n = np.fromiter(map(len, lists), "i8", len(lists))
+    return np.fromiter(chain.from_iterable(lists), "i8", int(n.sum())), n
+
+
+def end_index(sizes: np.ndarray) -> dict[int, int]:
+    """Byte offset where a token ends -> how many tokens end there or before."""
+    return dict(zip(np.cumsum(sizes).tolist(), range(1, len(sizes) + 1), strict=True))
+
+
 class Aligner:
-    """A byte-level BPE file (A) and a sentencepiece model (B) side by side, with a worker's cache of units."""
+    """A byte-level BPE file (A) and a sentencepiece model (B) side by side, with a worker's store of aligned units."""
 
     def __init__(self, paths: tuple[str, str]):
         from sentencepiece import SentencePieceProcessor
@@ -60,61 +81,113 @@ class Aligner:
         self.b = SentencePieceProcessor(model_file=paths[1])
         self.size_b = self.b.get_piece_size()
         byte_of = {letter: b for b, letter in LETTERS.items()}
-        self.bytes_a = {i: bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-                        for token, i in self.a.tokenizer.get_vocab().items()}
+        vocabulary = self.a.tokenizer.get_vocab()
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.bytes_a[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[1:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(BLANK, " ").encode()
                         for i in range(self.size_b)]
-        self.cache: dict[str, Aligned] = {"": NOTHING}
-
-    def align(self, a: list[int], b: list[int], raw: bytes) -> Aligned | None:
-        """The groups of two id lists over the bytes ``raw``; None where a side's bytes differ from them."""
-        own_a, own_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(own_a) != raw or b"".join(own_b) != raw:
-            return None
-        ends_a, ends_b = end_index(own_a), end_index(own_b)
-        links: Counter[int] = Counter()
-        groups, n_links, at_a, at_b = [], 0, 0, 0
-        for end in sorted(ends_a.keys() & ends_b.keys()):
-            slice_a, slice_b = a[at_a:ends_a[end]], b[at_b:ends_b[end]]
-            at_a, at_b = ends_a[end], ends_b[end]
-            groups.append(f"{','.join(map(str, slice_a))}|{','.join(map(str, slice_b))}")
-            n_links += len(slice_a) * len(slice_b)
-            if len(slice_a) * len(slice_b) == 1:
-                links[slice_a[0] * self.size_b + slice_b[0]] += 1
-            else:
-                often_b = Counter(slice_b).items()
-                for x, n in Counter(slice_a).items():
-                    for y, m in often_b:
-                        links[x * self.size_b + y] += n * m
-        return Aligned(len(a), len(b), len(groups), n_links, ";".join(groups), np.fromiter(links.keys(), "i8", len(links)), np.fromiter(links.values(), "i8", len(links)))
-
-    def whole(self, text: str) -> Aligned:
-        """A text without cuts; no tokens where it is empty or the bytes differ."""
-        if not text:
-            return NOTHING
-        return self.align(self.a.tokenizer.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), (" " + text).encode()) or NOTHING
-
-    def unit(self, unit: str) -> Aligned:
-        """' word' (given without its blank) or '\\nword'."""
-        found = self.cache.get(unit)
-        if found is None:
-            if len(self.cache) > CACHED:
-                self.cache.clear()
-                self.cache[""] = NOTHING
-            b = self.b.encode(unit)
-            if unit[0] == "\n":  # B puts its blank before this too
-                found = self.align(self.a.unit_ids(unit), b[1:], unit.encode())
+        self.len_a, self.len_b = (np.array([len(t) for t in side], "i8") for side in (self.bytes_a, self.bytes_b))
+        self.labels = pa.array([f"{i}{c}" for side, marks in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for i in range(len(side)) for c in marks], pa.string())
+        self.reset()
+
+    def reset(self) -> None:
+        self.place: dict[str, int] = {"": 0}
+        self.store = Aligned.nothing(1)
+
+    def align(self, lists_a: list[list[int]], lists_b: list[list[int]]) -> Aligned:
+        """The groups of texts with tokens, whose bytes are the same on both sides; offsets run on from text to text."""
+        if not lists_a:
+            return Aligned.nothing(0)
+        (a, n_a), (b, n_b) = flat(lists_a), flat(lists_b)
+        index_a, index_b = end_index(self.len_a[a]), end_index(self.len_b[b])
+        ends = sorted(index_a.keys() & index_b.keys())
+        cut_a, cut_b = (np.fromiter(map(index.__getitem__, ends), "i8", len(ends)) for index in (index_a, index_b))
+        first_a, first_b = np.r_[0, cut_a[:-1]], np.r_[0, cut_b[:-1]]
+        of_a, of_b = cut_a - first_a, cut_b - first_b
+        text = np.searchsorted(np.cumsum(n_a), first_a, side="right")
+        groups, links = np.bincount(text, minlength=len(n_a)), np.zeros(len(n_a), "i8")
+        np.add.at(links, text, of_a * of_b)
+        # in the text, a group's A tokens come before its B tokens
+        labels = np.zeros(len(a) + len(b), "i4")
+        mark_a, mark_b = np.zeros(len(a), "i8"), np.zeros(len(b), "i8")
+        mark_a[cut_a - 1] = mark_b[cut_b - 1] = 1
+        labels[np.arange(len(a)) + np.repeat(first_b, of_a)] = 2 * a + mark_a
+        labels[np.arange(len(b)) + np.repeat(cut_a, of_b)] = 2 * (len(self.bytes_a) + b) + mark_b
+        # every pair of a slice; of a very large slice every pair of distinct ids, with how often it occurs
+        large = of_a * of_b > LARGE
+        n = np.where(large, 0, of_a * of_b)
+        own = np.repeat(np.arange(len(ends)), n)
+        nth = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        pairs = a[first_a[own] + nth // of_b[own]] * self.size_b + b[first_b[own] + nth % of_b[own]]
+        times, owner = np.ones(len(pairs), "i8"), text[own]
+        for g in np.flatnonzero(large):
+            (x, many), (y, much) = (np.unique(ids, return_counts=True) for ids in (a[first_a[g]:cut_a[g]], b[first_b[g]:cut_b[g]]))
+            pairs = np.concatenate([pairs, (x[:, None] * self.size_b + y[None, :]).ravel()])
+            times = np.concatenate([times, (many[:, None] * much[None, :]).ravel()])
+            owner = np.concatenate([owner, np.full(len(x) * len(y), text[g])])
+        if large.any():
+            order = np.argsort(owner, kind="stable")
+            pairs, times, owner = pairs[order], times[order], owner[order]
+        return Aligned(np.stack([n_a, n_b, groups, links], axis=1), n_a + n_b, labels, np.bincount(owner, minlength=len(n_a)), pairs, times)
+
+    def whole(self, texts: list[str]) -> Aligned:
+        """Texts without cuts; those that are empty or whose bytes differ on a side have no tokens."""
+        out = Aligned.nothing(0)
+        for text in texts:
+            a, b, raw = self.a.tokenizer.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), (" " + text).encode()
+            same = text and b"".join([self.bytes_a[i] for i in a]) == b"".join([self.bytes_b[i] for i in b]) == raw
+            out = out.joined(self.align([a], [b]) if same else Aligned.nothing(1))
+        return out
+
+    def places(self, units: list[str]) -> np.ndarray:
+        """Where the store has ' word' (given without its blank) or '\nword'; units that it lacks are aligned together."""
+        if len(self.place) + len(units) > CACHED + len(units) // 2:
+            self.reset()
+        new = [u for u in units if u not in self.place]
+        if new:
+            lists_a = [self.a.unit_ids(u) for u in new]
+            lists_b = self.b.encode(new, num_threads=1)  # before each unit B puts its blank, which a line's beginning hasn't
+            lists_b = [ids[1:] if u[0] == "\n" else ids for u, ids in zip(new, lists_b, strict=True)]
+            raw = "".join([u if u[0] == "\n" else " " + u for u in new]).encode()
+            if not b"".join([self.bytes_a[i] for ids in lists_a for i in ids]) == b"".join([self.bytes_b[i] for ids in lists_b for i in ids]) == raw:
+                raise ValueError("bytes of units differ")
+            self.place |= {u: len(self.place) + i for i, u in enumerate(new)}
+            self.store = self.store.joined(self.align(lists_a, lists_b))
+        return np.fromiter(map(self.place.__getitem__, units), "i8", len(units))
+
+    def digests(self, known: Aligned, code: np.ndarray, ends: np.ndarray) -> list[str]:
+        """sha256 of each document's groups as text; document i has the units code[ends[i]:ends[i + 1]]."""
+        n, start = known.n_labels[code], (np.cumsum(known.n_labels) - known.n_labels)[code]
+        size = np.r_[0, np.cumsum(n)][ends]  # labels before each document
+        out, doc = [], 0
+        while doc < len(ends) - 1:
+            to = max(doc + 1, int(np.searchsorted(size, size[doc] + TEXT_LABELS, side="right")) - 1)
+            if to == doc + 1:  # one document, perhaps a long one: in pieces
+                digest, some = hashlib.sha256(), False
+                for at in range(int(ends[doc]), int(ends[doc + 1]), TEXT_LABELS // 4):
+                    piece = slice(at, min(at + TEXT_LABELS // 4, int(ends[doc + 1])))
+                    raw = self.text(known.labels[spread(start[piece], n[piece])])[0]
+                    if some and len(raw):
+                        digest.update(b";")
+                    digest.update(raw[:-1])
+                    some = some or len(raw) > 0
+                out.append(digest.hexdigest() if some else "")
             else:
-                found = self.align(self.a.unit_ids(unit), b, (" " + unit).encode())
-            if found is None:
-                raise ValueError(f"a unit's bytes differ: {unit!r}")
-            self.cache[unit] = found
-        return found
-
-
-def end_index(tokens: list[bytes]) -> dict[int, int]:
-    """Byte offset where a token ends -> how many tokens lie before it."""
-    return {end: i for i, end in enumerate(np.cumsum([len(t) for t in tokens]).tolist(), 1)}
+                piece = slice(int(ends[doc]), int(ends[to]))
+                raw, offsets = self.text(known.labels[spread(start[piece], n[piece])])
+                cuts = offsets[size[doc:to + 1] - size[doc]].tolist()
+                out += [hashlib.sha256(raw[s:e - 1]).hexdigest() if e > s else "" for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+            doc = to
+        return out
+
+    def text(self, labels: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """(the labels' characters one after another, where each begins)."""
+        if not len(labels):
+            return memoryview(b""), np.zeros(1, "i4")
+        _, offsets, data = self.labels.take(pa.array(labels)).buffers()
+        offsets = np.frombuffer(offsets, "i4")[:len(labels) + 1]
+        return memoryview(data)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,32 +217,26 @@ def aligned_rows(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
             texts = part.column("text")
             unsure = pc.match_substring_regex(texts, f"{UNSURE}|{BLANK}")
             units = pc.split_pattern(pc.replace_substring(pc.if_else(unsure, pa.scalar(""), texts), "\n", " \n"), " ")
-            flat = units.flatten().dictionary_encode()
-            known = [aligner.unit(u) for u in flat.dictionary.to_pylist()]
-            code, doc = flat.indices.to_numpy(zero_copy_only=False).astype("i8"), np.repeat(np.arange(len(units)), np.diff(units.offsets.to_numpy()))
-            # a text that is aligned whole is one unit of its own
+            flat_units = units.flatten().dictionary_encode()
+            ends = units.offsets.to_numpy().astype("i8") - units.offsets[0].as_py()
+            doc = np.repeat(np.arange(len(units)), np.diff(ends))
+            code = aligner.places(flat_units.dictionary.to_pylist())[flat_units.indices.to_numpy(zero_copy_only=False)]
+            # a text that is aligned whole is one unit of its own: it was made empty, which is one unit
             odd = np.flatnonzero(unsure.to_numpy(zero_copy_only=False))
-            code[np.flatnonzero(np.isin(doc, odd))] = len(known) + np.arange(len(odd))  # its text was made empty: one unit
-            known += [aligner.whole(texts[int(i)].as_py()) for i in odd]
-            numbers = {c: np.array([getattr(u, c) for u in known], "i8") for c in ("n_a", "n_b", "n_groups", "n_links")}
-            total = {c: np.add.reduceat(v[code], units.offsets.to_numpy()[:-1] - units.offsets[0].as_py()) for c, v in numbers.items()}
-            strings, ends = [u.groups for u in known], (units.offsets.to_numpy() - units.offsets[0].as_py()).tolist()
-            codes = code.tolist()
-            digest = [hashlib.sha256(";".join([strings[c] for c in codes[s:e]]).encode()).hexdigest() if n else ""
-                      for s, e, n in zip(ends[:-1], ends[1:], total["n_groups"].tolist(), strict=True)]
+            code[ends[odd]] = len(aligner.store.counts) + np.arange(len(odd))
+            known = aligner.store.joined(aligner.whole(texts.take(pa.array(odd)).to_pylist()))
+            total = dict(zip(("n_a", "n_b", "n_groups", "n_links"), np.add.reduceat(known.counts[code], ends[:-1]).T, strict=True))
+            digest = aligner.digests(known, code, ends)
             # (document, unit) -> (document, pair)
-            n_of = np.array([len(u.pairs) for u in known], "i8")
-            first = np.cumsum(n_of) - n_of
-            names, place = np.unique(np.concatenate([u.pairs for u in known]), return_inverse=True)
-            often = np.concatenate([u.times for u in known])
-            seen, repeats = np.unique(doc * len(known) + code, return_counts=True)
-            seen_doc, seen_code = np.divmod(seen, len(known))
-            take = spread(first[seen_code], n_of[seen_code])
-            each = n_of[seen_code]
-            keys, times = summed(np.repeat(seen_doc, each) * max(1, len(names)) + place[take], np.repeat(repeats, each) * often[take])
+            seen, repeats = np.unique(doc * len(known.counts) + code, return_counts=True)
+            seen_doc, seen_code = np.divmod(seen, len(known.counts))
+            n_of = known.n_pairs[seen_code]
+            take = spread((np.cumsum(known.n_pairs) - known.n_pairs)[seen_code], n_of)
+            names, place = np.unique(known.pairs[take], return_inverse=True)
+            keys, times = summed(np.repeat(seen_doc, n_of) * max(1, len(names)) + place, np.repeat(repeats, n_of) * known.times[take])
             at = np.concatenate([[0], np.cumsum(np.bincount(keys // max(1, len(names)), minlength=len(units)))]).astype("i4")
             yield pa.RecordBatch.from_pydict({
-                "rid": part.column("rid"), "doc_id": part.column("doc_id"), **{c: pa.array(v) for c, v in total.items()}, "groups_sha256": pa.array(digest, pa.string()),
+                "rid": part.column("rid"), "doc_id": part.column("doc_id"), **{c: pa.array(v, pa.int64()) for c, v in total.items()}, "groups_sha256": pa.array(digest, pa.string()),
                 "pairs": pa.ListArray.from_arrays(pa.array(at), pa.array(names[keys % max(1, len(names))], pa.int64())), "times": pa.ListArray.from_arrays(pa.array(at), pa.array(times, pa.int64()))})
 
     return docs.mapInArrow(align, ROWS)

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -80,8 +81,10 @@ def test_a_very_long_text_and_empty_tables(spark, make, odd_rows):
     rows = [(i, t) for i, t in odd_rows if t and len(t) > 10_000]
     got = alignment.align_tokens(make(spark, rows), A, B).collect()
     aligner = alignment.Aligner((A, B))
-    whole = [aligner.whole(t) for _, t in rows]
-    assert [(r.n_a, r.n_b, r.n_groups, r.n_links, r.groups_sha256) for r in got] == [(w.n_a, w.n_b, w.n_groups, w.n_links, hashlib.sha256(w.groups.encode()).hexdigest()) for w in whole]
+    whole = aligner.whole([t for _, t in rows])
+    want = [hashlib.sha256(bytes(aligner.text(whole.labels)[0][:-1])).hexdigest()]
+    assert len(rows) == 1 and [(r.n_a, r.n_b, r.n_groups, r.n_links) for r in got] == [tuple(c) for c in whole.counts.tolist()]
+    assert [r.groups_sha256 for r in got] == want
     assert alignment.align_tokens(make(spark, []), A, B).count() == 0
     assert [tuple(r) for r in alignment.align_tokens(make(spark, [(1, None), (2, "")]), A, B).orderBy("doc_id").collect()] == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
 
@@ -91,3 +94,22 @@ def test_counts_handed_on_early_are_the_same(spark, make, odd_rows, monkeypatch)
     want = Counter(map(tuple, alignment.align_tokens(make(spark, rows), A, B).collect()))
     monkeypatch.setattr(alignment, "COUNTED", 10)
     assert Counter(map(tuple, alignment.align_tokens(make(spark, rows), A, B).collect())) == want
+
+
+def test_large_slices_and_long_texts_are_the_same(monkeypatch):
+    aligner = alignment.Aligner((A, B))
+    rng = random.Random(3)
+    # ids of any kind with the same bytes: a one-token text against its bytes, over and over
+    texts = random_texts(60)
+    small = aligner.whole(texts)
+    sums = [alignment.summed(small.pairs, small.times)]
+    monkeypatch.setattr(alignment, "LARGE", 0)
+    large = aligner.whole(texts)
+    sums.append(alignment.summed(large.pairs, large.times))
+    assert [x.tolist() for x in sums[0]] == [x.tolist() for x in sums[1]]
+    assert small.counts.tolist() == large.counts.tolist() and small.labels.tolist() == large.labels.tolist()
+    code = aligner.places([rng.choice(["a", "word", "naïve", "\nx"]) for _ in range(300)])
+    ends = [0, 5, 5 + 250, 300]
+    want = aligner.digests(aligner.store, code, np.array(ends))
+    monkeypatch.setattr(alignment, "TEXT_LABELS", 16)
+    assert aligner.digests(aligner.store, code, np.array(ends)) == want
