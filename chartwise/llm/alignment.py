@@ -27,10 +27,11 @@ from chartwise.llm.vocab import LETTERS, UNSURE, UnitIds, close, load, opened, s
 
 #: Pairs in the broadcast tier, distinct pairs that a task counts before it hands them on, aligned units kept by a
 #: worker. They bound memory and never change a result.
-HEAD, COUNTED, CACHED = 500_000, 1_000_000, 400_000
+HEAD, COUNTED, CACHED = 500_000, 1_000_000, 200_000
 
-#: Links of a slice from which on distinct ids are paired; labels of text made at once. They bound memory likewise.
-LARGE, TEXT_LABELS = 100_000, 2_000_000
+#: Bytes of text handled at once, units aligned at once, links of a slice from which on distinct ids are paired, labels of
+#: text made at once. They bound memory likewise.
+BYTES, BLOCK, LARGE, TEXT_LABELS = 2 << 20, 20_000, 100_000, 500_000
 
 BLANK = "▁"  # stands for a blank in side B's pieces
 
@@ -52,7 +53,11 @@ class Aligned(NamedTuple):
         return cls(np.zeros((n, 4), "i8"), np.zeros(n, "i8"), np.zeros(0, "i4"), np.zeros(n, "i8"), np.zeros(0, "i8"), np.zeros(0, "i8"))
 
     def joined(self, other: Aligned) -> Aligned:
-        return Aligned(*[np.concatenate(both) for both in zip(self, other, strict=True)])
+        return Aligned(*[np.concatenate(both) for both in zip(self, other, strict=True)]) if len(other.counts) else self
+
+    def only(self, texts: np.ndarray) -> Aligned:
+        labels, pairs = (spread((np.cumsum(n) - n)[texts], n[texts]) for n in (self.n_labels, self.n_pairs))
+        return Aligned(self.counts[texts], self.n_labels[texts], self.labels[labels], self.n_pairs[texts], self.pairs[pairs], self.times[pairs])
 
 
 def size_of_b(path: str) -> int:
@@ -89,11 +94,16 @@ class Aligner:
                         for i in range(self.size_b)]
         self.len_a, self.len_b = (np.array([len(t) for t in side], "i8") for side in (self.bytes_a, self.bytes_b))
         self.labels = pa.array([f"{i}{c}" for side, marks in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for i in range(len(side)) for c in marks], pa.string())
-        self.reset()
-
-    def reset(self) -> None:
         self.place: dict[str, int] = {"": 0}
-        self.store = Aligned.nothing(1)
+        self.store, self.seen = Aligned.nothing(1), np.zeros(1, "i8")
+
+    def keep(self, often: int) -> None:
+        """Forget all units but the empty one and those that the most slices had."""
+        stay = np.union1d(np.argsort(-self.seen, kind="stable")[:often], [0])
+        number = np.full(len(self.seen), -1)
+        number[stay] = np.arange(len(stay))
+        self.place = {u: int(number[i]) for u, i in self.place.items() if number[i] >= 0}
+        self.store, self.seen = self.store.only(stay), self.seen[stay] // 2
 
     def align(self, lists_a: list[list[int]], lists_b: list[list[int]]) -> Aligned:
         """The groups of texts with tokens, whose bytes are the same on both sides; offsets run on from text to text."""
@@ -141,20 +151,24 @@ class Aligner:
         return out
 
     def places(self, units: list[str]) -> np.ndarray:
-        """Where the store has ' word' (given without its blank) or '\nword'; units that it lacks are aligned together."""
-        if len(self.place) + len(units) > CACHED + len(units) // 2:
-            self.reset()
-        new = [u for u in units if u not in self.place]
-        if new:
+        """Where the store has ' word' (given without its blank) or '\\nword'; units that it lacks are aligned BLOCK at a time."""
+        if len(self.place) > CACHED:
+            self.keep(CACHED // 2)
+        lacking = [u for u in units if u not in self.place]
+        for at in range(0, len(lacking), BLOCK):
+            new = lacking[at:at + BLOCK]
             lists_a = [self.a.unit_ids(u) for u in new]
             lists_b = self.b.encode(new, num_threads=1)  # before each unit B puts its blank, which a line's beginning hasn't
             lists_b = [ids[1:] if u[0] == "\n" else ids for u, ids in zip(new, lists_b, strict=True)]
             raw = "".join([u if u[0] == "\n" else " " + u for u in new]).encode()
             if not b"".join([self.bytes_a[i] for ids in lists_a for i in ids]) == b"".join([self.bytes_b[i] for ids in lists_b for i in ids]) == raw:
                 raise ValueError("bytes of units differ")
-            self.place |= {u: len(self.place) + i for i, u in enumerate(new)}
+            self.place |= zip(new, range(len(self.place), len(self.place) + len(new)))
             self.store = self.store.joined(self.align(lists_a, lists_b))
-        return np.fromiter(map(self.place.__getitem__, units), "i8", len(units))
+        found = np.fromiter(map(self.place.__getitem__, units), "i8", len(units))
+        self.seen = np.concatenate([self.seen, np.zeros(len(self.place) - len(self.seen), "i8")])
+        self.seen[found] += 1
+        return found
 
     def digests(self, known: Aligned, code: np.ndarray, ends: np.ndarray) -> list[str]:
         """sha256 of each document's groups as text; document i has the units code[ends[i]:ends[i + 1]]."""
@@ -213,7 +227,7 @@ def aligned_rows(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """Each document's counts, digest and distinct linked pairs. ``docs``: rid, doc_id, text."""
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = opened(Aligner, paths)
-        for part in slices(batches):
+        for part in slices(batches, size=BYTES):
             texts = part.column("text")
             unsure = pc.match_substring_regex(texts, f"{UNSURE}|{BLANK}")
             units = pc.split_pattern(pc.replace_substring(pc.if_else(unsure, pa.scalar(""), texts), "\n", " \n"), " ")

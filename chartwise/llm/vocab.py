@@ -55,14 +55,14 @@ def id_dtype(path: str) -> str:
     return "<u2" if load(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that a slice holds about SLICE_BYTES of text (or one long text)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a slice holds about ``size`` bytes of text (or one long text)."""
     for batch in batches:
         ends = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype("i8"))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(at, to - at)
             at = to
 
@@ -94,6 +94,7 @@ class UnitIds:
         self.dtype = id_dtype(path)
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def unit_ids(self, unit: str) -> list[int]:
         line = unit[0] == "\n"
@@ -109,14 +110,17 @@ class UnitIds:
         return self.newline + ids if line else ids
 
     def _of(self, units: list[str]) -> list[bytes]:
-        out, cache = [], self.cache
-        if len(cache) > CACHED_UNITS:
-            cache.clear()
-            cache[""] = b""
+        out = []
+        if len(self.cache) > CACHED_UNITS // 2:  # units that come again are taken over
+            self.older, self.cache = self.cache, {"": b""}
+        cache, older = self.cache, self.older
         for unit in units:
             ids = cache.get(unit)
             if ids is None:
-                ids = cache[unit] = np.array(self.unit_ids(unit), dtype=self.dtype).tobytes()
+                ids = older.get(unit)
+                if ids is None:
+                    ids = np.array(self.unit_ids(unit), dtype=self.dtype).tobytes()
+                cache[unit] = ids
             out.append(ids)
         return out
 

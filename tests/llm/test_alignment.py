@@ -108,8 +108,23 @@ def test_large_slices_and_long_texts_are_the_same(monkeypatch):
     sums.append(alignment.summed(large.pairs, large.times))
     assert [x.tolist() for x in sums[0]] == [x.tolist() for x in sums[1]]
     assert small.counts.tolist() == large.counts.tolist() and small.labels.tolist() == large.labels.tolist()
-    code = aligner.places([rng.choice(["a", "word", "naïve", "\nx"]) for _ in range(300)])
+    code = aligner.places(["a", "word", "naïve", "\nx"])[np.array([rng.randrange(4) for _ in range(300)])]
     ends = [0, 5, 5 + 250, 300]
     want = aligner.digests(aligner.store, code, np.array(ends))
     monkeypatch.setattr(alignment, "TEXT_LABELS", 16)
     assert aligner.digests(aligner.store, code, np.array(ends)) == want
+
+
+def test_a_store_that_forgets_gives_the_same(monkeypatch):
+    rng = random.Random(4)
+    aligner, small = alignment.Aligner((A, B)), alignment.Aligner((A, B))
+    for turn in range(12):
+        units = list({"".join(rng.choice("abcdeé\U0001F642") for _ in range(rng.randrange(1, 4))) for _ in range(60)}) + ["", "\nab"]
+        monkeypatch.setattr(alignment, "CACHED", 10 ** 6)
+        places = aligner.places(units)
+        want = aligner.store.only(places)
+        monkeypatch.setattr(alignment, "CACHED", 100)
+        monkeypatch.setattr(alignment, "BLOCK", 7)
+        places = small.places(units)
+        assert all(np.array_equal(x, y) for x, y in zip(small.store.only(places), want, strict=True))
+        assert len(small.place) == len(small.store.counts) == len(small.seen) <= 200
