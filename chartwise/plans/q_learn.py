@@ -9,6 +9,7 @@ from chartwise.functions.columns import fround
 from chartwise.operators.encode import standardize
 from chartwise.operators.learn import (assign_centres, classification_metrics, cluster_profile, knn_exact,
                                        linear_attribution, roc_auc, smote)
+from chartwise.operators.permutation import permutation_importance
 from chartwise.operators.scoring import LINEAR_WEIGHTS, linear_score
 from chartwise.plans import views
 from chartwise.plans.oracle_views import with_views
@@ -148,3 +149,30 @@ def q_cluster_profile(spark, sf):
 def q_linear_attribution(spark, sf):
     """Exact attribution of the linear score: mean |w (x - mean)| and mean signed term per feature."""
     return linear_attribution(views.facts(spark, sf), LINEAR_WEIGHTS)
+
+
+#: Features whose values the permutation query moves.
+MOVED = list(LINEAR_WEIGHTS)[:4]
+
+
+def _permutation_sql():
+    def score(moved):
+        terms = " + ".join(f"{w!r}::DOUBLE * coalesce({'b' if f == moved else 'a'}.{f}, 0.0)" for f, w in LINEAR_WEIGHTS.items())
+        return f"greatest(0.02, least(0.96, 0.15::DOUBLE + {terms}))"
+
+    def auc(moved):
+        rows = f"r a JOIN r b ON b.i = (a.i + 1 + CAST(floor({u_sql(42, chr(39) + 'shift' + chr(39), chr(39) + moved + chr(39))} * (a.n - 1)) AS BIGINT)) % a.n" if moved else "r a"
+        return f"""(SELECT round_even(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 6) FROM (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+  FROM (SELECT s, count(*) FILTER (WHERE charted = 1) AS pos, count(*) FILTER (WHERE charted = 0) AS neg FROM (SELECT {score(moved)} AS s, a.charted FROM {rows}) GROUP BY s)))"""
+    parts = " UNION ALL ".join(f"SELECT '{f}' AS feature, {auc(f)} AS auc" for f in MOVED)
+    return with_views(["facts"], f"SELECT feature, auc, base_auc, round_even(base_auc - auc, 6) AS auc_drop FROM ({parts}), (SELECT {auc(None)} AS base_auc)",
+                      extra_ctes=f"r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {u_sql(42, 'track_id')}, track_id) - 1 AS i, count(*) OVER () AS n FROM facts)")
+
+
+@register("permutation_linear", _permutation_sql())
+def q_permutation_linear(spark, sf):
+    """Permutation importance of the linear score: AUC drop for each of four features whose values change places."""
+    rest = [f for f in LINEAR_WEIGHTS if f not in MOVED]
+    f = views.facts(spark, sf).select("track_id", "charted", *LINEAR_WEIGHTS)
+    drops = permutation_importance(linear_score, f, MOVED, "track_id", "charted", keep=rest)
+    return drops.withColumn("auc_drop", fround("auc_drop", 6))

@@ -11,9 +11,10 @@ from chartwise.functions.columns import fround
 from chartwise.operators.encode import MEDIAN_FILL, standardize
 from chartwise.operators.iterative import assign_pass, kmeans, lloyd, logistic_newton, on_grid, profile_by_size
 from chartwise.operators.learn import assign_centres, roc_auc
-from chartwise.operators.models import (Training, evaluate, importances, load_scorer,
-                                        permutation_importance, score, sparse_input)
-from chartwise.operators.preparation import Preparation
+from chartwise.operators.models import KINDS, Training, evaluate, importances, load_scorer, score, sparse_input
+from chartwise.operators.permutation import permutation_importance
+from chartwise.operators.preparation import TARGET, Preparation
+from chartwise.operators.reports import report_numbers
 from chartwise.operators.split import sample_n
 from chartwise.plans import views
 from chartwise.plans.oracle_views import with_views
@@ -21,6 +22,7 @@ from chartwise.plans.q_encode import CLUSTER_FEATS
 from chartwise.plans.q_ingest import u_sql
 from chartwise.plans.registry import register
 from chartwise.session import scratch_dir
+from chartwise.sources.files import read_report, write_report
 
 # Fixed values that must equal the reference's: the sizes of its forest and of its boosted trees.
 PARAMS = {"rf": {"numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 2},
@@ -109,7 +111,27 @@ def q_importance_rank(spark, sf):
 def q_permutation_importance(spark, sf):
     """Validation AUC drop per permuted feature for the random forest."""
     t = trained(spark, sf)
-    return permutation_importance(t.model("rf"), t.split.filter(F.col("split") == "val").drop("split"), t.feats)
+    held = t.split.filter(F.col("split") == "val").drop("split")
+    return permutation_importance(lambda df: score(t.model("rf"), df), held, t.feats, "row_key", TARGET)
+
+
+@register("model_results")
+def q_model_results(spark, sf):
+    """Both models' sizes, val and test metrics, confusion matrices and importances as one JSON document, read back."""
+    t = trained(spark, sf)
+    t.fit_all()
+    held = t.split.filter(F.col("split").isin("val", "test"))
+    sections = {}
+    for kind in KINDS:
+        sections[f"{kind}.metrics"] = evaluate(t.model(kind), held, group=["split"])
+        sections[f"{kind}.importances"] = spark.createDataFrame([(f, float(v)) for f, v in importances(t.model(kind), t.feats)], "feature string, importance double")
+    sections["split"] = t.split.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg(TARGET).alias("charted_rate"))
+    path = scratch_dir(spark, "model-results")
+    write_report(sections, path)
+    layout = {"split": ("split", ["n", "charted_rate"])}
+    for kind in KINDS:
+        layout |= {f"{kind}.metrics": ("split", ["tn", "fp", "fn", "tp", "accuracy", "precision", "recall", "f1", "auc"]), f"{kind}.importances": ("feature", ["importance"])}
+    return report_numbers(read_report(spark, path), layout)
 
 
 @register("batch_score")

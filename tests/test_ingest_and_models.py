@@ -9,12 +9,14 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartwise.functions.columns import uniform
 from chartwise.operators.encode import label_encode
 from chartwise.operators.graph import bfs_expand
 from chartwise.operators.ingest import incremental_append, keep_first
 from chartwise.operators.joins import hot_key_join
 from chartwise.operators.learn import roc_auc, smote
-from chartwise.operators.models import Training, load_scorer, permutation_importance, row_numbers
+from chartwise.operators.models import Training, evaluate, load_scorer, score
+from chartwise.operators.permutation import permutation_importance, permuted, row_numbers, runs, shift_of
 from chartwise.operators.preparation import Preparation, read_meta
 from chartwise.plans import ORACLES, QUERIES, views
 from chartwise.session import scratch_dir
@@ -134,7 +136,7 @@ def test_training_saves_the_chosen_model(spark):
     scored = scorer(t)
     assert scored.count() == t.count() and scored.filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
     held = run.split.filter("split = 'val'").drop("split")
-    drops = permutation_importance(run.model("rf"), held, run.feats)
+    drops = permutation_importance(lambda df: score(run.model("rf"), df), held, run.feats, "row_key", "charted")
     assert {r["feature"] for r in drops.collect()} == set(run.feats)
     for oversample in (True,):
         assert run.model("gbt", oversample).stages[-1].getNumTrees == 3
@@ -146,15 +148,80 @@ def test_saved_metadata_tell_fitted_rows_from_the_split(spark, fit_rows):
     path = scratch_dir(spark, "saved")
     run.save(path)
     meta, _ = load_scorer(spark, path)
-    assert meta["fit_rows"] == fit_rows and meta["n_fit"] == (fit_rows or meta["n_train"]) <= meta["n_train"]
-    p = run.train.agg(F.sum("charted")).first()[0]
-    assert meta["charted_rate_fit"] == round(p / meta["n_fit"], 4)
+    counts = {r["charted"]: r["count"] for r in run.train.groupBy("charted").count().collect()}
+    taken = {c: min(n, fit_rows or n) for c, n in counts.items()}
+    assert meta["fit_rows"] == fit_rows and meta["n_fit"] == sum(taken.values()) <= meta["n_train"]
+    assert meta["charted_rate_fit"] == round(taken[1] / meta["n_fit"], 4)
+
+
+def labelled(spark, n=3000):
+    """Prepared-looking tracks whose label depends on two features; some 6 % positive."""
+    t = views.tracks(spark, SF_SMALL, round_to=True)
+    grown = t.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(1 + n // max(1, t.count()))))).withColumn("track_id", F.concat_ws("-", "track_id", "_c")).drop("_c")
+    u = uniform(3, F.lit("e"), F.col("track_id"))
+    return (grown.withColumn("energy", F.round(u, 6)).withColumn("valence", F.round(uniform(3, F.lit("v"), F.col("track_id")), 6))
+            .withColumn("charted", (F.col("energy") * 0.7 + F.col("valence") * 0.3 > 0.85).cast("int")))
+
+
+def test_fitted_models_beat_chance_and_repeat(spark):
+    small = {"rf": {"numTrees": 12, "maxDepth": 6}, "gbt": {"maxIter": 8, "maxDepth": 3}}
+    t = labelled(spark).checkpoint()
+    first, again = Training(t, small, fit_rows=300), Training(t.repartition(5), small, fit_rows=300)
+    held = first.split.filter("split = 'test'")
+    for kind in ("rf", "gbt"):
+        auc = evaluate(first.model(kind), held).first()["auc"]
+        assert auc > 0.9
+        a, b = (sorted((r["row_key"], round(r["score"], 9)) for r in score(run.model(kind), run.split.filter("split = 'test'")).select("row_key", "score").collect()) for run in (first, again))
+        assert [k for k, _ in a] == [k for k, _ in b]
+        assert evaluate(again.model(kind), again.split.filter("split = 'test'")).first()["auc"] == pytest.approx(auc, abs=0.05)
+
+
+def test_oversampling_draws_from_all_positive_train_rows(spark):
+    run = Training(labelled(spark, 1500).checkpoint(), {"rf": {"numTrees": 2, "maxDepth": 2}}, fit_rows=None)
+    rows = run.rows("rf", True)
+    counts = {r["charted"]: r["count"] for r in rows.groupBy("charted").count().collect()}
+    assert counts[0] == counts[1] == run.counts[0]
+    assert rows.filter("charted = 1 AND row_key IS NOT NULL").count() == run.counts[1]
+    bounded = Training(labelled(spark, 1500).checkpoint(), {}, fit_rows=200)
+    taken = {r["charted"]: r["count"] for r in bounded.rows("rf", True).groupBy("charted").count().collect()}
+    assert taken == {0: 200, 1: 200}
+
+
+@pytest.mark.parametrize("width", [7, 50, 1000])
+def test_permuted_features_are_shifts_of_the_hash_order(spark, width):
+    n = 123
+    df = spark.createDataFrame([(i, i % 2, float(i), None if i % 10 == 0 else -float(i)) for i in range(n)], "id long, y int, a double, b double").repartition(4)
+    order = [r["id"] for r in df.orderBy(uniform(42, F.col("id")), "id").collect()]
+    got = {}
+    for r in permuted(df, ["a", "b"], "id", width=width).collect():
+        got[r["_f"], r["id"]] = (r["a"], r["b"])
+    assert len(got) == 3 * n
+    own = {i: (float(i), None if i % 10 == 0 else -float(i)) for i in range(n)}
+    for k, f in enumerate("ab"):
+        shift = shift_of(f, n, 42)
+        assert 0 < shift < n
+        for at, i in enumerate(order):
+            source = order[(at + shift) % n]
+            assert got[k, i] == tuple(own[source if j == k else i][j] for j in range(2))
+            assert got[-1, i] == own[i]
+
+
+def test_runs_cover_every_row_once():
+    for n, width, shift in [(10, 3, 4), (10, 10, 9), (1, 5, 0), (25, 4, 24)]:
+        goes = {}
+        for first in range(0, n, width):
+            size = min(width, n - first)
+            for to, place, a, b in runs(first, size, shift, n, width):
+                for j in range(a, b):
+                    goes[first + j] = to * width + place + j - a
+        assert goes == {j: (j - shift) % n for j in range(n)}
 
 
 def test_rows_are_numbered_in_order(spark):
     df = spark.createDataFrame([(f"k{(i * 37) % 101:03d}",) for i in range(101)], "k string").repartition(5)
+    order = [r["k"] for r in df.orderBy(uniform(42, F.col("k")), "k").collect()]
     out, n = row_numbers(df, "k")
-    assert n == 101 and sorted((r["_i"], r["k"]) for r in out.collect()) == [(i, f"k{i:03d}") for i in range(101)]
+    assert n == 101 and sorted((r["_i"], r["k"]) for r in out.collect()) == list(enumerate(order))
 
 
 def test_no_query_with_an_oracle_is_empty():
