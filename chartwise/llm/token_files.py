@@ -25,33 +25,38 @@ from chartwise.llm.vocab import UnitIds, id_dtype, load, opened, slices, with_en
 #: Ids of a block (unless one document is longer), ids between bit offsets, ids of a file, most bits of a code.
 BLOCK, EVERY, FILE, BITS = 65_536, 256, 8_000_000, 16
 
+ROWS = "doc_id long, n_ids long, ids binary, counts binary"
+
 BLOCKS = "file long, block long, first_id long, n_ids long, n_docs long, doc_ids binary, null_ids long, n_tokens binary, bits binary, marks binary"
 
 
-def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, n_ids, ids (little-endian, two bytes each where the vocabulary allows)."""
+def encoded(docs: DataFrame, path: str, end_id: int, n_symbols: int) -> DataFrame:
+    """doc_id, n_ids, ids (little-endian, two bytes each where the vocabulary allows); the first row of each slice of texts
+    also has ``counts``: how often the slice has each id (little-endian uint32)."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit_ids = opened(UnitIds, path)
         for part in slices(batches):
             first, ids = with_end(*unit_ids.encode(part.column("text")), end_id)
             raw, size = ids.tobytes(), ids.itemsize
+            counts = [np.bincount(ids, minlength=n_symbols).astype("<u4").tobytes()] + [None] * (part.num_rows - 1)
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_ids": pa.array(np.diff(first), pa.int64()),
-                                              "ids": pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((first * size).astype("i4")), pa.py_buffer(raw)])})
+                                              "ids": pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((first * size).astype("i4")), pa.py_buffer(raw)]),
+                                              "counts": pa.array(counts, pa.binary())})
 
-    return docs.mapInArrow(encode, "doc_id long, n_ids long, ids binary")
+    return docs.mapInArrow(encode, ROWS)
 
 
-def id_counts(rows: DataFrame, n_symbols: int, dtype: str) -> np.ndarray:
+def id_counts(rows: DataFrame, n_symbols: int) -> np.ndarray:
     """Counts of all ids; at most a row for each id of the vocabulary comes to the driver."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(n_symbols, dtype="i8")
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                n += np.bincount(np.frombuffer(b"".join(batch.column("ids").slice(at, 1000).to_pylist()), dtype=dtype), minlength=n_symbols)
+            for counts in batch.column("counts"):
+                n += np.frombuffer(counts.as_py(), dtype="<u4")
         seen = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"id": pa.array(seen, pa.int64()), "n": pa.array(n[seen], pa.int64())})
 
-    found = rows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.select("counts").filter("counts IS NOT NULL").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(n_symbols, dtype="i8")
     counts[found["id"].to_numpy("i8")] = found["n"].to_numpy("i8")
     return counts
@@ -66,10 +71,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     spark = docs.sparkSession
     n_symbols, dtype = max(load(tokenizer_path).get_vocab_size(), end_id + 1), id_dtype(tokenizer_path)
     flat = scratch(spark, "token-ids")
-    encoded(doc_columns(docs, id_col, text_col), tokenizer_path, end_id).write.option("compression", "zstd").parquet(flat)
-    rows = spark.read.schema("doc_id long, n_ids long, ids binary").parquet(flat)
+    encoded(doc_columns(docs, id_col, text_col), tokenizer_path, end_id, n_symbols).write.option("compression", "zstd").parquet(flat)
+    rows = spark.read.schema(ROWS).parquet(flat)
     total = rows.agg(F.sum("n_ids")).first()[0] or 0
-    lengths = code_lengths(id_counts(rows, n_symbols, dtype), max(BITS, (n_symbols - 1).bit_length()))
+    lengths = code_lengths(id_counts(rows, n_symbols), max(BITS, (n_symbols - 1).bit_length()))
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").write.parquet(f"{folder}/code")
     code = spark.sparkContext.broadcast(lengths)
     n_files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE))
@@ -100,7 +105,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             yield closed()
 
     # every task of this exchange is a file, in the order of the ids
-    (rows.repartitionByRange(n_files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    (rows.select("doc_id", "n_ids", "ids").repartitionByRange(n_files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
      .mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{folder}/ids"))
     discard(spark, flat)
 

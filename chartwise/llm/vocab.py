@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once, and units kept by a worker. They bound memory and never change a result.
-SLICE_BYTES, CACHED_UNITS = 8 << 20, 600_000
+SLICE_BYTES, CACHED_UNITS = 8 << 20, 1_200_000
 
 #: Where a byte-level text isn't certain to be cut at single blanks and line ends: other white space, two in
 #: a row, white space at an end, or the beginning of a special string.
@@ -78,9 +78,12 @@ def byte_letters() -> dict[int, str]:
 LETTERS = byte_letters()
 
 
+MARKS = ".,;:!?"
+
+
 def plain_word(word: str) -> tuple[str, str] | None:
     """(letters, mark) if the word is Latin-1 letters with at most one closing mark, else None."""
-    mark = word[-1:] if word[-1:] in ".,;:!?" else ""
+    mark = word[-1:] if word[-1:] in MARKS else ""
     core = word[:-1] if mark else word
     return (core, mark) if core.isalpha() and (core.isascii() or max(core) <= "\xff") else None
 
@@ -95,6 +98,7 @@ class UnitIds:
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.marks = {mark: [t.id for t in self.model.tokenize(mark)] for mark in MARKS}
 
     def unit_ids(self, unit: str) -> list[int]:
         line = unit[0] == "\n"
@@ -104,7 +108,7 @@ class UnitIds:
             raw = core.encode().decode("latin-1").translate(LETTERS)
             ids = [t.id for t in self.model.tokenize(raw if line else LETTERS[32] + raw)]
             if mark:
-                ids += [t.id for t in self.model.tokenize(mark)]
+                ids += self.marks[mark]
         else:
             ids = self.tokenizer.encode(word if line else " " + word, add_special_tokens=False).ids
         return self.newline + ids if line else ids
