@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from chartwise.llm.common import doc_columns
 from chartwise.llm.vocab import CACHED_UNITS, LETTERS, load, opened, plain_word, slices
 
+#: Bytes of a pre-token that a summary may hold: with the entries they bound it in bytes. Longer ones are rare, and misses.
+LONGEST = 64
+
 #: Summaries that one merge takes, and merges above one another: FAN_IN ** LEVELS partitions.
 FAN_IN, LEVELS = 32, 4
 
@@ -66,13 +69,14 @@ def unpacked(blob: bytes) -> tuple[pa.Array, np.ndarray]:
 
 
 def frequent(docs: DataFrame, size: int) -> pa.Array:
-    """At most ``size`` pre-tokens, every one with over 1/size of all occurrences among them."""
+    """At most ``size`` pre-tokens of up to LONGEST bytes, every one with over 1/size of their occurrences among them."""
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = pa.array([], pa.string()), np.zeros(0, dtype="i8")
         for part in slices(batches):
             seen = runs(part.column("text")).flatten().dictionary_encode()
             n = np.bincount(seen.indices.to_numpy(zero_copy_only=False), minlength=len(seen.dictionary))
-            words, counts = summed([(words, counts), (seen.dictionary, n)], size)
+            short = pc.less_equal(pc.binary_length(seen.dictionary), LONGEST)
+            words, counts = summed([(words, counts), (seen.dictionary.filter(short), n[short.to_numpy(zero_copy_only=False)])], size)
         yield pa.RecordBatch.from_pydict({"place": pa.array([TaskContext.get().partitionId()], pa.int64()), "blob": pa.array([packed(words, counts)], pa.binary())})
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
