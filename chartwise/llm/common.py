@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartwise.session import ensure_checkpoint_dir
@@ -48,12 +48,26 @@ def _clear() -> None:
             return
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def aside(docs: DataFrame, **own: Column) -> DataFrame:
+    """``docs`` with all its columns packed into one, ``row``, beside an operator's own, so that no names clash."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in own.items()])
+
+
+def back(packed: DataFrame, columns: list[str], **results: Column) -> DataFrame:
+    """The columns that :func:`aside` packed and the results, which take the place of columns of the same name."""
+    return packed.select(*[F.col("row").getField(c).alias(c) for c in columns if c not in results], *[c.alias(n) for n, c in results.items()])
+
+
 def doc_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the whole text (null: empty), under names of our own."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-
 def id_key(id_col: str):
     """The id as a long that is never null."""
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))

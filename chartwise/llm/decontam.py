@@ -14,7 +14,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartwise.llm.common import id_key, land
+from chartwise.llm.common import aside, back, id_key, land, quoted
 from chartwise.llm.native import let, steps, words
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -51,53 +51,66 @@ def item_windows(items: DataFrame, width: int, item_col: str, text_col: str) ->
 
 def found_shingles(docs: DataFrame, sizes: list[int], keys: list[str]) -> DataFrame:
     """(keys..., n_words, h, start): all shingles of the sizes that windows have."""
-    parsed = docs.withColumn("__w", words(F.col("__text"), SEPARATORS))
-    lists = [shingles(F.col("__w"), size) for size in sizes]
-    hashed = parsed.select(*keys, F.size("__w").alias("n_words"), (F.concat(*lists) if len(lists) > 1 else lists[0]).alias("__h"))
+    parsed = docs.select(*keys, words(F.col("text"), SEPARATORS).alias("w"))
+    lists = [shingles(F.col("w"), size) for size in sizes]
+    hashed = parsed.select(*keys, F.size("w").alias("n_words"), (F.concat(*lists) if len(lists) > 1 else lists[0]).alias("hashes"))
     start, before = F.col("pos"), F.lit(0)
     for size in sizes:  # the lists follow one another
         start = F.when(F.col("pos") >= before, F.col("pos") - before).otherwise(start)
         before = before + F.greatest(F.col("n_words") - (size - 1), F.lit(0))
-    return hashed.select(*keys, "n_words", F.posexplode("__h").alias("pos", "h")).select(*keys, "n_words", "h", start.alias("start"))
+    return hashed.select(*keys, "n_words", F.posexplode("hashes").alias("pos", "h")).select(*keys, "n_words", "h", start.alias("start"))
 
 
-def hits(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``docs`` with ``__n_words``, ``__n_hit`` and ``__windows`` (the distinct windows found); and (item, window).
-
-    ``__n_hit`` counts the words inside any occurrence of an item's window. Null and empty texts have no words.
-    Rows that repeat an id are judged by their own texts, null ids like others; a null item id is named by the
-    empty string; empty tables give an empty result, or one without hits; other columns pass through.
-    """
-    docs = docs.withColumn("__doc", id_key(id_col)).withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("__row", F.xxhash64("__text"))
-    keys = ["__doc", "__row"]
+def matched(wide: DataFrame, items: DataFrame, width: int, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``wide`` (doc, own, text and others) with n_words, n_hit and windows; and (item, window). ``doc`` and ``own`` (of
+    the text) tell rows with different results apart."""
+    keys = ["doc", "own"]
     windows = land(item_windows(items, width, item_col, item_text_col), "windows")
     distinct = windows.select("window", "n").distinct()
     sizes = sorted({min(SHINGLE, r["n"]) for r in distinct.select("n").distinct().collect()}, reverse=True) or [SHINGLE]  # at most `width` numbers
     parts = [distinct.filter(F.least("n", F.lit(SHINGLE)) == size).select("window", "n", F.posexplode(shingles(F.split("window", " "), size)).alias("offset", "h")) for size in sizes]
     tokens = land(functools.reduce(DataFrame.unionByName, parts), "window-shingles")
-    counts = land(found_shingles(docs.select("__text"), sizes, []).join(small(tokens.select("h").distinct()), "h").groupBy("h").agg(F.count(F.lit(1)).alias("df")), "shingle-counts")
+    counts = land(found_shingles(wide.select("text"), sizes, []).join(small(tokens.select("h").distinct()), "h").groupBy("h").agg(F.count(F.lit(1)).alias("df")), "shingle-counts")
     # a shingle that no document holds is the rarest, and its windows can't occur
     rarest = tokens.join(counts, "h", "left").groupBy("window", "n").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "offset")).alias("p"))
     prefixes = land(rarest.filter("p.df > 0").select("window", "n", F.col("p.h").alias("h"), F.col("p.offset").alias("offset")), "prefixes")
-    met = (found_shingles(docs.select(*keys, "__text"), sizes, keys).join(small(prefixes), "h")
+    met = (found_shingles(wide.select(*keys, "text"), sizes, keys).join(small(prefixes), "h")
            .withColumn("at", F.col("start") - F.col("offset")).filter("at >= 0 AND at + n <= n_words"))
-    candidates = met.groupBy(*keys).agg(F.collect_set(F.struct("at", "n", "window")).alias("__cand"))
-    verified = let(exact_words(F.col("__text")), lambda w: F.filter(F.col("__cand"), lambda c: F.array_join(F.slice(w, c["at"] + 1, c["n"]), " ") == c["window"]))
-    found = (docs.join(candidates, keys, "left").withColumn("__hits", F.when(F.col("__cand").isNotNull(), verified))
-             .withColumn("__n_words", F.size(words(F.col("__text"), SEPARATORS)).cast("long")))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("__hits", lambda c: F.sequence(c["at"], c["at"] + c["n"] - 1)))))
-    n_hit = F.when(F.col("__hits").isNull(), 0).otherwise(covered).cast("long")
-    return found.withColumn("__n_hit", n_hit).withColumn("__windows", F.array_distinct(F.transform("__hits", lambda c: c["window"]))).drop("__cand", "__hits", "__text"), windows
+    candidates = met.groupBy(*keys).agg(F.collect_set(F.struct("at", "n", "window")).alias("cand"))
+    verified = let(exact_words(F.col("text")), lambda w: F.filter(F.col("cand"), lambda c: F.array_join(F.slice(w, c["at"] + 1, c["n"]), " ") == c["window"]))
+    found = (wide.join(candidates, keys, "left").withColumn("hits", F.when(F.col("cand").isNotNull(), verified))
+             .withColumn("n_words", F.size(words(F.col("text"), SEPARATORS)).cast("long")))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["at"], c["at"] + c["n"] - 1)))))
+    n_hit = F.when(F.col("hits").isNull(), 0).otherwise(covered).cast("long")
+    return found.withColumn("n_hit", n_hit).withColumn("windows", F.array_distinct(F.transform("hits", lambda c: c["window"]))).drop("cand", "hits", "text"), windows
+
+
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    return aside(docs, doc=id_key(id_col), own=F.xxhash64(text), text=text)
+
+
+def hits(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``__n_words``, ``__n_hit`` and ``__windows`` (the distinct windows found); and (item, window).
+
+    ``__n_hit`` counts the words inside any occurrence of an item's window. Null and empty texts have no words.
+    Rows that repeat an id are judged by their own texts, null ids like others; a null item id is named by the
+    empty string; empty tables give an empty result, or one without hits; other columns, whatever their names, pass
+    through (those named as the results are replaced). Very long texts are cut whole.
+    """
+    found, windows = matched(rows_of(docs, id_col, text_col), items, width, item_col, item_text_col)
+    return back(found, docs.columns, __n_words=F.col("n_words"), __n_hit=F.col("n_hit"), __windows=F.col("windows")), windows
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", **item_columns: str) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items (items with occurring windows), items_sha256 (of their
     ids, sorted as strings, comma-joined), contaminated. See :func:`hits` for odd rows."""
-    found, windows = hits(docs.select(id_col, text_col), items, width, id_col, text_col, **item_columns)
-    keys = ["__doc", "__row"]
-    narrow = land(found.select(*keys, F.col(id_col).alias("doc_id"), "__n_words", "__n_hit", "__windows"), "hits")
-    named = (narrow.select(*keys, F.explode("__windows").alias("window")).join(small(windows.select("window", "item")), "window")
-             .groupBy(*keys).agg(F.array_sort(F.collect_set("item")).alias("__items")))
-    items_of = F.coalesce("__items", F.array().cast("array<string>"))
-    return narrow.join(named, keys, "left").select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size(items_of).cast("long").alias("n_items"),
-                                                   F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"), (F.col("__n_hit") > 0).alias("contaminated"))
+    own = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
+    found, windows = matched(rows_of(own, "id", "text"), items, width, **{"item_col": "item_id", "item_text_col": "text", **item_columns})
+    keys = ["doc", "own"]
+    narrow = land(found.select(*keys, F.col("row").getField("id").alias("doc_id"), "n_words", "n_hit", "windows"), "hits")
+    named = (narrow.select(*keys, F.explode("windows").alias("window")).join(small(windows.select("window", "item")), "window")
+             .groupBy(*keys).agg(F.array_sort(F.collect_set("item")).alias("items")))
+    items_of = F.coalesce("items", F.array().cast("array<string>"))
+    return narrow.join(named, keys, "left").select("doc_id", "n_words", "n_hit", F.size(items_of).cast("long").alias("n_items"),
+                                                   F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chartwise.llm.common import id_key, land
+from chartwise.llm.common import aside, back, id_key, land, quoted
 from chartwise.llm.vocab import close
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -39,31 +39,36 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
 
     A key of at least ``min_chars`` code points that ``min_docs`` distinct documents hold stays only in the
     largest id among them, with all its lines there. Rows that repeat an id are one document for the count,
-    and each of them keeps its own row. A null id counts as one document smaller than all others; a null text
-    is one empty line; an empty table gives an empty one; other columns pass through.
+    and each of them keeps its own row. Null ids count together as one document smaller than all others, but every
+    row's lines are dropped by its own text; a null text is one empty line; an empty table gives an empty one; other columns,
+    whatever their names, pass through (those named as the results are replaced). Very long texts are split whole.
     """
-    docs = docs.withColumn("__doc", id_key(id_col))
+    columns = docs.columns
+    text = F.col(quoted(text_col)).cast("string")
+    # rows of one id with different texts are told apart: a null id may have any number of them
+    wide = aside(docs, doc=id_key(id_col), own=F.xxhash64(text), text=text)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         close()
         for batch in batches:
-            ids, found = [], []
-            for doc, text in zip(batch.column("__doc").to_pylist(), batch.column("__raw"), strict=True):
-                own = set(hashes((text.as_py() or b"").split(b"\n"), min_chars)) - {None}
-                ids.append(np.full(len(own), doc, dtype="i8"))
-                found += own
+            found, n = [], []
+            for raw in batch.column("raw"):
+                lines = set(hashes((raw.as_py() or b"").split(b"\n"), min_chars)) - {None}
+                n.append(len(lines))
+                found += lines
             both = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_pydict({"__doc": pa.array(np.concatenate(ids)), "h1": pa.array(both[:, 0].copy()), "h2": pa.array(both[:, 1].copy())})
+            rows = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_pydict({"doc": batch.column("doc").take(rows), "own": batch.column("own").take(rows), "h1": pa.array(both[:, 0].copy()), "h2": pa.array(both[:, 1].copy())})
 
-    held = land(docs.select("__doc", F.col(text_col).cast("string").cast("binary").alias("__raw")).mapInArrow(pairs, "__doc long, h1 long, h2 long"), "lines")
-    common = land(held.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("__doc").alias("keeper")).filter(F.col("n") >= min_docs).drop("n"), "common-lines")
-    dropped = (held.join(common, ["h1", "h2"]).filter("__doc != keeper").groupBy("__doc")
-               .agg(F.collect_set(F.struct("h1", "h2")).alias("__drop")))
+    held = land(wide.select("doc", "own", F.col("text").cast("binary").alias("raw")).mapInArrow(pairs, "doc long, own long, h1 long, h2 long"), "lines")
+    common = land(held.select("doc", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper")).filter(F.col("n") >= min_docs).drop("n"), "common-lines")
+    dropped = (held.join(common, ["h1", "h2"]).filter("doc != keeper").groupBy("doc", "own")
+               .agg(F.collect_set(F.struct("h1", "h2")).alias("drop")))  # at most a text's own lines
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
-            for text, drop in zip(batch.column(text_col).to_pylist(), batch.column("__drop"), strict=True):
+            for text, drop in zip(batch.column("text").to_pylist(), batch.column("drop"), strict=True):
                 text = text or ""
                 n = text.count("\n") + 1
                 if not drop.is_valid:
@@ -77,11 +82,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
                 texts.append(text)
                 n_lines.append(n)
                 n_dropped.append(n - kept)
-            rest = [(name, batch.column(name)) for name in batch.schema.names if name not in ("__doc", "__drop")]
-            yield pa.RecordBatch.from_arrays([c for _, c in rest] + [pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
-                                             names=[n for n, _ in rest] + ["__text", "__n_lines", "__n_dropped"])
-
-    own = [f for f in docs.schema if f.name != "__doc"]
-    shape = T.StructType(own + [T.StructField("__text", T.StringType()), T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
-    joined = docs.withColumn(text_col, F.col(text_col).cast("string")).join(dropped, "__doc", "left")
-    return joined.select("__doc", *[f.name for f in own], "__drop").mapInArrow(apply, shape)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
+                                             names=["row", "text", "n_lines", "n_dropped"])
+
+    shape = T.StructType([wide.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    done = wide.join(dropped, ["doc", "own"], "left").select("row", "text", "drop").mapInArrow(apply, shape)
+    return back(done, columns, __text=F.col("text"), __n_lines=F.col("n_lines"), __n_dropped=F.col("n_dropped"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartwise.llm.common import aside, back, quoted
 from chartwise.llm.native import BLANKS, let, n_of, words
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -51,20 +52,21 @@ def rate(docs: DataFrame, min_words: int = 20, max_repeat_pct: int = 30, width:
 
     base_failed: fewer than ``min_words`` words, or over ``max_repeat_pct`` % of them in repeated windows. kept:
     not base_failed, and at most ``max_lost_pct`` % of the words are in failing lines. A null text has no words
-    and fails; each row stands for itself, whatever its id; an empty table gives an empty one; other columns
-    pass through.
+    and fails; each row stands for itself, whatever its id; an empty table gives an empty one; other columns, whatever
+    their names, pass through (one named as the result is replaced). Very long texts are rated whole.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    parsed = docs.withColumn("__words", words(text, BLANKS)).withColumn("__lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    rated = F.transform("__lines", lambda x: let(words(x, BLANKS), lambda w: F.struct(x.alias("line"), F.size(w).alias("n"), line_fails(x, w).alias("bad"))))
-    measured = parsed.withColumn("__rated", rated).withColumn("__repeat", repeat_words(F.col("__words"), width))
-    n_words, repeat = F.size("__words").cast("long"), F.col("__repeat")
-    lost = F.aggregate(F.filter("__rated", lambda x: x["bad"]), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    whole = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    parsed = aside(docs, text=whole, words=words(whole, BLANKS), lines=lines)
+    rate_line = F.transform("lines", lambda x: let(words(x, BLANKS), lambda w: F.struct(x.alias("line"), F.size(w).alias("n"), line_fails(x, w).alias("bad"))))
+    measured = parsed.withColumn("rated", rate_line).withColumn("repeats", repeat_words(F.col("words"), width))
+    n_words, repeat, text = F.size("words").cast("long"), F.col("repeats"), F.col("text")
+    lost = F.aggregate(F.filter("rated", lambda x: x["bad"]), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
     base_failed = (n_words < min_words) | (repeat * 100 > n_words * max_repeat_pct)
     found = {
-        "n_words": n_words, "word_chars": F.length(F.concat_ws("", "__words")).cast("long"), "n_symbols": n_of(text, SYMBOLS).cast("long"),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"), "n_repeat_words": repeat, "base_failed": base_failed,
+        "n_words": n_words, "word_chars": F.length(F.concat_ws("", "words")).cast("long"), "n_symbols": n_of(text, SYMBOLS).cast("long"),
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"), "n_repeat_words": repeat, "base_failed": base_failed,
         "n_lost_words": lost, "kept": ~base_failed & (lost * 100 <= n_words * max_lost_pct),
-        "text": F.array_join(F.transform(F.filter("__rated", lambda x: ~x["bad"]), lambda x: x["line"]), "\n"),
+        "text": F.array_join(F.transform(F.filter("rated", lambda x: ~x["bad"]), lambda x: x["line"]), "\n"),
     }
-    return measured.withColumn("__q", F.struct(*[v.alias(k) for k, v in found.items()])).drop("__words", "__lines", "__rated", "__repeat")
+    return back(measured, docs.columns, __q=F.struct(*[v.alias(k) for k, v in found.items()]))

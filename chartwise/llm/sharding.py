@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chartwise.llm.common import aside, back, quoted
+
 
 def is_prime(n: int) -> bool:
     return n > 1 and all(n % k for k in range(2, int(n ** 0.5) + 1))
@@ -47,9 +49,9 @@ def fill(names: list[str], slots: int) -> np.ndarray:
 
 
 def place(rows: DataFrame, names: list[str], key_col: str, slots: int = 65_537) -> DataFrame:
-    """``rows`` with ``__slot`` and ``__shard`` (its name). Equal keys share a shard, null keys one as well; an empty
-    table gives an empty one; other columns pass through."""
+    """``rows`` with ``__slot`` and ``__shard`` (its name), in place of columns of those names. Equal keys share a shard,
+    null keys one as well; an empty table gives an empty one; other columns, whatever their names, pass through."""
     table = fill(names, slots)
-    lookup = rows.sparkSession.createDataFrame([(i, names[s]) for i, s in enumerate(table.tolist())], "__slot int, __shard string")
-    slot = F.pmod(F.xxhash64(F.col(key_col).cast("string")), F.lit(slots)).cast("int")
-    return rows.withColumn("__slot", slot).join(F.broadcast(lookup), "__slot").select(*rows.columns, "__slot", "__shard")
+    lookup = rows.sparkSession.createDataFrame([(i, names[s]) for i, s in enumerate(table.tolist())], "slot int, shard string")
+    placed = aside(rows, slot=F.pmod(F.xxhash64(F.col(quoted(key_col)).cast("string")), F.lit(slots)).cast("int"))
+    return back(placed.join(F.broadcast(lookup), "slot"), rows.columns, __slot=F.col("slot"), __shard=F.col("shard"))

@@ -13,7 +13,8 @@ def workers_find_the_package(spark):
 
 
 #: Columns that operators also use or return, which must be no matter in the input.
-CLASHES = ("n_tokens", "component_id", "fp", "h1", "start", "bin", "keeper", "window", "at", "words", "slot", "place")
+CLASHES = ("n_tokens", "component_id", "fp", "h1", "h2", "start", "bin", "keeper", "window", "windows", "at", "words", "slot", "place", "row", "doc", "own", "rid", "raw", "drop", "lines", "n_lines",
+           "n_words", "n_hit", "hits", "cand", "rated", "repeats", "score", "terms", "tfs", "pairs", "times", "a.b", "with blank", "__doc", "__text", "__row", "__rid", "__raw", "__drop", "__words", "__w")
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
                        T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), *[T.StructField(c, T.StringType()) for c in CLASHES]])

@@ -236,3 +236,27 @@ def test_operators_read_only_what_they_need(odd):
     assert simhash.near_duplicates(odd).columns == ["doc_id", "fingerprint", "component_id"]
     assert "Python" not in quality.rate(odd).select("__q.kept")._jdf.queryExecution().toString()
     assert odd.select(F.count("*")).first()[0] > 50
+
+
+RESULTS = {"__text", "__n_lines", "__n_dropped", "__n_words", "__n_hit", "__windows", "__q", "__score"}
+
+
+def test_other_columns_pass_whatever_their_names(spark, odd, make):
+    from chartwise.llm import toxicity
+    docs = odd.withColumn("__score", F.lit("old")).withColumn("__q", F.lit("old")).withColumn("__n_hit", F.lit("old"))
+    items = spark.createDataFrame([(1, "this very line is shared by many documents")], "item_id long, text string")
+    rest = [c for c in docs.columns if c not in RESULTS]
+    want = Counter(map(tuple, docs.select(*[f"`{c}`" for c in rest]).collect()))
+    model = toxicity.fit(["you are a scoundrel " * 9] * 5, ["the line of the day " * 9] * 5)
+    for out, own in [(line_dedup.dedup_lines(docs), ["__text", "__n_lines", "__n_dropped"]), (decontam.hits(docs, items)[0], ["__n_words", "__n_hit", "__windows"]),
+                     (quality.rate(docs), ["__q"]), (toxicity.score(docs, model), ["__score"])]:
+        assert out.columns == [c for c in docs.columns if c not in own] + own
+        assert Counter(map(tuple, out.select(*[f"`{c}`" for c in rest if c not in own]).collect())) == (want if not set(own) & set(rest) else Counter(map(tuple, docs.select(*[f"`{c}`" for c in rest if c not in own]).collect())))
+
+
+def test_a_third_of_all_ids_null(spark, make):
+    rng = random.Random(6)
+    shared = [f"a shared line of some length, number {i}" for i in range(12)]
+    rows = [(None if k % 3 == 0 else k, "\n".join([rng.choice(shared) for _ in range(4)] + [f"its own line, which is long enough {k % 40}"])) for k in range(120)]
+    got = Counter((r["doc_id"], r["__n_lines"], r["__n_dropped"], r["__text"]) for r in line_dedup.dedup_lines(make(spark, rows, 5)).collect())
+    assert got == lines_by_hand(rows)
