@@ -1,10 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text, an ordinary and a toxic one. Each window of a text is
-compressed with both; the bytes that the toxic dictionary saves are its distance, and a text's distances
-are turned into a score by thresholds calibrated on labelled texts that no dictionary has seen. The toxic
-dictionary is the trained toxic content in front of the ordinary content, so that windows without toxic content
-are parsed alike and differ by nothing; it is trained anew on the windows that stand out, ROUNDS times.
+Two zstandard dictionaries are trained on labelled text, one on ordinary windows and one on toxic passages: the runs of
+GRAM-byte strings that toxic texts have far more often than ordinary ones. Each window of a text is compressed with
+both; the bytes that the toxic dictionary saves are its distance, and a text's distances are turned into a score by
+thresholds calibrated on labelled texts that no dictionary has seen. When the toxic dictionary is used, its content stands in
+front of the ordinary one, so that windows without toxic content are parsed alike and differ by nothing.
 """
 
 from __future__ import annotations
@@ -17,14 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chartwise.llm.common import aside, back, quoted
 from chartwise.llm.vocab import close, slices
 
-#: Bytes of a window, of the ordinary and of the toxic content; times that the toxic one is trained anew.
-WINDOW, ORDINARY, TOXIC, ROUNDS = 64, 1_000_000, 8192, 3
-#: Labelled texts of each class that are learnt from, at most: half for the dictionaries, half for the thresholds.
-SAMPLE = 4000
-#: Ordinary windows of that sample, in random order, from which the threshold for windows that stand out is taken.
-LIMIT_WINDOWS = 60_000
+#: Bytes of a window, of the ordinary and of the toxic dictionary.
+WINDOW, ORDINARY, TOXIC = 64, 110_000, 8192
+#: Strings of GRAM bytes are toxic if at least LEAST toxic texts and LEAST_SHARE of them have them, RATIO times as
+#: often as ordinary texts; a run of them of over LONGEST bytes is a passage that texts copy, not a word.
+GRAM, LEAST, LEAST_SHARE, RATIO, LONGEST = 8, 5, 0.01, 10, 24
+#: Labelled texts of each class that are learnt from, at most, in rows and in bytes of whole texts: half for the
+#: dictionaries, half for the thresholds.
+SAMPLE, SAMPLE_BYTES = 4000, 24_000_000
+#: Ordinary windows of that sample, in random order, on which the ordinary dictionary is trained at most.
+ORDINARY_WINDOWS = 80_000
 
 _MADE: dict = {}
 
@@ -61,6 +66,41 @@ def trained(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def grams(text: str) -> np.ndarray:
+    """A number for each string of GRAM bytes of the lower-cased text, by position."""
+    raw = np.frombuffer(text.lower().encode(), "u1")
+    if len(raw) < GRAM:
+        return np.zeros(0, "u8")
+    out = np.zeros(len(raw) - GRAM + 1, "u8")
+    for j in range(GRAM):
+        out = out * np.uint64(257) + raw[j:j + len(out)]
+    return out
+
+
+def held_by(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(strings in order, how many texts have each)."""
+    return np.unique(np.concatenate([np.unique(grams(t)) for t in texts] or [np.zeros(0, "u8")]), return_counts=True)
+
+
+def toxic_grams(toxic: list[str], ordinary: list[str]) -> np.ndarray:
+    (found, n), (known, m) = held_by(toxic), held_by(ordinary)
+    if not len(known):
+        return found
+    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+    ratio = (n / len(toxic)) / ((np.where(known[at] == found, m[at], 0) + 1.0) / len(ordinary))
+    return found[(n >= max(LEAST, LEAST_SHARE * len(toxic))) & (ratio >= RATIO)]
+
+
+def passages(text: str, chosen: np.ndarray) -> list[bytes]:
+    """The runs of ``text`` that chosen strings cover."""
+    raw, hit = text.lower().encode(), np.isin(grams(text), chosen)
+    cover = np.zeros(len(raw) + 2, "i1")
+    for j in range(GRAM):
+        cover[1 + j:1 + j + len(hit)] |= hit
+    edges = np.flatnonzero(np.diff(cover))
+    return [raw[a:b] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a <= LONGEST]
+
+
 def saved(parts: list[bytes], ordinary, toxic) -> np.ndarray:
     """Bytes that the toxic dictionary saves in each window."""
     return np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in parts], dtype="f8")
@@ -106,26 +146,18 @@ class Model:
 
 
 def fit(toxic: list[str], ordinary: list[str], seed: int = 7) -> Model:
-    """A model from labelled texts: every other one for the dictionaries, the rest for the thresholds. The ordinary
-    content is the first ORDINARY bytes of their windows in random order, and the threshold that windows for the
-    toxic content must reach is taken from the first LIMIT_WINDOWS of them."""
+    """A model from labelled texts: every other one for the dictionaries (copies once), the rest for the thresholds."""
     if not toxic or not ordinary:  # nothing to tell apart: every score is the one class's
         model = Model(b"", b"")
         model.weights[0] = 30.0 if toxic else -30.0
         return model
     rng = np.random.default_rng(seed)
-    t_fit, o_fit = toxic[::2] if len(toxic) > 1 else toxic, ordinary[::2] if len(ordinary) > 1 else ordinary
-    t_parts, o_parts = [w for t in t_fit for w in windows(t)], [w for t in o_fit for w in windows(t)]
-    mixed = [o_parts[i] for i in rng.permutation(len(o_parts))]
-    model = Model(b"".join(mixed)[:ORDINARY], trained([t_parts[i] for i in rng.permutation(len(t_parts))], TOXIC))
-    for _ in range(ROUNDS):
-        pair = model.compressors()
-        limit = max(2.0, float(np.quantile(saved(mixed[:LIMIT_WINDOWS], *pair), 0.998)) if mixed else 2.0)
-        gain = saved(t_parts, *pair)
-        chosen = [w for w, g in zip(t_parts, gain, strict=True) if g >= limit]
-        if len(chosen) < 8:
-            break
-        model = Model(model.ordinary, trained(chosen, TOXIC))
+    t_fit, o_fit = (list(dict.fromkeys(texts[::2] if len(texts) > 1 else texts)) for texts in (toxic, ordinary))
+    windows_of = [w for t in o_fit for w in windows(t)]
+    mixed = [windows_of[i] for i in rng.permutation(len(windows_of))[:ORDINARY_WINDOWS]]
+    chosen = toxic_grams(t_fit, o_fit)
+    found = [p for t in t_fit for p in passages(t, chosen)] or [w for t in t_fit for w in windows(t)]
+    model = Model(trained(mixed, ORDINARY), trained([found[i] for i in rng.permutation(len(found))], TOXIC))
     t_rest, o_rest = toxic[1::2] or toxic, ordinary[1::2] or ordinary
     model.calibrate(model.measure(t_rest + o_rest), np.array([1.0] * len(t_rest) + [0.0] * len(o_rest)))
     return model
@@ -136,27 +168,34 @@ def held_out(id_col: str = "doc_id"):
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most SAMPLE labelled texts of each class (see :func:`fit` for ORDINARY and LIMIT_WINDOWS), picked by
-    a hash of their ids among those that aren't held out. Labels without a document, null labels and null texts teach nothing."""
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).filter(F.col("__y").isin(0, 1) & F.col("__id").isNotNull() & ~held_out("__id"))
+    """Fit on at most SAMPLE labelled texts of each class and SAMPLE_BYTES of them, in the order of a hash of their ids,
+    among those that aren't held out. Labels without a document, null labels and null texts teach nothing."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
+    texts_of = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
     texts: dict[int, list[str]] = {}
     for y in (1, 0):
-        picked = known.filter(F.col("__y") == y).select("__id").distinct().orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE)
-        rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id").filter(F.col("__text").isNotNull())
-        texts[y] = [r["__text"] for r in rows.orderBy(F.xxhash64("__id"), "__text").limit(SAMPLE).collect()]  # bounded, as above
+        picked = known.filter(F.col("y") == y).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+        rows = texts_of.join(F.broadcast(picked), "id")
+        order = (F.xxhash64("id"), F.col("id"), F.md5("text"))
+        sizes = rows.select(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.octet_length("text").alias("n")).orderBy("o0", "o1", "o2").limit(SAMPLE).select("n").collect()
+        fits = int((np.cumsum([r["n"] for r in sizes]) <= SAMPLE_BYTES).sum())  # whole texts, as many as the bounds hold
+        texts[y] = [r["text"] for r in rows.orderBy(*order).limit(fits).select("text").collect()] if fits else []
     return fit(texts[1], texts[0])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__score`` (0 to 1) of the whole text; null and empty texts have the score of a text without
-    windows. Rows stand for themselves, whatever their ids; an empty table gives an empty one."""
+    """``docs`` with ``__score`` (0 to 1) of the whole text, in place of a column of that name; null and empty texts have the
+    score of a text without windows. Rows stand for themselves, whatever their ids; an empty table gives an empty one;
+    other columns, whatever their names, pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    columns = docs.columns
+    packed = aside(docs, text=F.col(quoted(text_col)).cast("string"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         close()
-        for batch in slices(batches, "__text"):
-            own = pa.array(shared.value.score(batch.column("__text").to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*[c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "__text"], own], names=[n for n in batch.schema.names if n != "__text"] + ["__score"])
+        for batch in slices(batches):
+            own = pa.array(shared.value.score(batch.column("text").to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), own], names=["row", "score"])
 
-    shape = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
-    return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(each, shape)
+    shape = T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType())])
+    return back(packed.mapInArrow(each, shape), columns, __score=F.col("score"))
