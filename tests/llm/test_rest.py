@@ -42,14 +42,58 @@ def test_toxicity_held_out_accuracy(spark, make):
     assert by_id[5000] == by_id[5001] < 0.5
 
 
-def test_bounds_of_the_fit_are_parameters(monkeypatch):
-    rng, seen = random.Random(2), []
-    monkeypatch.setattr(toxicity, "LIMIT_WINDOWS", 50)
+def test_bounds_of_the_fit_are_parameters(spark, make, monkeypatch):
+    rng = random.Random(2)
     monkeypatch.setattr(toxicity, "ORDINARY", 3000)
-    plain = toxicity.saved
-    monkeypatch.setattr(toxicity, "saved", lambda parts, *pair: seen.append(len(parts)) or plain(parts, *pair))
-    model = toxicity.fit(labelled(rng, 20, True), labelled(rng, 20, False))
-    assert seen[0] == 50 and len(model.ordinary) == 3000
+    monkeypatch.setattr(toxicity, "TOXIC", 2000)
+    texts = labelled(rng, 40, True) + labelled(rng, 40, False)
+    model = toxicity.fit(texts[:40], texts[40:])
+    assert len(model.ordinary) <= 3000 and len(model.toxic) <= 2000
+    docs, labels = make(spark, list(enumerate(texts))), spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda t, o: seen.append((t, o)))
+    for rows, size in [(4000, 10_000), (3, 10 ** 9), (4000, 10 ** 9)]:
+        monkeypatch.setattr(toxicity, "SAMPLE", rows)
+        monkeypatch.setattr(toxicity, "SAMPLE_BYTES", size)
+        toxicity.learn(docs, labels)
+        for side in seen[-1]:
+            assert 0 < len(side) <= rows and sum(len(t.encode()) for t in side) <= size
+    assert all(len(a) < len(b) for a, b in zip(seen[0], seen[2], strict=True))
+
+
+def test_scores_recomputed_from_two_compressors():
+    """The score of a text from its definition: two plain compressors, the sorted savings, the logistic thresholds."""
+    import zstandard
+    rng = random.Random(12)
+    model = toxicity.fit(labelled(rng, 60, True), labelled(rng, 60, False))
+    settings = zstandard.ZstdCompressionParameters(window_log=22, chain_log=20, hash_log=20, search_log=5, min_match=5, target_length=32, strategy=zstandard.STRATEGY_LAZY,
+                                                   write_checksum=0, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+
+    def size(content, window):
+        found = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=found, compression_params=settings).compress(window))
+
+    for text in [*labelled(rng, 2, True), *labelled(rng, 2, False), "", "short"]:
+        gains, at, raw = [], 0, text.lower().encode()
+        while at < len(raw):
+            to = at + 64
+            if to < len(raw) and b" " in raw[at + 1:to]:
+                to = raw.rindex(b" ", at + 1, to)
+            gains.append(size(model.ordinary, raw[at:to]) - size(model.toxic + model.ordinary, raw[at:to]))
+            at = to
+        gains = sorted(gains, reverse=True) or [0]
+        own = [min(gains[0], 24), min(np.mean(gains[:3]), 24), np.mean(gains), np.mean([g >= 2 for g in gains]), np.log1p(sum(g >= 3 for g in gains))]
+        value = model.weights[0] + sum(w * (x - m) / s for w, x, m, s in zip(model.weights[1:], own, model.mean, model.scale, strict=True))
+        assert abs(model.score([text])[0] - 1 / (1 + np.exp(-np.clip(value, -30, 30)))) < 1e-9
+
+
+def test_passages_are_runs_of_toxic_strings():
+    toxic = [f"{w}lier nincompoop {w}mer" for w in ("one", "two", "six", "ten", "old", "new")]
+    ordinary = ["the day is a fine day today, one two six"] * 12
+    chosen = toxicity.toxic_grams(toxic, ordinary)
+    found = {p for t in toxic for p in toxicity.passages(t, chosen)}
+    assert any(b"nincompoop" in p for p in found) and toxicity.passages(ordinary[0], chosen) == []
+    assert toxicity.passages("", chosen) == [] == toxicity.passages("short", chosen)
 
 
 def test_windows_are_the_whole_text():
@@ -146,6 +190,36 @@ def test_forms_stay_valid():
     assert plain == names.text("4539148803436467")[0]
 
 
+def test_spellings_of_one_value_get_one_pseudonym():
+    names = pii.Pseudonyms(b"key")
+    digits = lambda t: re.sub(r"\D", "", t)
+    for spellings in [("+4915112345671", "+49 151 12345671", "+49 (151) 123 456 71", "+49-151-1234-5671"), ("+33612345678", "+33 6 12 34 56 78", "+33 612 345 678"),
+                      ("+1 555 010 9999", "+15550109999", "+1 (555) 010-9999"), ("555-010-9999", "5550109999", "(555) 010-9999", "555.010.9999"), ("0612345678", "06 12 34 56 78", "06.12.34.56.78")]:
+        new = [names.text(f"call {t} now") for t in spellings]
+        assert all(found == dict.fromkeys(pii.KINDS, 0) | {"phone": 1} for _, found in new), (spellings, new)
+        assert len({digits(t) for t, _ in new}) == 1 and digits(new[0][0]) != digits(spellings[0])
+    assert digits(names.text("555-010-9999")[0]) == digits(names.text("+1 555-010-9999")[0])[1:]
+    for day in (datetime.date(2020, 12, 25), datetime.date(1999, 1, 31)):
+        new = [names.text(day.strftime(f))[0] for f in ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%d.%m.%Y", "%Y/%m/%d")]
+        back = [datetime.datetime.strptime(t, f).date() for t, f in zip(new, ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%d.%m.%Y", "%Y/%m/%d"), strict=True)]
+        assert len(set(back)) == 1 and back[0] != day and back[0].day > 12
+    iban = "GB82 WEST 1234 5698 7654 32"
+    assert len({names.text(t)[0].replace(" ", "").upper() for t in (iban, iban.replace(" ", ""), iban.lower(), iban.lower().replace(" ", ""))}) == 1
+    secret = "0123456789abcdef0123456789abcdef01234567"
+    assert names.text(secret.upper())[0] == names.text(secret)[0].upper() != secret.upper()
+
+
+@pytest.mark.parametrize(("code", "size"), [("49", 11), ("49", 10), ("33", 9), ("34", 9), ("44", 10), ("1", 10), ("7", 10), ("351", 9), ("420", 9)])
+def test_numbers_after_a_plus_are_phones(code, size):
+    names, rng = pii.Pseudonyms(b"key"), random.Random(code + str(size))
+    for _ in range(2000 // 9):
+        national = str(rng.randrange(1, 10)) + "".join(str(rng.randrange(10)) for _ in range(size - 1))
+        for text in (f"+{code}{national}", f"+{code} {national[:3]} {national[3:]}"):
+            new, found = names.text(f"tel {text}, then")
+            assert found == dict.fromkeys(pii.KINDS, 0) | {"phone": 1}, (text, found)
+            assert re.sub(r"\D", "", new).startswith(code) and len(new) == len(f"tel {text}, then")
+
+
 def test_what_does_not_validate_stays():
     names = pii.Pseudonyms(b"key")
     for text in ("4539148803436468", "GB83 WEST 1234 5698 7654 32", "256.1.1.1", "1.2.3.4.5", "000-45-6789", "1987-13-05", "31/02/1987", "page 12 of 300", "@home", "a@b", "v1.2.3", "1111111111111111", "deadbeef", "3.14", "x4539148803436467"):
@@ -261,10 +335,10 @@ def test_pipeline_stages_take_odd_rows(spark, odd, make):
         assert (docs.count() > 0) == (rows is odd)
 
 
-def test_all_eleven_are_registered():
+def test_all_are_registered():
     import __spark_entry__
     names = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(catalogue.ORACLES) <= set(names)
 
 
