@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartwise.llm import decontam, line_dedup, packing, simhash, toxicity
-from chartwise.llm.common import land
+from chartwise.llm.common import aside, back, land, quoted
 from chartwise.sources.tables import read_table
 
 
@@ -15,30 +15,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the given labels, doesn't reject (score under 0.5). Texts are judged
     whole; null and empty ones have no toxic window; an empty table or labels of one class reject accordingly."""
     model = toxicity.learn(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("__score < 0.5").select(*docs.columns)
+    scored = toxicity.score(docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), "text"), model)
+    return back(scored.filter("__score < 0.5"), docs.columns)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the lines that at least three of them hold, which stay in the largest id. ``n_chars`` follows
     the text. Odd rows: see :func:`line_dedup.dedup_lines`; a null text becomes an empty one."""
     new = {"text": F.col("__text"), "n_chars": F.length("__text").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return line_dedup.dedup_lines(docs).select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    done = line_dedup.dedup_lines(docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), "doc_id", "text"))
+    return done.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id (of rows without an id or with the same, any one).
     Rows are told apart by numbers of their own, so repeated and null ids are no matter; empty texts are a group."""
-    rows = land(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
-    groups = simhash.near_duplicates(rows, size=4, radius=4, id_col="__rid").select(F.col("doc_id").alias("__rid"), "component_id")
-    stays = (rows.select("__rid", F.col("doc_id").alias("__doc")).join(groups, "__rid")
-             .groupBy("component_id").agg(F.min(F.struct(F.col("__doc").isNull(), "__doc", "__rid")).alias("s")).select(F.col("s.__rid").alias("__rid")))
-    return rows.join(stays, "__rid", "left_semi").select(*docs.columns)
+    rows = land(aside(docs, rid=F.monotonically_increasing_id(), doc=F.col("doc_id"), text=F.col("text")), "numbered")
+    groups = simhash.near_duplicates(rows.select("rid", "text"), size=4, radius=4, id_col="rid").select(F.col("doc_id").alias("rid"), "component_id")
+    stays = (rows.select("rid", "doc").join(groups, "rid")
+             .groupBy("component_id").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "rid")).alias("s")).select(F.col("s.rid").alias("rid")))
+    return back(rows.join(stays, "rid", "left_semi"), docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no ten-word window of a benchmark item occurs. Odd rows: see :func:`decontam.hits`."""
-    found, _ = decontam.hits(docs, read_table(spark, sf_dir, "benchmark"), width=10)
-    return found.filter("__n_hit = 0").select(*docs.columns)
+    packed = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), "doc_id", "text")
+    found, _ = decontam.hits(packed, read_table(spark, sf_dir, "benchmark"), width=10)
+    return back(found.filter("__n_hit = 0"), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
