@@ -4,7 +4,7 @@ Every word has hashed vectors of its own, of its character n-grams and of a mark
 document is the average of all of them, and a softmax over a linear layer gives the class. Vectors and layer are
 trained together by stochastic gradient descent in numpy, document by document, with a falling step. The average
 and the layer are linear, so for scoring each hashed vector is folded to its difference of the two classes' logits:
-what is broadcast is one number for each of BUCKETS, and a word's sum is kept in the worker's cache.
+what is broadcast is one number for each of BUCKETS, and words are hashed and summed an array at a time.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from chartwise.llm.vocab import close, slices
 BUCKETS, DIM, GRAMS, EPOCHS, STEP = 1 << 18, 8, (2, 3), 6, 4.0
 #: Labelled texts learnt from, at most: as many rows and as many bytes of whole texts.
 SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 16_000_000
-#: Words kept by a worker; the bound never changes a result.
-CACHED = 400_000
+#: Bytes of text handled at once; the bound never changes a result.
+BYTES = 2 << 20
 
 #: Features of every text, and of a word that repeats the one before it.
 TEXT, AGAIN = 0, 1
@@ -34,12 +34,29 @@ TEXT, AGAIN = 0, 1
 BLANKS = np.array([32 if b in (32, *range(9, 14)) else b for b in range(256)], dtype="u1")
 
 
-def word_features(word: str) -> np.ndarray:
-    """Buckets of a word: its own and those of the character n-grams of ' word '. Long words have all of theirs."""
-    import xxhash
-    padded = f" {word} "
-    grams = [padded] + [padded[i:i + n] for n in GRAMS for i in range(len(padded) - n + 1) if n < len(padded)]
-    return np.fromiter((2 + xxhash.xxh32_intdigest(g) % (BUCKETS - 2) for g in grams), "i8", len(grams))
+#: Multipliers of the hash.
+FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def word_features(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of every feature: each ' word ' and all its character n-grams, hashed together for all words.
+
+    A hash is a polynomial in the code points; long words have all of theirs."""
+    points = np.frombuffer("".join([f" {w} " for w in names]).encode("utf-32-le"), "<u4").astype("u8")
+    size = np.fromiter(map(len, names), "i8", len(names)) + 2
+    start = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(names)), size)
+    place = np.arange(len(points)) - start[owner]
+    powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(int(size.max(initial=1)), *GRAMS), FACTOR))])
+    word, found = [np.arange(len(names))], [np.add.reduceat(points * powers[place], start) * powers[1] if len(names) else np.zeros(0, "u8")]
+    for n in GRAMS:
+        at = np.flatnonzero((size[owner] - place >= n) & (size[owner] > n))
+        word.append(owner[at])
+        found.append(sum(points[at + k] * powers[k] for k in range(n)) + np.uint64(n))
+    mixed = np.concatenate(found)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * MIX
+    mixed ^= mixed >> np.uint64(32)
+    return np.concatenate(word), (2 + mixed % np.uint64(BUCKETS - 2)).astype("i8")
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -57,19 +74,13 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray
     return flat.dictionary, code, doc, again
 
 
-def features(text: str, cache: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares, which add up to 1."""
     names, code, _, again = words(pa.array([text]))
-    own = []
-    for word in names.to_pylist():
-        if word not in cache:
-            cache[word] = word_features(word)
-        own.append(cache[word])
     often = np.bincount(code, minlength=len(names))
-    seen = [np.array([TEXT, AGAIN])] + [f for f, n in zip(own, often, strict=True) if n]
-    n_of = np.r_[1, again.sum(), np.repeat(often[often > 0], [len(f) for f in seen[1:]])]
-    buckets, place = np.unique(np.concatenate(seen), return_inverse=True)
-    shares = np.bincount(place, weights=n_of)
+    word, bucket = word_features(names.to_pylist())
+    buckets, place = np.unique(np.concatenate([[TEXT, AGAIN], bucket]), return_inverse=True)
+    shares = np.bincount(place, weights=np.concatenate([[1, again.sum()], often[word]]))
     return buckets[shares > 0], shares[shares > 0] / shares.sum()
 
 
@@ -82,8 +93,7 @@ class Model:
 
     def train(self, texts: list[str], labels: list[int], seed: int = 7) -> None:
         """EPOCHS times over the texts in random order; the step falls to 0."""
-        cache: dict[str, np.ndarray] = {}
-        rows = [features(t, cache) for t in texts]
+        rows = [features(t) for t in texts]
         rng, total, done = np.random.default_rng(seed), EPOCHS * len(rows), 0
         for _ in range(EPOCHS):
             for i in rng.permutation(len(rows)):
@@ -106,7 +116,7 @@ class Model:
 
     def score(self, text: str) -> float:
         """Probability of class 1, from the vectors themselves."""
-        buckets, shares = features(text, {})
+        buckets, shares = features(text)
         return float(softmax(shares @ self.vectors[buckets] @ self.layer + self.bias)[1])
 
 
@@ -156,17 +166,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         close()
         weight, bias = shared.value
-        cache: dict[str, tuple[float, int]] = {}
-        for part in slices(batches):
-            if len(cache) > CACHED:
-                cache.clear()
+        for part in slices(batches, size=BYTES):
             names, code, doc, again = words(part.column("text"))
-            sums, sizes = np.zeros(len(names)), np.zeros(len(names), "i8")
-            for i, word in enumerate(names.to_pylist()):
-                if word not in cache:
-                    own = word_features(word)
-                    cache[word] = float(weight[own].sum()), len(own)
-                sums[i], sizes[i] = cache[word]
+            word, bucket = word_features(names.to_pylist())
+            sums, sizes = np.bincount(word, weights=weight[bucket], minlength=len(names)), np.bincount(word, minlength=len(names))
             n = part.num_rows
             total = weight[TEXT] + np.bincount(doc, weights=sums[code], minlength=n) + weight[AGAIN] * np.bincount(doc[again], minlength=n)
             count = 1 + np.bincount(doc, weights=sizes[code], minlength=n) + np.bincount(doc[again], minlength=n)

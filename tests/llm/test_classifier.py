@@ -19,7 +19,7 @@ def plain_score(model, text):
     for word in (text or "").translate({c: " " for c in range(9, 14)}).split(" "):
         if not word:
             continue
-        for bucket in classifier.word_features(word):
+        for bucket in classifier.word_features([word])[1]:
             total, n = total + model.vectors[bucket], n + 1
         if word == last:
             total, n = total + model.vectors[classifier.AGAIN], n + 1
