@@ -29,8 +29,9 @@ class Sum(NamedTuple):
     total: Fraction
 
     @property
-    def mean(self) -> Fraction | None:
-        return self.total / self.n if self.n else None
+    def mean(self) -> float | None:
+        """The exact sum, rounded, divided by the rows: what compensated summation gives."""
+        return float(self.total) / self.n if self.n else None
 
 
 def two_product(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -92,7 +92,7 @@ def q_standardize(spark, sf):
 
 
 @register("unpivot_means", with_views(["facts"], " UNION ALL ".join(
-    f"SELECT release_year, '{c}' AS feature, round_even(avg({c}), 6) AS value FROM facts WHERE release_year IS NOT NULL "
+    f"SELECT release_year, '{c}' AS feature, round_even(favg({c}), 6) AS value FROM facts WHERE release_year IS NOT NULL "
     f"GROUP BY release_year HAVING count(*) >= 50" for c in ["energy", "danceability", "valence", "acousticness"])))
 def q_unpivot_means(spark, sf):
     """Yearly feature means melted to (year, feature, value)."""

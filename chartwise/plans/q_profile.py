@@ -41,7 +41,7 @@ def _range_sql():
 
 
 def _describe_sql():
-    parts = [f"SELECT '{c}' AS feature, round_even(avg({c}), 4) AS mean, round_even(stddev_samp({c}), 4) AS std, "
+    parts = [f"SELECT '{c}' AS feature, round_even(favg({c}), 4) AS mean, round_even(stddev_samp({c}), 4) AS std, "
              f"round_even(CAST(min({c}) AS DOUBLE), 4) AS min, round_even(quantile_cont({c}, 0.25), 4) AS q25, "
              f"round_even(quantile_cont({c}, 0.5), 4) AS median, round_even(quantile_cont({c}, 0.75), 4) AS q75, "
              f"round_even(CAST(max({c}) AS DOUBLE), 4) AS max FROM tracks" for c in AUDIO_FEATURES]

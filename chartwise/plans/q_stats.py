@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chartwise.functions.columns import fround, weighted_sum
 from chartwise.operators.abtest import ab_chain, ab_many, ab_test
+from chartwise.operators.moments import exact_sums
 from chartwise.operators.quantiles import exact_quantiles
 from chartwise.operators.stattests import corr_tests, interaction_gain, quadrant_synergy, welch_profile
 from chartwise.plans import views
@@ -117,9 +118,9 @@ def _welch_sql(feats, table, p=False):
     parts = []
     for i, c in enumerate(feats):
         parts.append(
-            f"SELECT '{c}' AS feature, {i} AS ordinal, avg({c}) FILTER (WHERE charted = 1) AS m1, "
+            f"SELECT '{c}' AS feature, {i} AS ordinal, favg({c}) FILTER (WHERE charted = 1) AS m1, "
             f"var_samp({c}) FILTER (WHERE charted = 1) AS v1, CAST(count({c}) FILTER (WHERE charted = 1) AS DOUBLE) AS n1, "
-            f"avg({c}) FILTER (WHERE charted = 0) AS m0, var_samp({c}) FILTER (WHERE charted = 0) AS v0, "
+            f"favg({c}) FILTER (WHERE charted = 0) AS m0, var_samp({c}) FILTER (WHERE charted = 0) AS v0, "
             f"CAST(count({c}) FILTER (WHERE charted = 0) AS DOUBLE) AS n0 FROM {table}")
     body = "\nUNION ALL\n".join(parts)
     se = "(v1 / n1 + v0 / n0)"
@@ -192,21 +193,18 @@ def q_predictor_rank(spark, sf):
 
 
 @register("top_decile_compare", with_views(["facts"], "\nUNION ALL\n".join(
-    f"""SELECT '{c}' AS feature, round_even(avg({c}) FILTER (WHERE popularity_track >= q), 4) AS top10_mean,
-  round_even(avg({c}) FILTER (WHERE charted = 0), 4) AS noncharted_mean,
-  round_even(avg({c}) FILTER (WHERE popularity_track >= q) - avg({c}) FILTER (WHERE charted = 0), 4) AS diff
+    f"""SELECT '{c}' AS feature, round_even(favg({c}) FILTER (WHERE popularity_track >= q), 4) AS top10_mean,
+  round_even(favg({c}) FILTER (WHERE charted = 0), 4) AS noncharted_mean,
+  round_even(favg({c}) FILTER (WHERE popularity_track >= q) - favg({c}) FILTER (WHERE charted = 0), 4) AS diff
 FROM facts, (SELECT quantile_cont(popularity_track, 0.9) AS q FROM facts)""" for c in TOP10_FEATS)))
 def q_top_decile_compare(spark, sf):
     """Top-decile popularity (ties included) vs non-charted: mean of each feature."""
     f = views.facts(spark, sf)
     q = exact_quantiles(f, ["popularity_track"], [0.9])[("popularity_track", 0.9)]
-    top = F.col("popularity_track") >= F.lit(q)
-    bottom = F.col("charted") == 0
-    row = f.agg(*[F.avg(F.when(top, F.col(c))).alias(f"t{i}") for i, c in enumerate(TOP10_FEATS)],
-                *[F.avg(F.when(bottom, F.col(c))).alias(f"b{i}") for i, c in enumerate(TOP10_FEATS)])
-    items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"t{i}").alias("t"), F.col(f"b{i}").alias("b"))
-                      for i, c in enumerate(TOP10_FEATS)])
-    long = row.select(F.inline(items))
+    top, bottom = F.col("popularity_track") >= F.lit(q), F.col("charted") == 0
+    masked = {(c, side): F.when(rows, F.col(c)) for c in TOP10_FEATS for side, rows in (("t", top), ("b", bottom))}
+    sums = exact_sums(f, {f"{side}.{c}": x for (c, side), x in masked.items()}, [(f"{side}.{c}",) for c, side in masked])[()]
+    long = spark.createDataFrame([(c, sums[f"t.{c}",].mean, sums[f"b.{c}",].mean) for c in TOP10_FEATS], "feature string, t double, b double")
     return long.select("feature", fround("t", 4).alias("top10_mean"), fround("b", 4).alias("noncharted_mean"),
                        fround(F.col("t") - F.col("b"), 4).alias("diff"))
 

@@ -28,7 +28,7 @@ HIT_LABELS = ["Very Low", "Low", "Medium", "High", "Very High"]
 
 
 def _means_sql(period_expr, where, min_n=50):
-    feats = ", ".join(f"avg({c}) AS {c}" for c in TREND_FEATURES)
+    feats = ", ".join(f"favg({c}) AS {c}" for c in TREND_FEATURES)
     return (f"SELECT {period_expr} AS period, count(*) AS n, avg(charted) AS chart_rate, {feats} "
             f"FROM facts WHERE {where} GROUP BY 1 HAVING count(*) >= {min_n}")
 
@@ -85,8 +85,8 @@ def q_feature_trend_pvalues(spark, sf):
 @register("energy_gap", with_views(["facts"], """
 SELECT release_year, round_even(c, 4) AS charted_energy, round_even(nc, 4) AS noncharted_energy,
   round_even(c - nc, 4) AS gap
-FROM (SELECT release_year, count(*) AS n, avg(energy) FILTER (WHERE charted = 1) AS c,
-      avg(energy) FILTER (WHERE charted = 0) AS nc FROM facts WHERE release_year IS NOT NULL GROUP BY release_year)
+FROM (SELECT release_year, count(*) AS n, favg(energy) FILTER (WHERE charted = 1) AS c,
+      favg(energy) FILTER (WHERE charted = 0) AS nc FROM facts WHERE release_year IS NOT NULL GROUP BY release_year)
 WHERE n >= 50 AND c IS NOT NULL AND nc IS NOT NULL"""))
 def q_energy_gap(spark, sf):
     """Per year: energy of charted minus non-charted tracks (both groups present, n >= 50)."""

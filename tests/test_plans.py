@@ -46,7 +46,7 @@ def test_genre_rank_joins_preaggregated_facts(spark):
 
 
 def test_exact_split_has_no_single_partition_exchange(spark):
-    t = views.tracks(spark, SF_SMALL).select("track_id", "charted")
+    t = views.tracks(spark, SF_SMALL).select("track_id", "charted").checkpoint()
     p = executed_plan(stratified_split(t, "track_id", "charted"))
     assert "SinglePartition" not in p
     assert "Window" not in p and "Join" not in p and "Exchange" not in p  # rows are labelled where they are
