@@ -176,6 +176,25 @@ def test_fitted_models_beat_chance_and_repeat(spark):
         assert evaluate(again.model(kind), again.split.filter("split = 'test'")).first()["auc"] == pytest.approx(auc, abs=0.05)
 
 
+def test_model_queries_run_on_one_training(spark, monkeypatch):
+    from chartwise.plans import q_models
+    monkeypatch.setattr(q_models, "PARAMS", {"rf": {"numTrees": 3, "maxDepth": 3}, "gbt": {"maxIter": 2, "maxDepth": 2}})
+    monkeypatch.setattr(q_models, "_TRAINED", {})
+    n = views.tracks(spark, SF_SMALL).count()
+    got = {name: QUERIES[name](spark, SF_SMALL).collect() for name in ("rf_train", "gbt_train", "smote_rf_train", "best_model", "importance_rank", "permutation_importance",
+                                                                      "batch_score", "score_sparse", "stream_score", "model_results")}
+    run = next(iter(q_models._TRAINED.values()))
+    assert all({r["split"] for r in got[name]} == {"val", "test"} for name in ("rf_train", "gbt_train", "smote_rf_train"))
+    assert len(got["importance_rank"]) == len(got["permutation_importance"]) == len(run.feats)
+    assert len(got["batch_score"]) == len(got["score_sparse"]) == len(got["stream_score"]) == n
+    numbers = {(r["section"], r["id"], r["metric"]): r["number"] for r in got["model_results"]}
+    assert {s for s, _, _ in numbers} == {"split", "rf.metrics", "rf.importances", "gbt.metrics", "gbt.importances"}
+    for kind in ("rf", "gbt"):
+        of = {r["split"]: r for r in got[f"{kind}_train"]}
+        for split in ("val", "test"):
+            assert all(numbers[f"{kind}.metrics", split, m] == pytest.approx(of[split][m]) for m in ("tn", "fp", "fn", "tp", "accuracy"))
+
+
 def test_oversampling_draws_from_all_positive_train_rows(spark):
     run = Training(labelled(spark, 1500).checkpoint(), {"rf": {"numTrees": 2, "maxDepth": 2}}, fit_rows=None)
     rows = run.rows("rf", True)
