@@ -61,9 +61,9 @@ def found_shingles(docs: DataFrame, sizes: list[int], keys: list[str]) -> DataFr
     return hashed.select(*keys, "n_words", F.posexplode("hashes").alias("pos", "h")).select(*keys, "n_words", "h", start.alias("start"))
 
 
-def matched(wide: DataFrame, items: DataFrame, width: int, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``wide`` (doc, own, text and others) with n_words, n_hit and windows; and (item, window). ``doc`` and ``own`` (of
-    the text) tell rows with different results apart."""
+def matched(wide: DataFrame, text_col: str, items: DataFrame, width: int, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``wide`` (row, doc, own, text) with n_words, n_hit and windows; and (item, window). ``doc`` and ``own`` (of the text)
+    tell rows with different results apart; where rows move, the text travels inside its row."""
     keys = ["doc", "own"]
     windows = land(item_windows(items, width, item_col, item_text_col), "windows")
     distinct = windows.select("window", "n").distinct()
@@ -78,15 +78,19 @@ def matched(wide: DataFrame, items: DataFrame, width: int, item_col: str, item_t
            .withColumn("at", F.col("start") - F.col("offset")).filter("at >= 0 AND at + n <= n_words"))
     candidates = met.groupBy(*keys).agg(F.collect_set(F.struct("at", "n", "window")).alias("cand"))
     verified = let(exact_words(F.col("text")), lambda w: F.filter(F.col("cand"), lambda c: F.array_join(F.slice(w, c["at"] + 1, c["n"]), " ") == c["window"]))
-    found = (wide.join(candidates, keys, "left").withColumn("hits", F.when(F.col("cand").isNotNull(), verified))
+    found = (wide.drop("text").join(candidates, keys, "left").withColumn("text", row_text(F.col("row").getField(text_col))).withColumn("hits", F.when(F.col("cand").isNotNull(), verified))
              .withColumn("n_words", F.size(words(F.col("text"), SEPARATORS)).cast("long")))
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda c: F.sequence(c["at"], c["at"] + c["n"] - 1)))))
     n_hit = F.when(F.col("hits").isNull(), 0).otherwise(covered).cast("long")
     return found.withColumn("n_hit", n_hit).withColumn("windows", F.array_distinct(F.transform("hits", lambda c: c["window"]))).drop("cand", "hits", "text"), windows
 
 
+def row_text(column: Column) -> Column:
+    return F.coalesce(column.cast("string"), F.lit(""))
+
+
 def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    text = row_text(F.col(quoted(text_col)))
     return aside(docs, doc=id_key(id_col), own=F.xxhash64(text), text=text)
 
 
@@ -98,7 +102,7 @@ def hits(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_
     empty string; empty tables give an empty result, or one without hits; other columns, whatever their names, pass
     through (those named as the results are replaced). Very long texts are cut whole.
     """
-    found, windows = matched(rows_of(docs, id_col, text_col), items, width, item_col, item_text_col)
+    found, windows = matched(rows_of(docs, id_col, text_col), text_col, items, width, item_col, item_text_col)
     return back(found, docs.columns, __n_words=F.col("n_words"), __n_hit=F.col("n_hit"), __windows=F.col("windows")), windows
 
 
@@ -106,7 +110,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items (items with occurring windows), items_sha256 (of their
     ids, sorted as strings, comma-joined), contaminated. See :func:`hits` for odd rows."""
     own = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
-    found, windows = matched(rows_of(own, "id", "text"), items, width, **{"item_col": "item_id", "item_text_col": "text", **item_columns})
+    found, windows = matched(rows_of(own, "id", "text"), "text", items, width, **{"item_col": "item_id", "item_text_col": "text", **item_columns})
     keys = ["doc", "own"]
     narrow = land(found.select(*keys, F.col("row").getField("id").alias("doc_id"), "n_words", "n_hit", "windows"), "hits")
     named = (narrow.select(*keys, F.explode("windows").alias("window")).join(small(windows.select("window", "item")), "window")

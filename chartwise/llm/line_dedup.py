@@ -86,5 +86,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
                                              names=["row", "text", "n_lines", "n_dropped"])
 
     shape = T.StructType([wide.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    done = wide.join(dropped, ["doc", "own"], "left").select("row", "text", "drop").mapInArrow(apply, shape)
+    # the text travels inside its row
+    done = (wide.select("row", "doc", "own").join(dropped, ["doc", "own"], "left")
+            .select("row", F.col("row").getField(text_col).cast("string").alias("text"), "drop").mapInArrow(apply, shape))
     return back(done, columns, __text=F.col("text"), __n_lines=F.col("n_lines"), __n_dropped=F.col("n_dropped"))
