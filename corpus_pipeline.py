@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chartwise.llm import decontam, line_dedup, packing, simhash, toxicity
@@ -11,20 +11,28 @@ from chartwise.llm.common import aside, back, land, quoted
 from chartwise.sources.tables import read_table
 
 
+def narrow(docs: DataFrame, *own: str) -> DataFrame:
+    """``docs`` as the columns ``own`` and all others packed into ``row``, so that no names clash with an operator's."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns if c not in own]).alias("row"), *own)
+
+
+def restored(found: DataFrame, columns: list[str], **own: Column) -> DataFrame:
+    """The columns of documents again, those of ``own`` as given."""
+    return found.select(*[(own[c] if c in own else F.col("row").getField(c)).alias(c) for c in columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the given labels, doesn't reject (score under 0.5). Texts are judged
     whole; null and empty ones have no toxic window; an empty table or labels of one class reject accordingly."""
     model = toxicity.learn(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), "text"), model)
-    return back(scored.filter("__score < 0.5"), docs.columns)
+    return restored(toxicity.score(narrow(docs, "text"), model).filter("__score < 0.5"), docs.columns, text=F.col("text"))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the lines that at least three of them hold, which stay in the largest id. ``n_chars`` follows
     the text. Odd rows: see :func:`line_dedup.dedup_lines`; a null text becomes an empty one."""
-    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    done = line_dedup.dedup_lines(docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), "doc_id", "text"))
-    return done.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
+    new = {"doc_id": F.col("doc_id"), "text": F.col("__text"), "n_chars": F.length("__text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return restored(line_dedup.dedup_lines(narrow(docs, "doc_id", "text")), docs.columns, **new)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +47,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no ten-word window of a benchmark item occurs. Odd rows: see :func:`decontam.hits`."""
-    packed = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), "doc_id", "text")
-    found, _ = decontam.hits(packed, read_table(spark, sf_dir, "benchmark"), width=10)
-    return back(found.filter("__n_hit = 0"), docs.columns)
+    found, _ = decontam.hits(narrow(docs, "doc_id", "text"), read_table(spark, sf_dir, "benchmark"), width=10)
+    return restored(found.filter("__n_hit = 0"), docs.columns, doc_id=F.col("doc_id"), text=F.col("text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
