@@ -57,8 +57,23 @@ def starting_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np
     return np.array(centres)
 
 
+def blocks(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The columns on the grid as binary blocks of some thousand rows, a column after the other: what each pass reads."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                whole = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype("i8")
+                yield pa.RecordBatch.from_pydict({"points": pa.array([whole.tobytes()], pa.binary())})
+
+    return rows.select(*cols).mapInArrow(pack, "points binary")
+
+
 def assign_pass(rows: DataFrame, cols: Sequence[str], centres: np.ndarray) -> dict[tuple[int, int], tuple[int, np.ndarray, float]]:
-    """{(restart, cluster): (rows, sums on the grid, cost)}: one pass assigns every row to a centre of each restart."""
+    """{(restart, cluster): (rows, sums on the grid, cost)}: one pass assigns every row to a centre of each restart.
+
+    ``rows`` holds the columns on the grid, or their :func:`blocks`."""
+    if rows.columns != ["points"]:
+        rows = blocks(rows, cols)
     shared = rows.sparkSession.sparkContext.broadcast(centres)
     dims = len(cols)
 
@@ -66,23 +81,29 @@ def assign_pass(rows: DataFrame, cols: Sequence[str], centres: np.ndarray) -> di
         every = shared.value
         restarts, k, _ = every.shape
         n, sums, cost = np.zeros((restarts, k), "i8"), np.zeros((restarts, k, dims), "i8"), np.zeros((restarts, k))
-        for batch in batches:
-            whole = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            points = whole / GRID
+        for block in (b.as_buffer() for batch in batches for b in batch.column(0)):
+            whole = np.frombuffer(block, "i8").reshape(dims, -1)
+            points, size = whole / GRID, whole.shape[1]
+            # sums of whole numbers under 2^53 are exact as doubles, in any order
+            exact = float(np.abs(whole).max()) * size < 2.0 ** 53
+            floats = whole.astype("f8") if exact else None
             for r in range(restarts):
-                apart = sum((points[:, [j]] - every[r, :, j][None, :]) ** 2 for j in range(dims))
-                own = apart.argmin(axis=1)
+                apart = sum((points[j][None, :] - every[r, :, j][:, None]) ** 2 for j in range(dims))
+                own = apart.argmin(axis=0)
                 n[r] += np.bincount(own, minlength=k)
-                cost[r] += np.bincount(own, weights=apart[np.arange(len(own)), own], minlength=k)
-                for c in range(k):
-                    sums[r, c] += whole[own == c].sum(axis=0)
+                cost[r] += np.bincount(own, weights=apart[own, np.arange(size)], minlength=k)
+                if exact:
+                    sums[r] += ((own == np.arange(k)[:, None]).astype("f8") @ floats.T).astype("i8")
+                else:
+                    for c in range(k):
+                        sums[r, c] += whole[:, own == c].sum(axis=1)
         at = np.argwhere(n > 0)
         yield pa.RecordBatch.from_pydict({
             "r": pa.array(at[:, 0], pa.int32()), "c": pa.array(at[:, 1], pa.int32()), "n": pa.array(n[at[:, 0], at[:, 1]], pa.int64()),
             "cost": pa.array(cost[at[:, 0], at[:, 1]], pa.float64()), **{f"s{j}": pa.array(sums[at[:, 0], at[:, 1], j], pa.int64()) for j in range(dims)}})
 
     shape = "r int, c int, n long, cost double, " + ", ".join(f"s{j} long" for j in range(dims))
-    total = rows.select(*cols).mapInArrow(add, shape).groupBy("r", "c").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(F.col(f"s{j}").cast("decimal(38,0)")).alias(f"s{j}") for j in range(dims)])
+    total = rows.mapInArrow(add, shape).groupBy("r", "c").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(F.col(f"s{j}").cast("decimal(38,0)")).alias(f"s{j}") for j in range(dims)])
     return {(row["r"], row["c"]): (row["n"], np.array([float(row[f"s{j}"]) for j in range(dims)]) / GRID, row["cost"]) for row in total.collect()}
 
 
@@ -90,8 +111,9 @@ def lloyd(rows: DataFrame, cols: Sequence[str], centres: np.ndarray, rounds: int
     """(centres, cost of each restart) after at most ``rounds`` rounds; ``rows`` holds the columns on the grid.
 
     All restarts share each pass: one assignment to restarts x k centres and one aggregate of that many rows. A centre
-    without rows stays where it is; restarts that rest drop out of the next pass.
+    without rows stays where it is; restarts that rest drop out of the next pass. The rows are packed once for all passes.
     """
+    rows = blocks(rows, cols).checkpoint()
     centres = centres.copy()
     cost = np.zeros(len(centres))
     moving = np.arange(len(centres))
