@@ -40,5 +40,6 @@ def q_stream_score(spark, sf):
     out, ckpt = scratch_dir(spark, "score-out"), scratch_dir(spark, "score-ckpt")
     model = t.model(t.best()[0])
     stream_transform(spark, landing, rows.schema,
-                     lambda df: score(model, df).select("row_key", "score", "prediction"), out, ckpt)
+                     lambda df: score(model, df).select("row_key", "score", "prediction"), out, ckpt,
+                     max_files_per_trigger=spark.sparkContext.defaultParallelism)  # a micro-batch has a file for each core
     return spark.read.parquet(out)
