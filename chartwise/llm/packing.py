@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from chartwise.llm.common import doc_columns, land
 from chartwise.llm.vocab import UnitIds, opened, slices, with_end
 
+#: Bytes of text that a task encodes at once: the arrays of a slice take some fifteen times its bytes.
+SLICE = 1 << 20
+
 #: Pieces that a task packs at once, underfull bins of a merge group, and free tokens at which a bin is nearly full.
 PACK, GROUP, SLACK = 262_144, 8192, 8
 
@@ -61,7 +64,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, room: int) -> Data
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit_ids, rows, next_bin = opened(UnitIds, tokenizer_path), [], TaskContext.get().partitionId() << 32
-        for part in slices(batches):
+        for part in slices(batches, size=SLICE):
             first, ids = with_end(*unit_ids.encode(part.column("text")), end_id)
             raw = memoryview(ids.astype("<u4").tobytes())
             for doc, a, b in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
